@@ -90,15 +90,17 @@ def ngrams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray
 def fit(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities (buckets x languages) and log priors.
 
-    Fitted on at most max_rows labelled rows, those of smallest text hash, so that the choice does not depend on
-    partitions.
+    Fitted on at most max_rows labelled rows, those of smallest hash of id and text, so that the choice does
+    not depend on partitions.
     """
-    sample = (
-        T.keyed(docs, {"lang": "string", "text": "string"})
-        .where("lang IS NOT NULL AND trim(lang) <> '' AND text IS NOT NULL AND text <> ''")
-        .orderBy(F.xxhash64("text"), "text", "lang")
-        .limit(max_rows)
-    )
+    rows = T.keyed(docs, {"doc_id": "bigint", "lang": "string", "text": "string"}).where("lang IS NOT NULL AND trim(lang) <> ''")
+    total = rows.count()
+    if not total:
+        return [], np.zeros((buckets, 0), np.float32), np.zeros(0)
+    draw = F.xxhash64("doc_id", "text")
+    # A threshold on the hash keeps the sort to a few times max_rows rows, however large the table.
+    share = math.ceil(min(1.0, (1.5 * max_rows + 200) / total) * (1 << 40))
+    sample = rows.where("text IS NOT NULL AND text <> ''").withColumn("draw", draw).where(F.pmod(F.col("draw"), F.lit(1 << 40)) < share).orderBy("draw", "doc_id", "text", "lang").limit(max_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
