@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quadrille.llm import langid
+from quadrille.llm import bpe, chat, langid, tokenfile
 
 
 def queries() -> dict:
-    return {"op7_language_id": langid.op7_language_id}
+    return {
+        "op3_token_files": tokenfile.op3_token_files,
+        "op5_chat_snapshots": chat.op5_chat_snapshots,
+        "op7_language_id": langid.op7_language_id,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_chat_snapshots": chat.SQL}
