@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, langid, tokenfile
+from quadrille.llm import bpe, chat, jaccard, langid, tokenfile
 
 
 def queries() -> dict:
     return {
         "op3_token_files": tokenfile.op3_token_files,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_chat_snapshots": chat.op5_chat_snapshots,
         "op7_language_id": langid.op7_language_id,
         "op10_bpe": bpe.op10_bpe,
