@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, jaccard, langid, tokenfile
+from quadrille.llm import bpe, chat, jaccard, langid, substring, tokenfile
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_chat_snapshots": chat.op5_chat_snapshots,
         "op7_language_id": langid.op7_language_id,
+        "op9_substring_repeats": substring.op9_substring_repeats,
         "op10_bpe": bpe.op10_bpe,
     }
 
