@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, decontam, jaccard, langid, substring, tokenfile
+from quadrille.llm import bpe, chat, decontam, jaccard, langid, pii, substring, tokenfile
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_decontaminate": decontam.op2_decontaminate,
         "op3_token_files": tokenfile.op3_token_files,
         "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
