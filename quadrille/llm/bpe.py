@@ -26,6 +26,8 @@ from quadrille.llm import text as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 1 << 21
+#: The pieces' regular expression, as the tiktoken library takes it.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; the memory is started anew beyond it, which changes no result.
 REMEMBERED = 300_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -128,9 +130,12 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Codec:
-    """A vocabulary of ranked byte strings; a token's id is its rank."""
+    """A vocabulary of ranked byte strings; a token's id is its rank.
 
-    def __init__(self, path: str = VOCABULARY):
+    native: pieces are merged by the tiktoken library, to the same tokens, instead of by merge().
+    """
+
+    def __init__(self, path: str = VOCABULARY, native: bool = False):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
         self.size = max(self.ranks.values()) + 1
@@ -140,6 +145,12 @@ class Codec:
         self.pool = np.frombuffer(b"".join(by_id), np.uint8)
         self.lens = np.array([len(s) for s in by_id], np.int64)
         self.begins = np.cumsum(self.lens) - self.lens
+        self.merge = lambda p: merge(p, self.ranks)
+        if native:
+            import tiktoken
+
+            own = tiktoken.Encoding("pieces", pat_str=PIECE, mergeable_ranks=self.ranks, special_tokens={})
+            self.merge = lambda p: own.encode_ordinary(p.decode("utf-8"))
         self._forget()
 
     def _forget(self) -> None:
@@ -151,12 +162,12 @@ class Codec:
         """For each piece, where its tokens lie in self.kept and how many they are, as start << 24 | n."""
         if len(self.seen) > REMEMBERED:
             self._forget()
-        seen, ranks, fresh, used, out = self.seen, self.ranks, [], self.used, []
+        seen, merged, fresh, used, out = self.seen, self.merge, [], self.used, []
         for s, e in zip(starts, ends, strict=True):
             p = raw[s:e]
             v = seen.get(p)
             if v is None:
-                t = merge(p, ranks)
+                t = merged(p)
                 v = seen[p] = used << 24 | len(t)
                 used += len(t)
                 fresh += t
@@ -188,14 +199,14 @@ class Codec:
         return self.pool[T.ragged(self.begins[tokens], n)], total[offs]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, bool], Codec] = {}
 
 
-def codec(path: str = VOCABULARY) -> Codec:
+def codec(path: str = VOCABULARY, native: bool = False) -> Codec:
     """The process's own copy of a vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    if (path, native) not in _codecs:
+        _codecs[path, native] = Codec(path, native)
+    return _codecs[path, native]
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

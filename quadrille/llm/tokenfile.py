@@ -1,6 +1,6 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets, to be memory-mapped.
 
-Each task encodes the documents of its partition and writes their tokens one after another to its own file of
+Each task encodes the documents of its partition (each distinct piece once, by the tiktoken library) and writes their tokens one after another to its own file of
 unsigned little-endian integers (16 bits where the vocabulary allows it, else 32). The number of tokens in each file
 is known then; prefix sums over files in partition order give each partition's base, and the offsets of its documents
 in the whole are written as 64-bit integers beside the tokens: n + 1 of them, so that document i of a file is
@@ -46,7 +46,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name, out = TaskContext.get().partitionId(), "", None
-        c, docs_done, tokens_done = bpe.codec(path), 0, 0
+        c, docs_done, tokens_done = bpe.codec(path, native=True), 0, 0
         kind = np.dtype("<u2" if c.size <= 1 << 16 else "<u4")
         try:
             for b in batches:
