@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, decontam, jaccard, langid, pii, substring, tokenfile
+from quadrille.llm import bpe, chat, decontam, jaccard, langid, pii, ppm, substring, tokenfile
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_files": tokenfile.op3_token_files,
         "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_chat_snapshots": chat.op5_chat_snapshots,
+        "op6_ppm_score": ppm.op6_ppm_score,
         "op7_language_id": langid.op7_language_id,
         "op9_substring_repeats": substring.op9_substring_repeats,
         "op10_bpe": bpe.op10_bpe,
