@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, chat, decontam, jaccard, langid, pii, ppm, substring, tokenfile
+from quadrille.llm import bpe, chat, covertree, decontam, jaccard, langid, pii, ppm, substring, tokenfile
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_chat_snapshots": chat.op5_chat_snapshots,
         "op6_ppm_score": ppm.op6_ppm_score,
         "op7_language_id": langid.op7_language_id,
+        "op8_exact_topk": covertree.op8_exact_topk,
         "op9_substring_repeats": substring.op9_substring_repeats,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_chat_snapshots": chat.SQL}
+    return {"op5_chat_snapshots": chat.SQL, "op8_exact_topk": covertree.SQL}
