@@ -6,7 +6,10 @@ from quadrille.llm import bpe, chat, covertree, decontam, jaccard, langid, pii,
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": pii.op1_pii,
         "op2_decontaminate": decontam.op2_decontaminate,
         "op3_token_files": tokenfile.op3_token_files,
