@@ -224,11 +224,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The rows of docs that no item contaminates, with their own columns."""
-    for bench in _slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(bench)
 
+    def keeper(shared):
         @F.pandas_udf("boolean")
-        def kept(texts: pd.Series, shared=shared) -> pd.Series:
+        def kept(texts: pd.Series) -> pd.Series:
             out = np.ones(len(texts), bool)
             data, offs = T.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
             for d, _, _, c, _, ok, _ in match(data, offs, shared.value):
@@ -236,7 +235,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
                     out[d] = False
             return pd.Series(out)
 
-        docs = docs.where(kept(F.col("text")))
+        return kept
+
+    for bench in _slices(benchmark):
+        docs = docs.where(keeper(docs.sparkSession.sparkContext.broadcast(bench))(F.col("text")))
     return docs
 
 
