@@ -22,7 +22,7 @@ _TYPES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint
 class TableMap:
     """How a table becomes a graph.
 
-    key: column, or expression, that names the row; links: column to the table whose rows it names; lang: column to
+    key: column, or expression, unique to the row, that names it; links: column to the table whose rows it names; lang: column to
     the column of its language; graph: column that names the graph of the row's quads.
     """
 
@@ -38,30 +38,47 @@ class TableMap:
         key = F.col(self.key) if isinstance(self.key, str) else self.key
         return F.concat(F.lit(f"urn:{self.name}:"), key.cast("string"))
 
-    def branches(self) -> list[tuple[str, DataFrame]]:
-        """(predicate, quads) for the class of the rows and each column."""
+    def is_subject(self, value: str) -> Column:
+        """Whether the row is the one named so; on a plain key column this filter reaches the scan."""
+        head = f"urn:{self.name}:"
+        if not value.startswith(head):
+            return F.lit(False)
+        if not isinstance(self.key, str):
+            return self.subject() == value
+        rest = F.lit(value[len(head) :])
+        return (F.col(self.key) == rest.try_cast(dict(self.table.dtypes)[self.key])) & (F.col(self.key).cast("string") == rest)
+
+    def graph_columns(self) -> tuple[Column, Column]:
+        if not self.graph:
+            return F.lit(""), F.lit(DEFAULT)
+        return F.concat(F.lit("urn:graph:"), F.col(self.graph).cast("string")), F.lit(IRI)
+
+    def objects(self) -> dict[str, tuple]:
+        """By predicate: source column, then the object's value, kind, datatype, language and number."""
         types = dict(self.table.dtypes)
-        g = F.concat(F.lit("urn:graph:"), F.col(self.graph).cast("string")) if self.graph else F.lit("")
-        g_kind = F.lit(IRI if self.graph else DEFAULT)
-        null = F.lit(None).cast("string")
-
-        def quads(p: str, o: Column, kind: str, datatype: Column, lang: Column, num: Column) -> DataFrame:
-            parts = (self.subject(), F.lit(IRI), F.lit(p), o, F.lit(kind), datatype, lang, null, g, g_kind, num)
-            return self.table.select(*[c.alias(n) for c, n in zip(parts, COLUMNS, strict=True)]).where("o IS NOT NULL")
-
-        no = F.lit(None).cast("double")
-        out = [(RDF + "type", quads(RDF + "type", F.lit(f"urn:class:{self.name}"), IRI, null, null, no))]
+        null, no = F.lit(None).cast("string"), F.lit(None).cast("double")
+        out = {RDF + "type": (None, F.lit(f"urn:class:{self.name}"), IRI, null, null, no)}
         for c in self.columns:
             p = f"urn:col:{c}"
             if c in self.links:
-                out.append((p, quads(p, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no)))
+                out[p] = (c, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no)
             elif c in self.lang:
-                out.append((p, quads(p, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no)))
+                out[p] = (c, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no)
             else:
                 kind = _TYPES.get(types[c])
                 text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind == "dateTime" else F.col(c).cast("string")
                 num = F.col(c).cast("double") if kind in ("integer", "double") else no
-                out.append((p, quads(p, text, LITERAL, F.lit(XSD + kind) if kind else null, null, num)))
+                out[p] = (c, text, LITERAL, F.lit(XSD + kind) if kind else null, null, num)
+        return out
+
+    def branches(self) -> list[tuple[str, DataFrame]]:
+        """(predicate, quads) for the class of the rows and each column."""
+        null = F.lit(None).cast("string")
+        out = []
+        for p, (c, o, kind, datatype, lang, num) in self.objects().items():
+            parts = (self.subject(), F.lit(IRI), F.lit(p), o, F.lit(kind), datatype, lang, null, *self.graph_columns(), num)
+            rows = self.table if c is None else self.table.where(F.col(c).isNotNull())
+            out.append((p, rows.select(*[x.alias(n) for x, n in zip(parts, COLUMNS, strict=True)])))
         return out
 
 
@@ -73,6 +90,14 @@ class VirtualGraph:
         self.spark = maps[0].table.sparkSession
         self._branches = [b for m in maps for b in m.branches()]
 
+    def star(self, predicates: list[str], types: set[str]) -> TableMap | None:
+        """The one table whose rows have all these predicates, if there is just one.
+
+        Keys are unique, so that each predicate has one object and a row answers the whole star.
+        """
+        found = [m for m in self.maps if set(predicates) <= m.objects().keys() and types <= {f"urn:class:{m.name}"}]
+        return found[0] if len(found) == 1 else None
+
     def scan(self, predicate: str | None = None) -> DataFrame:
         found = [q for p, q in self._branches if predicate is None or p == predicate]
         if not found:

@@ -14,15 +14,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import BNODE, COLUMNS, DEFAULT, IRI, KEY, LITERAL, TRIPLE, Term, conform
+from quadrille.functions.terms import BNODE, COLUMNS, DEFAULT, IRI, KEY, LITERAL, RDF, TRIPLE, Term, conform
 from quadrille.operators.filters import pattern
 from quadrille.shared import cut
+from quadrille.sources.virtual import VirtualGraph
 from quadrille.sparql import algebra as A
 from quadrille.sparql import expressions as X
 from quadrille.sparql.expressions import PARTS, column, ref
 
 #: Rounds of a path closure between cuts of its lineage.
 CUT_EVERY = 4
+TYPE = RDF + "type"
 ANY = frozenset((IRI, BNODE, LITERAL, TRIPLE))
 
 
@@ -123,25 +125,80 @@ class Compiler:
 
     def bgp(self, triples: list[A.Triple], scope: Scope, start: Sol | None) -> Sol:
         """Patterns joined, the most constant first and then only what shares a variable, where there is any."""
-        left = list(triples)
+        left = self.stars(triples, scope)
         sol = start
         bound = set(start.vars) if start else set()
 
-        def names(t: A.Triple) -> set[str]:
-            return {x.name for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
+        def names(t) -> set[str]:
+            return {x.name for u in (t if isinstance(t, list) else [t]) for x in (u.s, u.p, u.o) if isinstance(x, A.Var)}
 
-        def rank(t: A.Triple):
-            constants = sum(w for x, w in ((t.s, 4), (t.o, 3), (t.p, 1)) if isinstance(x, Term))
+        def rank(t):
+            constants = sum(w for u in (t if isinstance(t, list) else [t]) for x, w in ((u.s, 4), (u.o, 3), (u.p, 1)) if isinstance(x, Term))
             return (bool(names(t) & bound) or not bound, constants)
 
         while left:
             t = max(left, key=rank)
             left.remove(t)
-            one = self.triple(t, scope)
+            one = self.star(t, scope) if isinstance(t, list) else self.triple(t, scope)
             sol = one if sol is None else self.join(sol, one)
             bound |= names(t)
         return sol if sol is not None else self.unit()
 
+    def stars(self, triples: list[A.Triple], scope: Scope) -> list:
+        """Patterns, with those of one subject that one table of a virtual graph answers by a row put together."""
+        if not isinstance(self.source, VirtualGraph) or scope.restricted:
+            return list(triples)
+        by: dict = {}
+        rest: list = []
+        for t in triples:
+            plain = isinstance(t.p, Term) and not (isinstance(t.s, Term) and t.s.kind != IRI)
+            (by.setdefault(t.s, []) if plain else rest).append(t)
+        for group in by.values():
+            types = {t.o.value for t in group if t.p.value == TYPE and isinstance(t.o, Term)}
+            one = self.source.star([t.p.value for t in group], types) if len(group) > 1 else None
+            rest += [group] if one is not None else group
+        return rest
+
+    def star(self, triples: list[A.Triple], scope: Scope) -> Sol:
+        """One projection of a table for all patterns of a subject."""
+        types = {t.o.value for t in triples if t.p.value == TYPE and isinstance(t.o, Term)}
+        m = self.source.star([t.p.value for t in triples], types)
+        null, no = F.lit(None).cast("string"), F.lit(None).cast("double")
+        objects, df = m.objects(), m.table
+        g, g_kind = m.graph_columns()
+        if (m.graph is None) != (scope.active is None):
+            df = df.where(F.lit(False))
+        elif isinstance(scope.active, Term):
+            df = df.where(g == scope.active.value)
+        ends: dict[str, list] = {}
+        kinds: dict[str, frozenset] = {}
+
+        def bind(x: A.Node, parts: list, kind: frozenset) -> None:
+            nonlocal df
+            if isinstance(x, Term):
+                c = X.constant(x)
+                df = df.where((parts[0] == c.v) & (parts[1] == c.k) & parts[2].eqNullSafe(c.d) & parts[3].eqNullSafe(c.l))
+            elif x.name in ends:
+                o = ends[x.name]
+                df = df.where((parts[0] == o[0]) & (parts[1] == o[1]) & parts[2].eqNullSafe(o[2]) & parts[3].eqNullSafe(o[3]))
+            else:
+                ends[x.name], kinds[x.name] = parts, kind
+
+        if isinstance(triples[0].s, Term):
+            df = df.where(m.is_subject(triples[0].s.value))
+        else:
+            bind(triples[0].s, [m.subject(), F.lit(IRI), null, null, no], frozenset((IRI,)))
+        for t in triples:
+            c, v, kind, d, lang, n = objects[t.p.value]
+            if c is not None:
+                df = df.where(F.col(c).isNotNull())
+            if t.p.value == TYPE and isinstance(t.o, Term):
+                continue
+            bind(t.o, [v, F.lit(kind), d, lang, n], frozenset((kind,)))
+        if isinstance(scope.active, A.Var):
+            bind(scope.active, [g, g_kind, null, null, no], frozenset((IRI,)))
+        return Sol(df.select(*[x.alias(column(v, p)) for v, parts in ends.items() for x, p in zip(parts, PARTS, strict=True)]), dict.fromkeys(ends, True), kinds)
+
     # Joins
     def _beside(self, left: Sol, right: Sol) -> tuple[DataFrame, list[str], Column]:
         """The right table with shared variables renamed, these variables, and the condition that they agree."""
