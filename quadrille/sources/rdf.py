@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,15 @@ class RdfSyntaxError(ValueError):
     pass
 
 
+def resolve(base: str, reference: str) -> str:
+    """An IRI reference against a base, whatever the base's scheme."""
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", reference):
+        return reference
+    scheme = urlsplit(base).scheme
+    # The library joins by the general rules only for schemes it knows.
+    return scheme + urljoin("http" + base[len(scheme) :], reference)[4:] if scheme and "//" in base else base if not reference else base.split("#")[0] + reference if reference[0] == "#" else base[: max(base.rfind("/"), base.find(":")) + 1] + reference
+
+
 _TOKEN = re.compile(
     r"""(?P<ws>(?:[\s\ufeff]|\#[^\n\r]*)+)
     |(?P<iri><(?:[^\x00-\x20<>"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|[ ])*>)
@@ -198,7 +207,7 @@ class Parser:
     def iri_of(self, kind: str, value: str) -> Term:
         if kind == "iri":
             v = unescape(value[1:-1])
-            return iri(urljoin(self.base, v) if self.base and not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", v) else v)
+            return iri(resolve(self.base, v))
         if kind == "name":
             prefix, _, local = value.partition(":")
             if prefix not in self.prefixes:
