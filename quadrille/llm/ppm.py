@@ -36,7 +36,8 @@ from quadrille.shared import cut, fresh_path, local_path
 ORDER = 4
 MIN_COUNT = 2
 MAX_NODES = 8_000_000
-CHUNK = 1 << 22
+#: Bytes counted or scored at a time; a dozen 8-byte arrays of that length are held.
+COUNT_CHUNK, SCORE_CHUNK = 1 << 21, 1 << 19
 SHARD_BYTES = 64 << 20
 
 
@@ -187,7 +188,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             data, offs = T.buffers(b.column("text"))
-            for i, j in T.chunks(offs, CHUNK):
+            for i, j in T.chunks(offs, COUNT_CHUNK):
                 fresh.append(np.unique(grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order), return_counts=True))
                 if sum(len(k) for k, _ in fresh) > len(keys) + 2_000_000:
                     keys, counts = summed(np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(c for _, c in fresh)]))
@@ -292,7 +293,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, adapt
             data, offs = T.buffers(b.column("text"))
             n = np.diff(offs)
             bits, escapes = np.zeros(len(n)), np.zeros(len(n), np.int64)
-            for i, j in T.chunks(offs, CHUNK):
+            for i, j in T.chunks(offs, SCORE_CHUNK):
                 if trie is None:
                     for d in range(i, j):
                         bits[d], escapes[d] = ByteTrie(order).code(data[offs[d] : offs[d + 1]].tobytes())
