@@ -254,4 +254,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     pairs = cut(similar(docs))
     groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     kept = by_id(docs, cut(groups.where("node <> comp").select(F.col("node").alias("doc_id"))), "left_anti")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -314,7 +314,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     done = docs.withColumn("text", clean(F.col("text")))
-    return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else done
+    return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))if "n_chars" in docs.columns else done
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -184,6 +184,9 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
             doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 4 for r in rows])
             order = np.lexsort((e, s, doc))
             doc, s, e, n = doc[order], s[order], e[order], n[order]
+            own = np.ones(len(doc), bool)  # a repeated row brings its windows again
+            own[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
+            doc, s, e, n = doc[own], s[own], e[own], n[own]
             lead = np.ones(len(doc), bool)
             lead[1:] = (doc[1:] != doc[:-1]) | (s[1:] > e[:-1])
             lead = np.flatnonzero(lead)
