@@ -249,6 +249,18 @@ def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: All pairs by brute force; a set is the sorted list of its n-grams.
+SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + {N - 1}], ' ') FOR i IN range(1, greatest(len(w) - {N - 1}, 1) + 1)])) AS g FROM w WHERE len(w) > 0),
+sets AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM g GROUP BY g),
+equal AS (SELECT s.id AS doc_a, g.doc_id AS doc_b, s.n AS overlap, 1.0::DOUBLE AS jaccard FROM g JOIN sets s USING (g) WHERE g.doc_id <> s.id),
+item AS (SELECT id, n, unnest(g) AS x FROM sets),
+met AS (SELECT a.id AS doc_a, b.id AS doc_b, count(*) AS overlap, any_value(a.n + b.n) AS n FROM item a JOIN item b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+SELECT * FROM equal UNION ALL SELECT doc_a, doc_b, overlap, round(overlap / (n - overlap), 6) FROM met WHERE overlap / (n - overlap) >= {THRESHOLD}
+"""
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of documents connected by similarity."""
     pairs = cut(similar(docs))

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_chat_snapshots": chat.SQL, "op8_exact_topk": covertree.SQL}
+    return {"op4_ngram_jaccard": jaccard.SQL, "op5_chat_snapshots": chat.SQL, "op8_exact_topk": covertree.SQL, "op9_substring_repeats": substring.SQL}

@@ -214,3 +214,16 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
 
 def op9_substring_repeats(spark, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same passages from all windows as strings.
+SQL = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+|[^a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS x, generate_subscripts(regexp_extract_all(text, '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+|[^a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+'), 1) AS i FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT doc_id, i, x, sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM t),
+w AS (SELECT doc_id, e - strlen(x) AS s, e, x, i FROM b WHERE regexp_matches(x, '^[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]')),
+k AS (SELECT doc_id, s, last_value(e) OVER v AS e, count(*) OVER v AS n, string_agg(x, ' ') OVER v AS k FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)),
+r AS (SELECT k, count(DISTINCT doc_id) AS docs FROM k WHERE n = {K} GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT doc_id, s, e, docs, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY s) THEN 0 ELSE 1 END AS new FROM k JOIN r USING (k) WHERE n = {K}),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM m)
+SELECT doc_id, min(s)::BIGINT AS start_byte, max(e)::BIGINT AS end_byte, count(*) AS windows, max(docs) AS docs FROM p GROUP BY doc_id, p.p
+"""
