@@ -121,7 +121,8 @@ class Files:
     """Small files beside the snapshots, by way of Spark's own file systems."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -138,14 +139,16 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
+        """Put text in place of the file at once, by a rename over it."""
         fs, p = self._at(path)
         _, tmp = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = fs.create(tmp, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not fs.rename(tmp, p):
-            fs.delete(p, False)
-            fs.rename(tmp, p)
+        option = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf).rename(tmp, p, options)
 
     def remove(self, path: str) -> None:
         fs, p = self._at(path)

@@ -36,8 +36,11 @@ def resolve(base: str, reference: str) -> str:
     if not base or re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", reference):
         return reference
     scheme = urlsplit(base).scheme
-    # The library joins by the general rules only for schemes it knows.
-    return scheme + urljoin("http" + base[len(scheme) :], reference)[4:] if scheme and "//" in base else base if not reference else base.split("#")[0] + reference if reference[0] == "#" else base[: max(base.rfind("/"), base.find(":")) + 1] + reference
+    if scheme and "//" in base:  # the library joins by the general rules only for schemes it knows
+        return scheme + urljoin("http" + base[len(scheme) :], reference)[4:]
+    if not reference or reference[0] == "#":
+        return base.split("#")[0] + reference
+    return base[: max(base.rfind("/"), base.find(":")) + 1] + reference
 
 
 _TOKEN = re.compile(
