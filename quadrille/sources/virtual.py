@@ -53,29 +53,38 @@ class TableMap:
             return F.lit(""), F.lit(DEFAULT)
         return F.concat(F.lit("urn:graph:"), F.col(self.graph).cast("string")), F.lit(IRI)
 
+    def is_graph(self, value: str) -> Column:
+        """Whether the row lies in the graph named so; a filter on the column itself."""
+        head = "urn:graph:"
+        if not self.graph or not value.startswith(head):
+            return F.lit(False)
+        return F.col(self.graph).cast("string") == value[len(head) :]
+
     def objects(self) -> dict[str, tuple]:
-        """By predicate: source column, then the object's value, kind, datatype, language and number."""
+        """By predicate: source column, then the object's value, kind, datatype, language, number and instant, and the
+        datatype if it is a number's."""
         types = dict(self.table.dtypes)
-        null, no = F.lit(None).cast("string"), F.lit(None).cast("double")
-        out = {RDF + "type": (None, F.lit(f"urn:class:{self.name}"), IRI, null, null, no)}
+        null, no, never = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
+        out = {RDF + "type": (None, F.lit(f"urn:class:{self.name}"), IRI, null, null, no, never, None)}
         for c in self.columns:
             p = f"urn:col:{c}"
             if c in self.links:
-                out[p] = (c, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no)
+                out[p] = (c, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no, never, None)
             elif c in self.lang:
-                out[p] = (c, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no)
+                out[p] = (c, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no, never, None)
             else:
                 kind = _TYPES.get(types[c])
                 text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind == "dateTime" else F.col(c).cast("string")
-                num = F.col(c).cast("double") if kind in ("integer", "double") else no
-                out[p] = (c, text, LITERAL, F.lit(XSD + kind) if kind else null, null, num)
+                numeric = kind in ("integer", "double")
+                when = F.col(c).cast("timestamp_ntz") if kind in ("dateTime", "date") else never
+                out[p] = (c, text, LITERAL, F.lit(XSD + kind) if kind else null, null, F.col(c).cast("double") if numeric else no, when, XSD + kind if numeric else None)
         return out
 
     def branches(self) -> list[tuple[str, DataFrame]]:
         """(predicate, quads) for the class of the rows and each column."""
         null = F.lit(None).cast("string")
         out = []
-        for p, (c, o, kind, datatype, lang, num) in self.objects().items():
+        for p, (c, o, kind, datatype, lang, num, _, _) in self.objects().items():
             parts = (self.subject(), F.lit(IRI), F.lit(p), o, F.lit(kind), datatype, lang, null, *self.graph_columns(), num)
             rows = self.table if c is None else self.table.where(F.col(c).isNotNull())
             out.append((p, rows.select(*[x.alias(n) for x, n in zip(parts, COLUMNS, strict=True)])))

@@ -1,6 +1,6 @@
 """Algebra to DataFrames.
 
-A solution table has five columns for each variable (expressions.PARTS). Which variables are bound in every row is
+A solution table has six columns for each variable (expressions.PARTS). Which variables are bound in every row is
 tracked, so that joins on them stay plain equi-joins, which Catalyst may run as hash or sort-merge joins; only a
 variable that may be unbound needs the form with OR.
 """
@@ -59,13 +59,13 @@ def _all(conditions: list[Column]) -> Column:
 
 
 def _term_columns(prefix: str) -> list[Column]:
-    """Five columns of a quad's part: s, p, o or g."""
-    null, no = F.lit(None).cast("string"), F.lit(None).cast("double")
+    """The columns of a quad's part: s, p, o or g."""
+    null, no, never = X.null(), X.no_number(), X.no_instant()
     if prefix == "o":
         lang = F.when(F.col("o_dir").isNotNull(), F.concat("o_lang", F.lit("--"), "o_dir")).otherwise(F.col("o_lang"))
-        return [F.col("o"), F.col("o_kind"), F.col("o_datatype"), lang, F.col("o_num")]
+        return [F.col("o"), F.col("o_kind"), F.col("o_datatype"), lang, F.col("o_num"), X.parsed_instant(F.col("o"), F.col("o_datatype"))]
     kind = F.lit(IRI) if prefix == "p" else F.col(f"{prefix}_kind")
-    return [F.col(prefix), kind, null, null, no]
+    return [F.col(prefix), kind, null, null, no, never]
 
 
 class Compiler:
@@ -73,6 +73,11 @@ class Compiler:
         self.spark, self.source, self.base = spark, source, base
         self.now = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         self.made = 0
+        #: Variables that only a table's numeric column binds, with its datatype; None for all others met.
+        self.numeric: dict[str, str | None] = {}
+
+    def note(self, name: str, datatype: str | None) -> None:
+        self.numeric[name] = datatype if self.numeric.get(name, datatype) == datatype else None
 
     def fresh(self, what: str) -> str:
         self.made += 1
@@ -83,8 +88,8 @@ class Compiler:
 
     # Scans
     def scan(self, predicate: str | None, scope: Scope) -> DataFrame:
-        q = self.source.scan(predicate)
         g = scope.active
+        q = self.source.scan(predicate)
         if g is None:
             if scope.restricted:
                 return q.where(F.col("g").isin(scope.default_graphs)).withColumns({"g": F.lit(""), "g_kind": F.lit(DEFAULT)}).dropDuplicates(KEY) if scope.default_graphs else q.where(F.lit(False))
@@ -109,6 +114,8 @@ class Compiler:
             else:
                 picked[x.name] = part
         cols = [c.alias(column(v, p)) for v, part in picked.items() for c, p in zip(_term_columns(part), PARTS, strict=True)]
+        for v in picked:
+            self.note(v, None)
         kinds = {v: frozenset((IRI,)) if part in ("p", "g") else frozenset((IRI, BNODE)) if part == "s" else ANY for v, part in picked.items()}
         return Sol(q.select(*cols), dict.fromkeys(picked, True), kinds)
 
@@ -155,7 +162,7 @@ class Compiler:
             (by.setdefault(t.s, []) if plain else rest).append(t)
         for group in by.values():
             types = {t.o.value for t in group if t.p.value == TYPE and isinstance(t.o, Term)}
-            one = self.source.star([t.p.value for t in group], types) if len(group) > 1 else None
+            one = self.source.star([t.p.value for t in group], types)
             rest += [group] if one is not None else group
         return rest
 
@@ -163,18 +170,20 @@ class Compiler:
         """One projection of a table for all patterns of a subject."""
         types = {t.o.value for t in triples if t.p.value == TYPE and isinstance(t.o, Term)}
         m = self.source.star([t.p.value for t in triples], types)
-        null, no = F.lit(None).cast("string"), F.lit(None).cast("double")
+        null, no, never = X.null(), X.no_number(), X.no_instant()
         objects, df = m.objects(), m.table
         g, g_kind = m.graph_columns()
         if (m.graph is None) != (scope.active is None):
             df = df.where(F.lit(False))
         elif isinstance(scope.active, Term):
-            df = df.where(g == scope.active.value)
+            df = df.where(m.is_graph(scope.active.value))
         ends: dict[str, list] = {}
         kinds: dict[str, frozenset] = {}
 
-        def bind(x: A.Node, parts: list, kind: frozenset) -> None:
+        def bind(x: A.Node, parts: list, kind: frozenset, number: str | None = None) -> None:
             nonlocal df
+            if isinstance(x, A.Var):
+                self.note(x.name, number)
             if isinstance(x, Term):
                 c = X.constant(x)
                 df = df.where((parts[0] == c.v) & (parts[1] == c.k) & parts[2].eqNullSafe(c.d) & parts[3].eqNullSafe(c.l))
@@ -187,16 +196,16 @@ class Compiler:
         if isinstance(triples[0].s, Term):
             df = df.where(m.is_subject(triples[0].s.value))
         else:
-            bind(triples[0].s, [m.subject(), F.lit(IRI), null, null, no], frozenset((IRI,)))
+            bind(triples[0].s, [m.subject(), F.lit(IRI), null, null, no, never], frozenset((IRI,)))
         for t in triples:
-            c, v, kind, d, lang, n = objects[t.p.value]
+            c, v, kind, d, lang, n, when, number = objects[t.p.value]
             if c is not None:
                 df = df.where(F.col(c).isNotNull())
             if t.p.value == TYPE and isinstance(t.o, Term):
                 continue
-            bind(t.o, [v, F.lit(kind), d, lang, n], frozenset((kind,)))
+            bind(t.o, [v, F.lit(kind), d, lang, n, when], frozenset((kind,)), number)
         if isinstance(scope.active, A.Var):
-            bind(scope.active, [g, g_kind, null, null, no], frozenset((IRI,)))
+            bind(scope.active, [g, g_kind, null, null, no, never], frozenset((IRI,)))
         return Sol(df.select(*[x.alias(column(v, p)) for v, parts in ends.items() for x, p in zip(parts, PARTS, strict=True)]), dict.fromkeys(ends, True), kinds)
 
     # Joins
@@ -273,10 +282,9 @@ class Compiler:
 
     def union(self, branches: list[Sol]) -> Sol:
         names = list(dict.fromkeys(v for b in branches for v in b.vars))
-        types = {"n": "double"}
         frames = []
         for b in branches:
-            frames.append(b.df.select(*[ref(v, p) if v in b.always else F.lit(None).cast(types.get(p, "string")).alias(column(v, p)) for v in names for p in PARTS]))
+            frames.append(b.df.select(*[ref(v, p) if v in b.always else F.lit(None).cast(X.TYPES.get(p, "string")).alias(column(v, p)) for v in names for p in PARTS]))
         always = {v: all(b.always.get(v, False) for b in branches) for v in names}
         kinds = {v: frozenset().union(*(b.kinds.get(v, ANY) for b in branches if v in b.always)) for v in names}
         return Sol(reduce(DataFrame.unionAll, frames), always, kinds)
@@ -334,25 +342,30 @@ class Compiler:
         raise ValueError(f"unknown pattern {type(e).__name__}")
 
     def values(self, e: A.Values) -> Sol:
-        schema = ", ".join(f"`{column(v, p)}` {'double' if p == 'n' else 'string'}" for v in e.vars for p in PARTS)
+        schema = ", ".join(f"`{column(v, p)}` {X.TYPES.get(p, 'string')}" for v in e.vars for p in PARTS)
         rows = []
         for r in e.rows:
             row: list = []
             for t in r:
                 if t is None:
-                    row += [None] * 5
+                    row += [None] * len(PARTS)
                 else:
                     lang = (f"{t.lang}--{t.dir}" if t.dir else t.lang) if t.kind == LITERAL else None
                     d = X.LANG_STRING if lang else t.datatype
-                    row += [t.value, t.kind, d, lang, _python_number(t.value, d)]
+                    row += [t.value, t.kind, d, lang, _python_number(t.value, d), None]
             rows.append(tuple(row))
         if not e.vars:
             return Sol(self.spark.range(len(rows)).select())
         always = {v: all(r[i] is not None for r in e.rows) for i, v in enumerate(e.vars)}
-        return Sol(self.spark.createDataFrame(rows, schema), always, {v: ANY for v in e.vars})
+        df = self.spark.createDataFrame(rows, schema)
+        df = df.withColumns({column(v, "t"): X.parsed_instant(ref(v, "v"), ref(v, "d")) for v in e.vars})
+        for v in e.vars:
+            self.note(v, None)
+        return Sol(df, always, {v: ANY for v in e.vars})
 
     def extend(self, sol: Sol, name: str, expr) -> Sol:
         x = self.expressions(sol).build(expr)
+        self.note(name, None)
         df = sol.df.withColumns({column(name, p): c for p, c in zip(PARTS, x.parts(), strict=True)})
         return Sol(df, {**sol.always, name: False}, {**sol.kinds, name: ANY})
 
@@ -481,8 +494,10 @@ class Compiler:
                 picked[x.name] = end
         cols = [ref(end, p).alias(column(v, p)) for v, end in picked.items() for p in PARTS]
         always = dict.fromkeys(picked, True)
+        for v in picked:
+            self.note(v, None)
         if isinstance(scope.active, A.Var):
-            g = [F.col("g"), F.lit(IRI), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")]
+            g = [F.col("g"), F.lit(IRI), X.null(), X.null(), X.no_number(), X.no_instant()]
             cols += [c.alias(column(scope.active.name, p)) for c, p in zip(g, PARTS, strict=True)]
             always[scope.active.name] = True
         return Sol(df.select(*cols), always, {v: ANY for v in always})
@@ -497,7 +512,7 @@ class Compiler:
                 self.aggregates_in(a, found)
 
     def aggregate(self, sol: Sol, a: A.Aggregate) -> list[Column]:
-        """Five columns of an aggregate, to be named by the caller."""
+        """The columns of an aggregate, to be named by the caller."""
         if a.arg is None:
             n = F.count_distinct(F.struct(*[ref(v, p) for v in sol.vars for p in "vkdl"])) if a.distinct and sol.vars else F.count(F.lit(1))
             return list(X.numeric(n.cast("double"), X.INTEGER).parts())
@@ -518,6 +533,9 @@ class Compiler:
         if a.name == "GROUP_CONCAT":
             v = F.collect_set(x.v) if a.distinct else F.collect_list(x.v)
             return list(X.string(F.array_join(F.array_sort(v), a.separator)).parts())
+        known = self.numeric.get(a.arg.name) if isinstance(a.arg, A.Var) else None
+        if known:  # a number needs no ordering of terms, and fits a hash aggregate
+            return list(X.numeric(F.max(x.n) if a.name == "MAX" else F.min(x.n), known).parts())
         key = F.when(x.v.isNotNull(), F.struct(*_order_key(x), x.v.alias("v"), x.k.alias("k"), x.d.alias("d"), x.l.alias("l"), x.n.alias("n")))
         best = F.max(key) if a.name == "MAX" else F.min(key)  # SAMPLE takes the smallest
         return [best[p] for p in PARTS]
@@ -531,8 +549,8 @@ class Compiler:
             always[v] = sol.always.get(e.name, False) if isinstance(e, A.Var) else False
             if name is None:
                 rename[id(e)] = v
-        cols = [c.alias(column(v, p)) for v, x in keys for c, p in zip(x.parts(), PARTS, strict=True) if p != "n"]
-        aggs = [F.first(x.n, ignorenulls=True).alias(column(v, "n")) for v, x in keys]
+        cols = [c.alias(column(v, p)) for v, x in keys for c, p in zip(x.parts(), PARTS, strict=True) if p in "vkdl"]
+        aggs = [F.first(c, ignorenulls=True).alias(column(v, p)) for v, x in keys for c, p in zip(x.parts(), PARTS, strict=True) if p not in "vkdl"]
         names = {}
         for a in found:
             name = self.fresh("agg")
@@ -570,7 +588,7 @@ class Compiler:
 
     def sliced(self, q: A.Query, sol: Sol, names: list[str], order: list) -> Sol:
         sol = Sol(sol.df, {**sol.always, **{n: False for n in names if n not in sol.always}}, sol.kinds)
-        missing = {column(n, p): F.lit(None).cast("double" if p == "n" else "string") for n in names for p in PARTS if column(n, p) not in sol.df.columns}
+        missing = {column(n, p): F.lit(None).cast(X.TYPES.get(p, "string")) for n in names for p in PARTS if column(n, p) not in sol.df.columns}
         df = sol.df.withColumns(missing) if missing else sol.df
         keys = []
         x = self.expressions(sol)

@@ -1,7 +1,8 @@
 """SPARQL expressions as Spark columns.
 
-A value is five columns: lexical form, kind, datatype, language (with --direction) and number. Unbound and error are
-both a null lexical form, which gives the three-valued logic of FILTER by SQL's own.
+A value is six columns: lexical form, kind, datatype, language (with --direction), number and instant. Unbound and
+error are both a null lexical form, which gives the three-valued logic of FILTER by SQL's own. Comparisons use the
+native number or instant, so that they reach the scan where a table has one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from quadrille.sparql import algebra as A
 
 INTEGER, DECIMAL, DOUBLE, BOOLEAN, DATE, DATETIME, STRING = (XSD + n for n in ("integer", "decimal", "double", "boolean", "date", "dateTime", "string"))
 _INTEGERS = [n for n in NUMERIC if n not in (DECIMAL, DOUBLE, XSD + "float")]
-PARTS = ("v", "k", "d", "l", "n")
+#: Lexical form, kind, datatype, language, number, instant.
+PARTS = ("v", "k", "d", "l", "n", "t")
+TYPES = {"n": "double", "t": "timestamp_ntz"}
 
 
 def null() -> Column:
@@ -29,6 +32,10 @@ def no_number() -> Column:
     return F.lit(None).cast("double")
 
 
+def no_instant() -> Column:
+    return F.lit(None).cast("timestamp_ntz")
+
+
 class UnsupportedExpression(ValueError):
     pass
 
@@ -48,15 +55,21 @@ class Ex:
     d: Column
     l: Column  # noqa: E741
     n: Column
-    kind: str = "term"  # or bool, num, str, iri, where that is known before any row is read
+    kind: str = "term"  # or bool, num, str, iri, time, where that is known before any row is read
     b: Column | None = None
+    t: Column | None = None
 
     def parts(self) -> tuple[Column, ...]:
-        return self.v, self.k, self.d, self.l, self.n
+        return self.v, self.k, self.d, self.l, self.n, no_instant() if self.t is None else self.t
+
+
+def of_parts(parts) -> Ex:
+    *five, t = parts
+    return Ex(*five, t=t)
 
 
 def var(name: str) -> Ex:
-    return Ex(*(ref(name, p) for p in PARTS))
+    return of_parts(ref(name, p) for p in PARTS)
 
 
 def unbound() -> Ex:
@@ -101,9 +114,10 @@ def constant(t: Term) -> Ex:
     lang = f"{t.lang}--{t.dir}" if t.dir else t.lang
     d = LANG_STRING if lang else t.datatype
     n = number(F.lit(t.value), F.lit(d)) if d in NUMERIC else no_number()
-    kind = "num" if d in NUMERIC else "bool" if d == BOOLEAN else "term" if d not in (None, LANG_STRING) else "str"
+    kind = "num" if d in NUMERIC else "bool" if d == BOOLEAN else "time" if d in (DATETIME, DATE) else "term" if d not in (None, LANG_STRING) else "str"
     b = F.lit(t.value in ("true", "1")) if kind == "bool" else None
-    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b)
+    when = parsed_instant(F.lit(t.value), F.lit(d)) if kind == "time" else None
+    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b, when)
 
 
 def plain(e: Ex) -> Column:
@@ -126,8 +140,13 @@ def as_bool(e: Ex) -> Column:
     return e.b if e.kind == "bool" else F.when(e.d == BOOLEAN, F.when(e.v.isin("true", "1"), True).when(e.v.isin("false", "0"), False))
 
 
+def parsed_instant(v: Column, d: Column) -> Column:
+    """The time that a literal stands for. A zone other than Z has none, since there is nothing to compare it with."""
+    return F.when(d.isin(DATETIME, DATE), F.regexp_replace(v, "Z$", "").try_cast("timestamp_ntz"))
+
+
 def instant(e: Ex) -> Column:
-    return F.when(e.d.isin(DATETIME, DATE), F.regexp_replace(e.v, "Z$", "").try_cast("timestamp_ntz"))
+    return parsed_instant(e.v, e.d) if e.t is None else e.t
 
 
 def same_term(a: Ex, b: Ex) -> Column:
@@ -140,6 +159,8 @@ def equal(a: Ex, b: Ex) -> Column:
         return (a.n == b.n) & ~F.isnan(a.n)
     if "bool" in kinds:
         return as_bool(a) == as_bool(b)
+    if "time" in kinds:
+        return instant(a) == instant(b)
     if "iri" in kinds:
         return (a.v == b.v) & (a.k == b.k)
     if kinds == {"str"}:
@@ -161,6 +182,8 @@ def less(a: Ex, b: Ex, or_equal: bool) -> Column:
     kinds = {a.kind, b.kind}
     if "num" in kinds:
         return cmp(a.n, b.n) & ~F.isnan(a.n) & ~F.isnan(b.n)
+    if "time" in kinds:
+        return cmp(instant(a), instant(b))
     if kinds == {"str"}:
         return cmp(a.v, b.v)
     if "str" in kinds:
@@ -231,7 +254,7 @@ def _triple_part(i: int) -> Callable:
         lang = F.regexp_extract(raw, r'"@([A-Za-z0-9-]+)$', 1)
         d = F.regexp_extract(raw, r'"\^\^<([^>]*)>$', 1)
         d = F.when(is_lit & (lang != ""), LANG_STRING).when(is_lit & (d != ""), d)
-        return Ex(v, k, d, F.when(is_lit & (lang != ""), lang), number(v, d))
+        return Ex(v, k, d, F.when(is_lit & (lang != ""), lang), number(v, d), t=parsed_instant(v, d))
 
     return take
 
@@ -249,7 +272,7 @@ def _cast(name: str, e: Ex) -> Ex | None:
     if kind in ("dateTime", "date"):
         stamp = F.regexp_replace(e.v, r"(Z|[+-]\d\d:\d\d)$", "").try_cast("timestamp_ntz")
         v = F.when(stamp.isNotNull(), F.when(F.lit(kind == "date"), F.substring(e.v, 1, 10)).when(F.length(e.v) == 10, F.concat(e.v, F.lit("T00:00:00"))).otherwise(e.v))
-        return Ex(v, _if_bound(v, LITERAL), _if_bound(v, name), null(), no_number())
+        return Ex(v, _if_bound(v, LITERAL), _if_bound(v, name), null(), no_number(), t=F.when(v.isNotNull(), parsed_instant(v, F.lit(name))))
     return None
 
 
@@ -300,11 +323,11 @@ class Expressions:
         x = [self.build(a) for a in args]
         if name == "IF":
             c = self.truth(args[0])
-            return Ex(*(F.when(c, a).when(~c, b) for a, b in zip(x[1].parts(), x[2].parts(), strict=True)))
+            return of_parts(F.when(c, a).when(~c, b) for a, b in zip(x[1].parts(), x[2].parts(), strict=True))
         if name == "COALESCE":
             out = unbound()
             for y in reversed(x):
-                out = Ex(*(F.when(y.v.isNotNull(), a).otherwise(b) for a, b in zip(y.parts(), out.parts(), strict=True)))
+                out = of_parts(F.when(y.v.isNotNull(), a).otherwise(b) for a, b in zip(y.parts(), out.parts(), strict=True))
             return out
         if name == "IN":
             return boolean(reduce(lambda p, q: p | q, [equal(x[0], y) for y in x[1:]], F.lit(False)))
@@ -393,7 +416,7 @@ def _bnode(e: Ex | None = None) -> Ex:
 def _strdt(e: Ex, d: Ex) -> Ex:
     kind = F.when(d.k == IRI, F.when(d.v != STRING, d.v))
     v = F.when((d.k == IRI) & e.d.isNull() & (e.k == LITERAL), e.v)
-    return Ex(v, _if_bound(v, LITERAL), kind, null(), number(v, kind))
+    return Ex(v, _if_bound(v, LITERAL), kind, null(), number(v, kind), t=parsed_instant(v, kind))
 
 
 def _hash(f: Callable) -> Callable:
