@@ -119,16 +119,27 @@ def words(c: Column) -> Column:
 
 
 def bm25(index: DataFrame, query: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """index rows that hold a word of the query, with bm25."""
-    spark = index.sparkSession
-    terms = spark.range(1).select(F.explode(F.array_distinct(words(F.lit(query)))).alias("term"))
-    rows = index.select("quad_id", "position", "subject", "predicate", "graph", "value", "terms", F.size("terms").alias("n"))
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    hits = rows.withColumn("term", F.explode("terms")).join(F.broadcast(terms), "term", "left_semi").groupBy("quad_id", "position", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"), F.first("subject").alias("subject"), F.first("predicate").alias("predicate"), F.first("graph").alias("graph"), F.first("value").alias("value"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    return hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part).groupBy("quad_id", "position", "subject", "predicate", "graph", "value").agg(F.sum("part").alias("bm25"))
+    """index rows that hold a word of the query, with bm25.
+
+    Each row counts the query's words in its own terms; one aggregate gives the corpus figures. No row is shuffled.
+    """
+    keep = ["quad_id", "position", "subject", "predicate", "graph", "value"]
+    terms = index.sparkSession.range(1).select(F.explode(F.array_distinct(words(F.lit(query)))).alias("t")).collect()
+    if not terms:
+        return index.select(*keep, F.lit(0.0).alias("bm25")).limit(0)
+    tf = [f"tf{i}" for i in range(len(terms))]
+    count = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    counts = [count(r.t).alias(c) for c, r in zip(tf, terms, strict=True)]
+    rows = index.select(*keep, F.size("terms").alias("n"), *counts)
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(c) > 0).alias("d" + c) for c in tf])
+    score = F.lit(0.0)
+    for c in tf:
+        idf = F.log(1 + (F.col("docs") - F.col("d" + c) + 0.5) / (F.col("d" + c) + 0.5))
+        score += idf * F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    hit = F.lit(False)
+    for c in tf:
+        hit |= F.col(c) > 0
+    return rows.where(hit).crossJoin(F.broadcast(stats)).select(*keep, score.alias("bm25"))
 
 
 # Vectors

@@ -10,6 +10,7 @@ from quadrille.functions import terms as Q
 from quadrille.operators import search as S
 from quadrille.operators.filters import Criteria, QuadFilter, filter_quads, match
 from quadrille.operators.store import Context, Patch, QuadStore, apply_patch, cancel
+from quadrille.shared import cut
 from quadrille.sources import rdf
 from quadrille.sources.virtual import StoredGraph, TableMap, VirtualGraph
 from quadrille.sparql.engine import SparqlEngine
@@ -269,7 +270,8 @@ def labels_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = docs.select(F.col("doc_id").alias("quad_id"), F.lit(0).alias("position"), F.lit("").alias("subject"), F.lit("").alias("predicate"), F.lit("").alias("graph"), F.lit("").alias("value"), S.words(F.col("text")).alias("terms"))
-    return S.bm25(index, "released under license")
+    # The index is a table that queries read; its terms are split once.
+    return S.bm25(cut(index), "released under license")
 
 
 _BM25 = """t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) AS terms FROM documents),
@@ -312,7 +314,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hybrid_search")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector search over an index of the documents, fused."""
-    index = S.build_index(graph(spark, sf_dir, "documents").scan("urn:col:text"))
+    index = cut(S.build_index(graph(spark, sf_dir, "documents").scan("urn:col:text")))
     return S.search_index(index, "released under the license", "hybrid", S.HashedEmbedding(64), top_k=10)
 
 
