@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import LITERAL, RDFS
+from quadrille.functions.terms import LITERAL, RDFS, W3
 
-DEFAULT_LABEL_PREDICATES = (RDFS + "label", "http://www.w3.org/2004/02/skos/core#prefLabel", "http://schema.org/name")
+SKOS = W3 + "2004/02/skos/core#"
+DEFAULT_LABEL_PREDICATES = (RDFS + "label", SKOS + "prefLabel", "http://schema.org/name")
 
 
 def resolve_label_predicates(extra=()) -> list[str]:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IRI, BNODE, LITERAL, DEFAULT, TRIPLE = "NamedNode", "BlankNode", "Literal", "DefaultGraph", "Triple"
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-RDFS = "http://www.w3.org/2000/01/rdf-schema#"
-XSD = "http://www.w3.org/2001/XMLSchema#"
+W3 = "http://www.w3.org/"
+RDF, RDFS, XSD = W3 + "1999/02/22-rdf-syntax-ns#", W3 + "2000/01/rdf-schema#", W3 + "2001/XMLSchema#"
 XSD_STRING, LANG_STRING, DIR_LANG_STRING = XSD + "string", RDF + "langString", RDF + "dirLangString"
 NUMERIC = [XSD + n for n in "integer decimal double float int long short byte nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger unsignedInt unsignedLong unsignedShort unsignedByte".split()]
 

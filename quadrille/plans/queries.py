@@ -17,7 +17,7 @@ from quadrille.sparql.engine import SparqlEngine
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 LINKS = {"nation": {"n_regionkey": "region"}, "customer": {"c_nationkey": "nation"}, "supplier": {"s_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, "events": {"user_id": "user"}}
-PREFIXES = "PREFIX c: <urn:col:> PREFIX k: <urn:class:> "
+PREFIXES = f"PREFIX c: <urn:col:> PREFIX k: <urn:class:> PREFIX xsd: <{Q.XSD}> "
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -96,7 +96,7 @@ sparql(
 sparql("group_count", "customer", "SELECT ?segment (COUNT(?x) AS ?n) { ?x c:c_mktsegment ?segment } GROUP BY ?segment", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1", integers=("n",))
 sparql(
     "group_sum_avg_having", "lineitem",
-    "SELECT ?flag ?status (SUM(?q) AS ?quantity) (COUNT(*) AS ?n) (MIN(?d) AS ?low) (MAX(?d) AS ?high) { ?l c:l_returnflag ?flag ; c:l_linestatus ?status ; c:l_quantity ?q ; c:l_discount ?d ; c:l_shipdate ?s FILTER(?s <= '1998-09-02T00:00:00'^^<http://www.w3.org/2001/XMLSchema#dateTime>) } GROUP BY ?flag ?status HAVING(COUNT(*) > 10 && AVG(?q) > 1)",
+    "SELECT ?flag ?status (SUM(?q) AS ?quantity) (COUNT(*) AS ?n) (MIN(?d) AS ?low) (MAX(?d) AS ?high) { ?l c:l_returnflag ?flag ; c:l_linestatus ?status ; c:l_quantity ?q ; c:l_discount ?d ; c:l_shipdate ?s FILTER(?s <= '1998-09-02T00:00:00'^^xsd:dateTime) } GROUP BY ?flag ?status HAVING(COUNT(*) > 10 && AVG(?q) > 1)",
     "SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity) AS quantity, count(*) AS n, min(l_discount) AS low, max(l_discount) AS high FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2 HAVING count(*) > 10 AND avg(l_quantity) > 1",
     numbers=("quantity", "low", "high"), integers=("n",),
 )
@@ -164,7 +164,7 @@ def construct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.quads.select("s", "p", "o")
 
 
-@query("describe", "SELECT 'urn:nation:' || n_nationkey AS s, 'urn:col:n_name' AS p, n_name AS o FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:nation:' || n_nationkey, 'urn:col:n_regionkey', 'urn:region:2' FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:nation:' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:class:nation' FROM nation WHERE n_regionkey = 2")
+@query("describe", f"SELECT 'urn:nation:' || n_nationkey AS s, 'urn:col:n_name' AS p, n_name AS o FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:nation:' || n_nationkey, 'urn:col:n_regionkey', 'urn:region:2' FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'urn:nation:' || n_nationkey, '{Q.RDF}type', 'urn:class:nation' FROM nation WHERE n_regionkey = 2")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SparqlEngine(spark, graph(spark, sf_dir, "nation")).query(PREFIXES + "DESCRIBE ?n { ?n c:n_regionkey <urn:region:2> }").quads.select("s", "p", "o")
 
@@ -175,9 +175,9 @@ def _nation_store(spark: SparkSession, sf_dir: str) -> QuadStore:
     return store
 
 
-_NATION_QUADS = """q AS (SELECT 'urn:nation:' || n_nationkey AS s, 'urn:col:n_name' AS p, n_name AS o FROM nation UNION ALL SELECT 'urn:nation:' || n_nationkey, 'urn:col:n_regionkey', 'urn:region:' || n_regionkey FROM nation
-UNION ALL SELECT 'urn:nation:' || n_nationkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:class:nation' FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey, 'urn:col:r_name', r_name FROM region
-UNION ALL SELECT 'urn:region:' || r_regionkey, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'urn:class:region' FROM region)"""
+_NATION_QUADS = f"""q AS (SELECT 'urn:nation:' || n_nationkey AS s, 'urn:col:n_name' AS p, n_name AS o FROM nation UNION ALL SELECT 'urn:nation:' || n_nationkey, 'urn:col:n_regionkey', 'urn:region:' || n_regionkey FROM nation
+UNION ALL SELECT 'urn:nation:' || n_nationkey, '{Q.RDF}type', 'urn:class:nation' FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey, 'urn:col:r_name', r_name FROM region
+UNION ALL SELECT 'urn:region:' || r_regionkey, '{Q.RDF}type', 'urn:class:region' FROM region)"""
 
 
 @query(
