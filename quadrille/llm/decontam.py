@@ -199,9 +199,9 @@ def _slices(benchmark: DataFrame) -> list[Benchmark]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """doc_id, item_id, windows, coverage, slots, consistent, same_values, contaminated for every document and item
-    that share a template window."""
+def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, all_matches: bool = False) -> DataFrame:
+    """doc_id, item_id, windows, coverage, slots, consistent, same_values, contaminated for every document and item that
+    contaminates it; with all_matches, for every two that share a template window."""
     schema = "doc_id bigint, item_id bigint, windows bigint, coverage double, slots bigint, consistent boolean, same_values boolean, contaminated boolean"
     names = [x.split()[0] for x in schema.split(", ")]
     spark, found = docs.sparkSession, None
@@ -213,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             for b in batches:
                 data, offs = T.buffers(b.column("text"))
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[d], b_.ids[i], n, round(c, 6), s, ok, same, ok and c >= min_coverage) for d, i, n, c, s, ok, same in match(data, offs, b_)]
+                rows = [(ids[d], b_.ids[i], n, round(c, 6), s, ok, same, ok and c >= min_coverage) for d, i, n, c, s, ok, same in match(data, offs, b_) if all_matches or (ok and c >= min_coverage)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()], strict=True)], names)
 

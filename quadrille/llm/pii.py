@@ -269,8 +269,8 @@ def _scored(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> Iterator
         k += len(spans)
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, start, end, kind, score and is_pii of every candidate span."""
+def spans(docs: DataFrame, threshold: float = THRESHOLD, rejected: bool = False) -> DataFrame:
+    """doc_id, start, end, kind, score and is_pii of the personal spans; with rejected, of every candidate."""
     schema = "doc_id bigint, start bigint, end bigint, kind string, score double, is_pii boolean"
     model = fit(docs)
     if model is None:
@@ -284,7 +284,7 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for i, j in T.chunks(offs):
                 for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value):
                     lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                    rows += [(ids[i + d], int(lead[s]) - 1, int(lead[e - 1]), k, round(float(q), 6), bool(q >= threshold)) for (s, e, k), q in zip(found, p, strict=True)]
+                    rows += [(ids[i + d], int(lead[s]) - 1, int(lead[e - 1]), k, round(float(q), 6), bool(q >= threshold)) for (s, e, k), q in zip(found, p, strict=True) if rejected or q >= threshold]
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()], strict=True)], ["doc_id", "start", "end", "kind", "score", "is_pii"])
 

@@ -33,11 +33,12 @@ def test_templates():
 
 def test_reparameterised_is_caught_and_inconsistent_is_told_apart(bench, make):
     docs = make([(1, prose(1, 60) + ". " + ITEM + " " + prose(2, 40)), (2, prose(3, 60) + ".\n" + OTHER), (3, prose(4, 30) + ". " + BROKEN), (4, prose(5, 200)), (5, "x. What is the capital of the country that lies north of the great river"), (6, "here: short and plain item"), (7, ITEM.upper())])
-    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench).collect()}
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench, all_matches=True).collect()}
     assert set(got) >= {(1, 1), (2, 1), (3, 1), (5, 2), (6, 3)} and not any(d == 4 for d, _ in got)
     assert got[1, 1].contaminated and got[1, 1].same_values and got[1, 1].coverage == 1.0
     assert got[2, 1].contaminated and not got[2, 1].same_values and got[2, 1].slots >= 6
     assert not got[3, 1].consistent and not got[3, 1].contaminated
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {k for k, r in got.items() if r.contaminated}
     kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
     assert kept >= {3, 4} and not kept & {1, 2, 5, 6}
 
@@ -66,7 +67,7 @@ def test_equals_brute_force(spark, make):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     docs = make(rows)
     want = brute(rows, items)
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, all_matches=True).collect()}
     assert got == want and want
 
 

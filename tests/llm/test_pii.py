@@ -26,13 +26,14 @@ def corpus():
 
 def test_spans(make):
     rows = dict(corpus())
-    got = pii.spans(make(corpus())).collect()
+    got = pii.spans(make(corpus()), rejected=True).collect()
     found = {(r.doc_id, r.kind, rows[r.doc_id][r.start : r.end]) for r in got if r.is_pii}
     for k, (kind, span) in enumerate(PRIVATE.items()):
         for c in range(6):
             assert (100 + 10 * k + c, kind, span) in found
     assert not any(d < 100 or d >= 500 for d, _, _ in found)
     assert any(r.doc_id >= 500 for r in got)  # candidates that the classifier turned down
+    assert {(r.doc_id, r.start) for r in pii.spans(make(corpus())).collect()} == {(r.doc_id, r.start) for r in got if r.is_pii}
 
 
 def test_redaction(make):
