@@ -8,6 +8,7 @@ in two or more documents are given back to their documents, where overlapping wi
 
 The sketch has two bits of text length (rounded up to a power of two), so that it grows with the input; as one file of
 flags in the shared folder it is memory-mapped by the tasks, not sent to them. The shared folder must be mounted.
+Beyond MAX_BITS the hashes are dealt to rounds, each with its own sketch and its own passes over the text.
 
 Result: doc_id, start_byte and end_byte of each passage in the UTF-8 text, windows in it, and docs, the most documents
 that share one of its windows. Words are runs of letters, digits and other non-ASCII characters; what lies between
@@ -38,6 +39,8 @@ DEPTH = 1
 RANGE_BITS = 22
 FLUSH = 1 << 22
 GROUP_WINDOWS = 1 << 19
+#: Bits of a round's sketch at most; a text that asks for more is done in rounds, each over a share of the hashes.
+MAX_BITS = 1 << 40
 
 
 def windows(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,16 +59,30 @@ def cells(h: np.ndarray, row: int, depth: int, bits: int) -> np.ndarray:
     return (T.mix(h + T.U(row) * T.U(0x9E3779B97F4A7C15)) & T.U(own - 1)) + T.U(row * own)
 
 
-def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None = None) -> DataFrame:
+def share(h: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Whether each hash belongs to this round."""
+    return np.ones(len(h), bool) if rounds == 1 else T.mix(h ^ T.U(0xA0761D6478BD642F)) % T.U(rounds) == T.U(turn)
+
+
+def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None = None, rounds: int | None = None) -> DataFrame:
     """Passages of at least k words that two or more documents share."""
     spark = docs.sparkSession
     docs = T.keyed(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits or 1 << max(RANGE_BITS + 1, int(2 * size - 1).bit_length())
-    groups = max(8, 1 << int(size / 6 / GROUP_WINDOWS).bit_length())
-    at = fresh_path(spark, "sketch")
-    place = local_path(at)
+    want = bits or 1 << max(RANGE_BITS + 1, int(2 * size - 1).bit_length())
+    rounds = rounds or max(1, want // MAX_BITS)
+    bits = bits or max(1 << RANGE_BITS + 1, want // rounds)
+    groups = max(8, 1 << int(size / rounds / 6 / GROUP_WINDOWS).bit_length())
     os.makedirs(local_path(shared_dir(spark)), exist_ok=True)
+    found = None
+    for turn in range(rounds):
+        part = _shared_windows(docs, k, depth, bits, groups, turn, rounds, local_path(fresh_path(spark, "sketch")))
+        found = part if found is None else found.unionByName(part)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_passages, "doc_id bigint, start_byte bigint, end_byte bigint, windows bigint, docs bigint")
+
+
+def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int, turn: int, rounds: int, place: str) -> DataFrame:
+    """doc_id and packed starts, ends and document counts of this round's windows that two or more documents share."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -92,6 +109,7 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
                 h, *_ = windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                h = h[share(h, turn, rounds)]
                 for r in range(depth):
                     held.append(cells(h, r, depth, bits).astype(np.uint32 if bits <= 1 << 32 else np.uint64))
                 load += len(h) * depth
@@ -146,7 +164,7 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
                 h, doc, s, e = windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                hit = np.ones(len(h), bool)
+                hit = share(h, turn, rounds)
                 for r in range(depth):
                     p = cells(h, r, depth, bits)
                     hit &= (flags[(p >> T.U(3)).astype(np.int64)] >> (p & T.U(7)).astype(np.uint8) & 1).astype(bool)
@@ -176,40 +194,41 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
         ends = np.append(cut_at[1:], len(doc)) if len(doc) else cut_at
         return pa.table({"doc_id": pa.array(doc[cut_at]), **{c: pa.array([T.blob(x[a:b]) for a, b in zip(cut_at, ends, strict=True)], pa.binary()) for c, x in (("s", s), ("e", e), ("n", n))}})
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
-
-        def join(rows: list[tuple]) -> pa.RecordBatch:
-            s, e, n = (np.frombuffer(b"".join(r[c] for r in rows), np.uint32).astype(np.int64) for c in (1, 2, 3))
-            doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 4 for r in rows])
-            order = np.lexsort((e, s, doc))
-            doc, s, e, n = doc[order], s[order], e[order], n[order]
-            own = np.ones(len(doc), bool)  # a repeated row brings its windows again
-            own[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
-            doc, s, e, n = doc[own], s[own], e[own], n[own]
-            lead = np.ones(len(doc), bool)
-            lead[1:] = (doc[1:] != doc[:-1]) | (s[1:] > e[:-1])
-            lead = np.flatnonzero(lead)
-            return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(s[lead]), pa.array(np.maximum.reduceat(e, lead)), pa.array(np.diff(np.append(lead, len(doc)))), pa.array(np.maximum.reduceat(n, lead))], ["doc_id", "start_byte", "end_byte", "windows", "docs"])
-
-        for b in batches:
-            rows = rest + list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "s", "e", "n")), strict=True))
-            if not rows:
-                continue
-            last = rows[-1][0]
-            whole = [r for r in rows if r[0] != last]
-            rest = [r for r in rows if r[0] == last]
-            if whole:
-                yield join(whole)
-        if rest:
-            yield join(rest)
-
     parts = docs.mapInArrow(sketch, "part int, blocks binary, low binary, twice binary").repartition("part").sortWithinPartitions("part")
     with open(place, "wb") as f:
         f.truncate(bits >> 3)
     parts.mapInArrow(merged, "part int").agg(F.count("*")).collect()
-    found = docs.mapInArrow(flagged, "g bigint, h binary, doc binary, s binary, e binary").groupBy("g").applyInArrow(exact, "doc_id bigint, s binary, e binary, n binary")
-    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(passages, "doc_id bigint, start_byte bigint, end_byte bigint, windows bigint, docs bigint")
+    return docs.mapInArrow(flagged, "g bigint, h binary, doc binary, s binary, e binary").groupBy("g").applyInArrow(exact, "doc_id bigint, s binary, e binary, n binary")
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of doc_id to passages: overlapping and touching windows joined."""
+    rest: list[tuple] = []
+
+    def join(rows: list[tuple]) -> pa.RecordBatch:
+        s, e, n = (np.frombuffer(b"".join(r[c] for r in rows), np.uint32).astype(np.int64) for c in (1, 2, 3))
+        doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 4 for r in rows])
+        order = np.lexsort((e, s, doc))
+        doc, s, e, n = doc[order], s[order], e[order], n[order]
+        own = np.ones(len(doc), bool)  # a repeated row brings its windows again
+        own[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
+        doc, s, e, n = doc[own], s[own], e[own], n[own]
+        lead = np.ones(len(doc), bool)
+        lead[1:] = (doc[1:] != doc[:-1]) | (s[1:] > e[:-1])
+        lead = np.flatnonzero(lead)
+        return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(s[lead]), pa.array(np.maximum.reduceat(e, lead)), pa.array(np.diff(np.append(lead, len(doc)))), pa.array(np.maximum.reduceat(n, lead))], ["doc_id", "start_byte", "end_byte", "windows", "docs"])
+
+    for b in batches:
+        rows = rest + list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "s", "e", "n")), strict=True))
+        if not rows:
+            continue
+        last = rows[-1][0]
+        whole = [r for r in rows if r[0] != last]
+        rest = [r for r in rows if r[0] == last]
+        if whole:
+            yield join(whole)
+    if rest:
+        yield join(rest)
 
 
 def op9_substring_repeats(spark, sf_dir: str) -> DataFrame:

@@ -44,6 +44,13 @@ def test_equals_brute_force(make, monkeypatch, depth, bits, flush):
     assert got
 
 
+def test_rounds_give_the_same(make, monkeypatch):
+    want = brute(corpus(), 50)
+    assert sorted(tuple(r) for r in substring.repeats(make(corpus()), rounds=3).collect()) == want
+    monkeypatch.setattr(substring, "MAX_BITS", 1 << 22)  # half of the least sketch, hence two rounds
+    assert sorted(tuple(r) for r in substring.repeats(make(corpus())).collect()) == want
+
+
 def test_a_crowded_sketch_loses_nothing(make, monkeypatch):
     """With far too few counters all windows look repeated, and the exact pass still decides."""
     monkeypatch.setattr(substring, "RANGE_BITS", 16)
