@@ -29,7 +29,7 @@ CHUNK = 1 << 21
 #: The pieces' regular expression, as the tiktoken library takes it.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; the memory is started anew beyond it, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _kinds: np.ndarray | None = None
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs, CHUNK):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b_ = shared.value
-            for b in batches:
+            for b in T.small(batches):
                 data, offs = T.buffers(b.column("text"))
                 ids = b.column("doc_id").to_pylist()
                 rows = [(ids[d], b_.ids[i], n, round(c, 6), s, ok, same, ok and c >= min_coverage) for d, i, n, c, s, ok, same in match(data, offs, b_) if all_matches or (ok and c >= min_coverage)]
@@ -226,14 +225,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     """The rows of docs that no item contaminates, with their own columns."""
 
     def keeper(shared):
-        @F.pandas_udf("boolean")
-        def kept(texts: pd.Series) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            data, offs = T.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-            for d, _, _, c, _, ok, _ in match(data, offs, shared.value):
-                if ok and c >= min_coverage:
-                    out[d] = False
-            return pd.Series(out)
+        @F.arrow_udf("boolean")
+        def kept(texts: pa.Array) -> pa.Array:
+            out, at = np.ones(len(texts), bool), 0
+            for t in T.slices(texts):
+                for d, _, _, c, _, ok, _ in match(*T.buffers(t), shared.value):
+                    if ok and c >= min_coverage:
+                        out[at + d] = False
+                at += len(t)
+            return pa.array(out)
 
         return kept
 

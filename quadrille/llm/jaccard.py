@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, size, whole (hash of the set) and bands, for documents with n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"), lower=True)
             for i, h, o in T.shingle_sets(data, offs, n):
                 size = np.diff(o)
@@ -219,7 +219,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, load, last = [], 0, None
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"), lower=True)
             keys = list(zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
             doc, whole, part = (b.column(c).to_pylist() for c in ("doc_id", "whole", "slice"))

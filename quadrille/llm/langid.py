@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,7 +104,7 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_ROWS,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for b in batches:
+        for b in T.small(batches):
             langs = b.column("lang").to_pylist()
             data, offs = T.buffers(b.column("text"), lower=True)
             for i, j in T.chunks(offs):
@@ -170,9 +169,9 @@ def identify(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_
 
     if keep:
 
-        @F.pandas_udf("boolean")
-        def accepted(texts: pd.Series) -> pd.Series:
-            return pd.Series(judge(pa.array(texts, pa.large_string(), from_pandas=True))[4])
+        @F.arrow_udf("boolean")
+        def accepted(texts: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(0, bool), *(judge(t)[4] for t in T.slices(texts))]))
 
         return docs.where(accepted(F.col("text")))
 

@@ -20,8 +20,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,7 +236,7 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray] | None:
     """Labeler reliabilities, shares by kind and classifier weights, from the spans of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.small(batches):
             got: Counter = Counter()
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
@@ -278,7 +278,7 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, rejected: bool = False)
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.small(batches):
             ids, rows = b.column("doc_id").to_pylist(), []
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
@@ -298,20 +298,27 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = texts.to_numpy(object, copy=True)
-        data, offs = T.buffers(pa.array(texts, pa.large_string(), from_pandas=True))
-        for i, j in T.chunks(offs):
-            for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value):
-                parts, at = [], 0
-                for (s, e, k), q in zip(found, p, strict=True):
-                    if q >= threshold:
-                        parts += [raw[at:s], b"[", k.encode(), b"]"]
-                        at = e
-                if at:
-                    out[i + d] = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        done = [pa.array([], texts.type)]
+        for t in T.slices(texts):
+            changed: dict[int, str] = {}
+            data, offs = T.buffers(t)
+            for i, j in T.chunks(offs):
+                for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value):
+                    parts, at = [], 0
+                    for (s, e, k), q in zip(found, p, strict=True):
+                        if q >= threshold:
+                            parts += [raw[at:s], b"[", k.encode(), b"]"]
+                            at = e
+                    if at:
+                        changed[i + d] = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
+            if changed:
+                mask = np.zeros(len(t), bool)
+                mask[list(changed)] = True
+                t = pc.replace_with_mask(t, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], t.type))
+            done.append(t)
+        return pa.concat_arrays(done)
 
     done = docs.withColumn("text", clean(F.col("text")))
     return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))if "n_chars" in docs.columns else done

@@ -186,7 +186,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, T.U), np.zeros(0, np.int64)
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs, COUNT_CHUNK):
                 fresh.append(np.unique(grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order), return_counts=True))
@@ -289,7 +289,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, adapt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie.load(place, order) if place else None
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
             n = np.diff(offs)
             bits, escapes = np.zeros(len(n)), np.zeros(len(n), np.int64)

@@ -105,7 +105,7 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *(pa.array(x, pa.binary()) for x in c[1:])], ["part", "blocks", "low", "twice"])
 
         load = 0
-        for b in batches:
+        for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
                 h, *_ = windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
@@ -159,7 +159,7 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
             return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["g", "h", "doc", "s", "e"])
 
         load = 0
-        for b in batches:
+        for b in T.small(batches):
             ids = T.id_array(b.column("doc_id"))
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):

@@ -62,6 +62,17 @@ def buffers(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np
     return d, o - o[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that what is made of a batch's texts is small beside the batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def slices(column: pa.Array, rows: int = 1000) -> Iterator[pa.Array]:
+    return (column.slice(i, rows) for i in range(0, len(column), rows))
+
+
 def chunks(offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about this many bytes, a longer document alone."""
     i, n = 0, len(offs) - 1
