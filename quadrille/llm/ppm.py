@@ -7,11 +7,11 @@ document's code length.
 
 Pretrained (the default): the followers of all contexts are counted over all documents, and a node of the trie is kept
 if it was seen MIN_COUNT times. Each task counts the byte (ORDER + 1)-grams of its partition; tables of all
-partitions are summed by shards, where a shard holds all contexts that end in the same bytes, so that the counts of
-shorter contexts come from the same shard. The trie, held as sorted arrays and a hash table of the costs of its
-longest paths, is a file in the shared folder that tasks map into memory. What is gathered grows with the input; the
-trie does so until all contexts are known, and beyond MAX_NODES longest paths the least frequent ones are left to
-their shorter contexts, which hold their counts.
+partitions are summed by shards, where a shard holds all paths that end in the same bytes, so that the counts of
+shorter paths come from the same shard. What is kept of them is dealt to parts of some PART_NODES longest paths, where a
+part holds all contexts that end in the same two bytes with all their followers. A part, held as sorted arrays and a
+hash table of the costs of its longest paths, is written by the task that sums it and looked up by tasks that map it
+into memory. Only orders 0 and 1 (256 and 65,536 paths at most) are gathered. The trie has no cap.
 
 Adaptive: each document starts an empty trie that learns as it is read. This walks bytes one by one in Python.
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from quadrille.shared import cut, fresh_path, local_path
 
 ORDER = 4
 MIN_COUNT = 2
-MAX_NODES = 8_000_000
+PART_NODES = 1_000_000
 #: Bytes counted or scored at a time; a dozen 8-byte arrays of that length are held.
 COUNT_CHUNK, SCORE_CHUNK = 1 << 21, 1 << 19
 SHARD_BYTES = 64 << 20
@@ -110,16 +111,18 @@ class Trie:
         bits[open_] += np.log2(np.maximum(256 - gone_d[open_], 1))
         return bits, escapes
 
-    def save(self, folder: str) -> None:
+    def save(self, folder: str, least: int = 0) -> None:
+        """Writes the orders from least on."""
         os.makedirs(folder, exist_ok=True)
         for name in ("grams", "counts", "contexts", "total", "distinct", "parent"):
-            for k, a in enumerate(getattr(self, name)):
-                np.save(f"{folder}/{name}{k}.npy", a)
+            for k in range(least, self.order + 1):
+                np.save(f"{folder}/{name}{k}.npy", getattr(self, name)[k])
         top = self.grams[self.order]
-        bits = max(4, int(4 * len(top)).bit_length())
+        bits = max(4, int(2 * len(top)).bit_length())
         key, value = np.zeros(1 << bits, T.U), np.zeros(1 << bits, np.float32)
         taken = np.zeros(1 << bits, bool)
-        rest, cost = top + T.U(1), self.cost(top)[0].astype(np.float32)  # 0 marks an empty place
+        cost = np.concatenate([np.zeros(0, np.float32), *(self.cost(top[i : i + SCORE_CHUNK])[0].astype(np.float32) for i in range(0, len(top), SCORE_CHUNK))])
+        rest = top + T.U(1)  # 0 marks an empty place
         at = slot(top, bits)
         while len(rest):
             free = ~taken[at]
@@ -133,11 +136,12 @@ class Trie:
         np.save(f"{folder}/value.npy", value)
 
     @classmethod
-    def load(cls, folder: str, order: int) -> Trie:
+    def load(cls, folder: str, order: int, base: Trie | None = None) -> Trie:
+        """The trie of a folder; its orders 0 and 1 from base, if given."""
         t = cls.__new__(cls)
         t.order = order
         for name in ("grams", "counts", "contexts", "total", "distinct", "parent"):
-            setattr(t, name, [np.load(f"{folder}/{name}{k}.npy", mmap_mode="r") for k in range(order + 1)])
+            setattr(t, name, [getattr(base, name)[k] if base and k < 2 else np.load(f"{folder}/{name}{k}.npy", mmap_mode="r") for k in range(order + 1)])
         t.key, t.value = np.load(f"{folder}/key.npy", mmap_mode="r"), np.load(f"{folder}/value.npy", mmap_mode="r")
         return t
 
@@ -163,6 +167,41 @@ class Trie:
         return out, escapes
 
 
+def part_of(keys: np.ndarray, order: int, parts: int) -> np.ndarray:
+    """The part of each gram, by the last two bytes of its context."""
+    return (T.mix(low(keys >> T.U(8), min(2, order))) % T.U(parts)).astype(np.int64)
+
+
+class Parts:
+    """A trie in parts, each loaded when first asked for; grams of a part without paths are left to orders 0 and 1."""
+
+    def __init__(self, folder: str, order: int):
+        self.folder, self.order, self.base = folder, order, Trie.load(folder, order)
+        self.sizes = np.load(f"{folder}/parts.npy")
+        self.held: dict[int, Trie] = {}
+
+    def part(self, p: int) -> Trie:
+        if not self.sizes[p]:
+            return self.base
+        if p not in self.held:
+            self.held[p] = Trie.load(f"{self.folder}/{p}", self.order, self.base)
+        return self.held[p]
+
+    def bits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits and escapes of each gram."""
+        n = len(self.sizes)
+        if n == 1:
+            return self.part(0).bits(keys)
+        of = part_of(keys, self.order, n)
+        by = np.argsort(of, kind="stable")
+        at = np.searchsorted(of[by], np.arange(n + 1))
+        out, escapes = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for p in np.flatnonzero(np.diff(at)):
+            own = by[at[p] : at[p + 1]]
+            out[own], escapes[own] = self.part(int(p)).bits(keys[own])
+        return out, escapes
+
+
 def slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return (T.mix(keys) >> T.U(64 - bits)).astype(np.int64)
 
@@ -175,8 +214,11 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES) -> str | None:
-    """Folder of the trie of all documents; None without any text."""
+def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_nodes: int | None = None) -> str | None:
+    """Folder of the trie of all documents; None without any text.
+
+    With max_nodes, the trie is one part of at most so many longest paths, from the most frequent, gathered here.
+    """
     texts = T.keyed(docs, {"text": "string"}).where("text IS NOT NULL AND text <> ''")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     if not size:
@@ -214,15 +256,59 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
         return pa.table({"n": pa.array(x[0], pa.int32()), "keys": pa.array(x[1], pa.binary()), "counts": pa.array(x[2], pa.binary()), "hist": pa.array(x[3], pa.list_(pa.int64()))})
 
     tables = cut(texts.mapInArrow(count, "shard bigint, keys binary, counts binary").groupBy("shard").applyInArrow(add, "n int, keys binary, counts binary, hist array<bigint>"))
-    # Longest paths by power of two of their count, from the most frequent, as many as fit
     hist = np.zeros(41, np.int64)
     for r in tables.where(F.col("n") == order).select(F.posexplode("hist").alias("b", "x")).groupBy("b").agg(F.sum("x").alias("x")).collect():
         hist[r.b] = r.x
+    folder = fresh_path(docs.sparkSession, "ppm")
+    place = local_path(folder)
+    if max_nodes is not None:
+        _one_part(tables, order, min_count, max_nodes, hist).save(place)
+        np.save(f"{place}/parts.npy", np.zeros(1, np.int64))
+        return folder
+    base = []
+    for n in range(min(2, order + 1)):
+        sums = np.zeros(256 ** (n + 1), np.int64)
+        for r in tables.where(F.col("n") == n).select("keys", "counts").toLocalIterator():
+            sums[np.frombuffer(r["keys"], np.uint64).astype(np.int64)] += np.frombuffer(r["counts"], np.int64)
+        k = np.flatnonzero(sums >= max(1, min_count))
+        base.append((k.astype(np.uint64), sums[k]))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    Trie(base + [none] * (order + 1 - len(base))).save(place)
+    parts = max(1, -(-int(hist.sum()) // PART_NODES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, keys, counts in zip(*(b.column(c).to_pylist() for c in ("n", "keys", "counts")), strict=True):
+                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                of = part_of(k, order, parts)
+                by = np.argsort(of, kind="stable")
+                at = np.searchsorted(of[by], np.arange(parts + 1))
+                own = [p for p in range(parts) if at[p] < at[p + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([n] * len(own), pa.int32()), *(pa.array([T.blob(a[by[at[p] : at[p + 1]]]) for p in own], pa.binary()) for a in (k, c))], ["part", "n", "keys", "counts"])
+
+    def build(t: pa.Table) -> pa.Table:
+        p, made = t.column("part")[0].as_py(), list(base)
+        for n in range(2, order + 1):
+            own = t.filter(pc.equal(t.column("n"), n))
+            k, c = (np.frombuffer(b"".join(own.column(x).to_pylist()), kind) for x, kind in (("keys", np.uint64), ("counts", np.int64)))
+            made.append(summed(k, c))
+        Trie(made).save(f"{place}/{p}", 2)
+        return pa.table({"part": pa.array([p], pa.int64()), "size": pa.array([sum(len(k) for k, _ in made[2:])], pa.int64())})
+
+    sizes = np.zeros(parts, np.int64)
+    for r in tables.where("n >= 2").select("n", "keys", "counts").mapInArrow(deal, "part bigint, n int, keys binary, counts binary").groupBy("part").applyInArrow(build, "part bigint, size bigint").collect():
+        sizes[r.part] = r["size"]
+    np.save(f"{place}/parts.npy", sizes)
+    return folder
+
+
+def _one_part(tables: DataFrame, order: int, min_count: int, max_nodes: int, hist: np.ndarray) -> Trie:
+    # Longest paths by power of two of their count, from the most frequent, as many as fit
     at_least = np.cumsum(hist[::-1])[::-1]
     floor = 1 << int(np.argmax(at_least <= max_nodes)) if at_least[0] > max_nodes else 0
     by_order: list[tuple[list, list]] = [([], []) for _ in range(order + 1)]
     for r in tables.select("n", "keys", "counts").toLocalIterator():
-        k, c = np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)
+        k, c = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
         keep = c >= floor if r.n >= 2 else np.ones(len(c), bool)
         by_order[r.n][0].append(k[keep])
         by_order[r.n][1].append(c[keep])
@@ -231,9 +317,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
         k, c = summed(np.concatenate(k), np.concatenate(c))
         keep = c >= max(min_count, floor if n >= 2 else 0)
         made.append((k[keep], c[keep]))
-    folder = fresh_path(docs.sparkSession, "ppm")
-    Trie(made).save(local_path(folder))
-    return folder
+    return Trie(made)
 
 
 class ByteTrie:
@@ -288,7 +372,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, adapt
     place = folder and local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie.load(place, order) if place else None
+        trie = Parts(place, order) if place else None
         for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
             n = np.diff(offs)

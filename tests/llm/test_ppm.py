@@ -43,6 +43,21 @@ def test_fewer_nodes_still_score_all(make, monkeypatch):
     assert ppm.train(make([(1, ""), (2, None)])) is None
 
 
+def test_parts_score_as_one_trie(make, monkeypatch):
+    rows = [(i, prose(i, 40)) for i in range(12)]
+    want = {r.doc_id: (r.bits, r.escapes) for r in ppm.score(make(rows)).collect()}
+    monkeypatch.setattr(ppm, "PART_NODES", 60)
+    folder = ppm.local_path(ppm.train(make(rows)))
+    parts = ppm.Parts(folder, ppm.ORDER)
+    counts = {}
+    for _, t in rows:
+        for k in ppm.grams(*ppm.T.buffers(ppm.pa.array([t])), ppm.ORDER).tolist():
+            counts[k] = counts.get(k, 0) + 1
+    kept = [k for p in range(len(parts.sizes)) if parts.sizes[p] for k in parts.part(p).grams[ppm.ORDER].tolist()]
+    assert len(parts.sizes) > 3 and sorted(kept) == sorted(k for k, n in counts.items() if n >= ppm.MIN_COUNT)
+    assert {r.doc_id: (r.bits, r.escapes) for r in ppm.score(make(rows)).collect()} == want
+
+
 def test_odd_rows(odd):
     got = ppm.score(odd).collect()
     assert len(got) == odd.count()
