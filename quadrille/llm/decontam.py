@@ -4,7 +4,9 @@ Numbers, names and units are replaced by typed placeholders, so that a question
 the same template. Windows of K template tokens of the benchmark form a hash table; windows of the documents are
 joined with it. Matches of a document with an item on one diagonal (document position minus item position) are an
 alignment; within it each slot value of the item must stand for one value in the document and the other way round,
-else the slots are inconsistent. A document is contaminated by an item when consistent alignments cover at least
+else the slots are inconsistent. With `runs`, as the query and the pipeline ask for, an inconsistent alignment still
+counts by its longest run of windows that is consistent, and by all windows whose slot values are the item's own;
+without, it counts for nothing. A document is contaminated by an item when consistent alignments cover at least
 MIN_COVERAGE of the item's tokens.
 
 Number: a word that begins with a digit (with what follows after . , : / or - before another digit), or a number
@@ -22,6 +24,7 @@ side gives no rows; a null doc_id or item_id stays null; other columns are not t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -145,7 +148,47 @@ def prepare(items: list[tuple]) -> Benchmark:
     return Benchmark([i for i, _ in items], t, widths)
 
 
-def match(data: np.ndarray, offs: np.ndarray, bench: Benchmark) -> Iterator[tuple[int, int, int, float, int, bool, bool]]:
+def _one_to_one(pairs: set[tuple[int, int, int]]) -> bool:
+    return len(pairs) == len({(k, u) for k, u, _ in pairs}) == len({(k, v) for k, _, v in pairs})
+
+
+def _consistent_part(at: list[tuple[int, int]], slot: dict[int, tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of windows (first token, width) in order: the run with one value for each value that covers most tokens, and all
+    windows with equal values. slot gives kind, the item's value and the document's of the tokens that are slots."""
+    inside = [[slot[x] for x in range(p, p + w) if x in slot] for p, w in at]
+    pairs: Counter = Counter()
+    left: Counter = Counter()
+    right: Counter = Counter()
+    best, most, i = (0, 0), 0, 0
+
+    def add(x: tuple[int, int, int]) -> None:
+        pairs[x] += 1
+        if pairs[x] == 1:
+            left[x[0], x[1]] += 1
+            right[x[0], x[2]] += 1
+
+    def drop(x: tuple[int, int, int]) -> None:
+        pairs[x] -= 1
+        if not pairs[x]:
+            left[x[0], x[1]] -= 1
+            right[x[0], x[2]] -= 1
+
+    covered = 0  # tokens of windows i to j
+    for j, (p, w) in enumerate(at):
+        for x in inside[j]:
+            add(x)
+        covered += w - max(0, at[j - 1][0] + at[j - 1][1] - p) if j > i else w
+        while i <= j and any(left[k, u] > 1 or right[k, v] > 1 for k, u, v in inside[j]):
+            for x in inside[i]:
+                drop(x)
+            covered -= min(at[i][1], at[i + 1][0] - at[i][0]) if i < j else at[i][1]
+            i += 1
+        if covered > most:
+            best, most = (i, j + 1), covered
+    return [x for n, x in enumerate(at) if best[0] <= n < best[1] or all(u == v for _, u, v in inside[n])]
+
+
+def match(data: np.ndarray, offs: np.ndarray, bench: Benchmark, runs: bool = False) -> Iterator[tuple[int, int, int, float, int, bool, bool]]:
     """(document, item, windows, coverage, slots, consistent, same) for documents that share a window with an item."""
     for i, j in T.chunks(offs):
         t = templates(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
@@ -172,13 +215,23 @@ def match(data: np.ndarray, offs: np.ndarray, bench: Benchmark) -> Iterator[tupl
             slots, same = 0, True
             for d in np.unique(x[a:b, 2]):
                 own = np.zeros(hi - lo, bool)
-                for _, _, _, p, w in x[a:b][x[a:b, 2] == d]:
+                windows = [(int(p), int(w)) for _, _, _, p, w in x[a:b][x[a:b, 2] == d]]
+                for p, w in windows:
                     own[p - lo : p - lo + w] = True
                 every |= own
                 q = np.flatnonzero(own) + lo
                 q = q[bench.tokens.kind[q] != LITERAL]
                 pairs = set(zip(bench.tokens.kind[q].tolist(), bench.tokens.value[q].tolist(), t.value[q + d].tolist(), strict=True))
-                if len(pairs) == len({(k, v) for k, v, _ in pairs}) == len({(k, v) for k, _, v in pairs}):
+                if not _one_to_one(pairs):
+                    if not runs:
+                        continue
+                    slot = {int(y): (int(bench.tokens.kind[y]), int(bench.tokens.value[y]), int(t.value[y + d])) for y in q}
+                    own[:] = False
+                    for p, w in _consistent_part(windows, slot):
+                        own[p - lo : p - lo + w] = True
+                    q = q[own[q - lo]]
+                    pairs = {slot[int(y)] for y in q}
+                if own.any():
                     good |= own
                     slots = max(slots, len(q))
                     same &= all(u == v for _, u, v in pairs)
@@ -198,7 +251,7 @@ def _slices(benchmark: DataFrame) -> list[Benchmark]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, all_matches: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, all_matches: bool = False, runs: bool = False) -> DataFrame:
     """doc_id, item_id, windows, coverage, slots, consistent, same_values, contaminated for every document and item that
     contaminates it; with all_matches, for every two that share a template window."""
     schema = "doc_id bigint, item_id bigint, windows bigint, coverage double, slots bigint, consistent boolean, same_values boolean, contaminated boolean"
@@ -212,7 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             for b in T.small(batches):
                 data, offs = T.buffers(b.column("text"))
                 ids = b.column("doc_id").to_pylist()
-                rows = [(ids[d], b_.ids[i], n, round(c, 6), s, ok, same, ok and c >= min_coverage) for d, i, n, c, s, ok, same in match(data, offs, b_) if all_matches or (ok and c >= min_coverage)]
+                rows = [(ids[d], b_.ids[i], n, round(c, 6), s, ok, same, ok and c >= min_coverage) for d, i, n, c, s, ok, same in match(data, offs, b_, runs) if all_matches or (ok and c >= min_coverage)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_()], strict=True)], names)
 
@@ -221,7 +274,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, runs: bool = False) -> DataFrame:
     """The rows of docs that no item contaminates, with their own columns."""
 
     def keeper(shared):
@@ -229,7 +282,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
         def kept(texts: pa.Array) -> pa.Array:
             out, at = np.ones(len(texts), bool), 0
             for t in T.slices(texts):
-                for d, _, _, c, _, ok, _ in match(*T.buffers(t), shared.value):
+                for d, _, _, c, _, ok, _ in match(*T.buffers(t), shared.value, runs):
                     if ok and c >= min_coverage:
                         out[at + d] = False
                 at += len(t)
@@ -243,9 +296,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), runs=True)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), runs=True)

@@ -43,6 +43,32 @@ def test_reparameterised_is_caught_and_inconsistent_is_told_apart(bench, make):
     assert kept >= {3, 4} and not kept & {1, 2, 5, 6}
 
 
+def test_one_changed_value_leaves_the_rest_of_a_copy(bench, make, spark, tmp_path):
+    docs = make([(3, prose(4, 30) + ". " + BROKEN), (2, OTHER), (4, prose(5, 200))])
+    got = {r.doc_id: r for r in decontam.leaks(docs, bench, runs=True).collect()}
+    assert set(got) == {2, 3} and got[3].coverage > 0.5 and got[2].coverage == 1.0
+    assert {r.doc_id for r in decontam.clean(docs, bench, runs=True).collect()} == {4}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in decontam.op2_decontaminate(spark, str(tmp_path)).collect()} == {2, 3}
+    assert {r.doc_id for r in decontam.stage(spark, docs, str(tmp_path)).collect()} == {4}
+
+
+def test_longest_consistent_run():
+    g = __import__("random").Random(5)
+    for _ in range(300):
+        slot = {i: (g.randrange(1, 3), g.randrange(3), g.randrange(3)) for i in range(30) if g.random() < 0.4}
+        at = [(p, 4) for p in range(27) if g.random() < 0.7]
+        tokens = lambda ws: {x for p, w in ws for x in range(p, p + w)}
+        pairs = lambda ws: {slot[x] for x in tokens(ws) if x in slot}
+        most = max((len(tokens(at[i:j])) for i in range(len(at)) for j in range(i + 1, len(at) + 1) if decontam._one_to_one(pairs(at[i:j]))), default=0)
+        same = [w for w in at if all(u == v for _, u, v in pairs([w]))]
+        got = decontam._consistent_part(at, slot)
+        assert set(same) <= set(got) and len(tokens(got)) >= most
+        best = [at[i:j] for i in range(len(at)) for j in range(i, len(at) + 1) if len(tokens(at[i:j])) == most and decontam._one_to_one(pairs(at[i:j]))]
+        assert any(set(got) == set(same) | set(r) for r in best)
+
+
 def brute(rows, items, k=decontam.K):
     """Documents and items that share a window of template tokens, compared as lists."""
     def lists(text):
