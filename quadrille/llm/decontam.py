@@ -13,12 +13,14 @@ Number: a word that begins with a digit (with what follows after . , : / or - be
 word. Unit: a unit word right after a number. Name: capitalised words that do not begin a sentence, neighbours taken
 together; words in capitals throughout are ordinary words. Other words count without case.
 
+A window of fewer than MIN_LITERALS ordinary words says too little as a template and is joined on its exact values.
+
 The benchmark is broadcast in slices of at most SLICE_BYTES of text, each with its own pass over the documents, so
 that nothing sent to a task grows with it.
 
 Defined results: a null or empty text matches nothing and is kept; an item without a word matches nothing; an item of
-fewer than K tokens is one window of all its tokens, unless fewer than MIN_LITERALS of them are ordinary words; texts
-of any length are used whole; repeated rows are judged alike; equal items are reported each; an empty table on either
+fewer than K tokens is one window of all its tokens, so that one of few ordinary words is found where it stands word for
+word, be it a single word; texts of any length are used whole; repeated rows are judged alike; equal items are reported each; an empty table on either
 side gives no rows; a null doc_id or item_id stays null; other columns are not touched.
 """
 
@@ -48,6 +50,7 @@ grams kilogram kilograms""".split()
 NUMBER_WORDS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
 nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
 _SLOT = T.mix(np.arange(11, 15, dtype=np.uint64) * T.U(0x9E3779B97F4A7C15))
+_EXACT = T.U(0xD6E8FEB86659FD93)
 _DIGIT = np.array([48 <= i < 58 for i in range(256)])
 _UPPER = np.array([65 <= i < 91 for i in range(256)])
 _JOINS = np.isin(np.arange(256), list(b".,:/-"))
@@ -125,13 +128,20 @@ class Benchmark(NamedTuple):
 
 
 def _windows(t: Templates, width: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of the windows of the documents in `of` that hold enough ordinary words."""
+    """Hash and first token of the windows of the documents in `of`: of the template where it holds enough ordinary words,
+    else of the exact values."""
     n = np.maximum(np.diff(t.offs)[of] - width + 1, 0)
     at = T.ragged(t.offs[:-1][of], n)
     words = np.zeros(len(t.kind) + 1, np.int64)
     np.cumsum(t.kind == LITERAL, out=words[1:])
-    at = at[words[at + width] - words[at] >= MIN_LITERALS]
-    return T.window_hash(t.token, width)[at] if len(at) else np.zeros(0, T.U), at
+    if not len(at):
+        return np.zeros(0, T.U), at
+    h = T.window_hash(t.token, width)[at]
+    few = words[at + width] - words[at] < MIN_LITERALS
+    if few.any():
+        exact = np.where(t.kind == LITERAL, t.value, T.mix(t.value ^ _SLOT[t.kind]))
+        h[few] = T.mix(T.window_hash(exact, width)[at[few]] ^ _EXACT)
+    return h, at
 
 
 def prepare(items: list[tuple]) -> Benchmark:
@@ -215,7 +225,9 @@ def match(data: np.ndarray, offs: np.ndarray, bench: Benchmark, runs: bool = Fal
             slots, same = 0, True
             for d in np.unique(x[a:b, 2]):
                 own = np.zeros(hi - lo, bool)
-                windows = [(int(p), int(w)) for _, _, _, p, w in x[a:b][x[a:b, 2] == d]]
+                windows, exact = [], []
+                for p, w in x[a:b][x[a:b, 2] == d][:, 3:].tolist():
+                    (windows if (bench.tokens.kind[p : p + w] == LITERAL).sum() >= MIN_LITERALS else exact).append((p, w))
                 for p, w in windows:
                     own[p - lo : p - lo + w] = True
                 every |= own
@@ -223,18 +235,17 @@ def match(data: np.ndarray, offs: np.ndarray, bench: Benchmark, runs: bool = Fal
                 q = q[bench.tokens.kind[q] != LITERAL]
                 pairs = set(zip(bench.tokens.kind[q].tolist(), bench.tokens.value[q].tolist(), t.value[q + d].tolist(), strict=True))
                 if not _one_to_one(pairs):
-                    if not runs:
-                        continue
                     slot = {int(y): (int(bench.tokens.kind[y]), int(bench.tokens.value[y]), int(t.value[y + d])) for y in q}
                     own[:] = False
-                    for p, w in _consistent_part(windows, slot):
+                    for p, w in _consistent_part(windows, slot) if runs else ():
                         own[p - lo : p - lo + w] = True
-                    q = q[own[q - lo]]
-                    pairs = {slot[int(y)] for y in q}
+                for p, w in exact:  # equal by their hash, whatever the other slots are
+                    own[p - lo : p - lo + w] = every[p - lo : p - lo + w] = True
                 if own.any():
                     good |= own
+                    q = np.flatnonzero(own & (bench.tokens.kind[lo:hi] != LITERAL)) + lo
                     slots = max(slots, len(q))
-                    same &= all(u == v for _, u, v in pairs)
+                    same &= bool((bench.tokens.value[q] == t.value[q + d]).all())
             consistent = bool(good.any())
             yield i + doc, item, b - a, float((good if consistent else every).sum() / (hi - lo)), slots, consistent, consistent and same
 

@@ -54,6 +54,14 @@ def test_one_changed_value_leaves_the_rest_of_a_copy(bench, make, spark, tmp_pat
     assert {r.doc_id for r in decontam.stage(spark, docs, str(tmp_path)).collect()} == {4}
 
 
+def test_windows_of_few_ordinary_words_match_word_for_word(spark, make):
+    items = [(1, "What is 12 times 7?"), (2, "Compute 345 + 678"), (3, "9 8 7 6 5"), (4, "add 11 12 13 14 15 16 17 18 19 and 20")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = make([(10 + i, f"{prose(i, 30)}. {t} {prose(50 + i, 30)}") for i, t in items] + [(21, "What is 13 times 7?"), (22, "Compute 345 + 679"), (23, "9 8 7 6 4"), (24, "add 12 11 13 14 15 16 18 17 19 and 20")])
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(docs, bench).collect()} == {(10 + i, i, 1.0) for i in range(1, 5)}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {21, 22, 23, 24}
+
+
 def test_longest_consistent_run():
     g = __import__("random").Random(5)
     for _ in range(300):
