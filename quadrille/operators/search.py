@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import labels as L
 from quadrille.functions.terms import quad_id, result_id, textual
 from quadrille.operators.filters import QuadFilter, filter_quads
+from quadrille.shared import cut
 
 CHUNK_SIZE = 1000
 RRF_K = 60
@@ -228,16 +229,28 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "v
 
 
 # Fusion
+def ranked(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """keys and rank over the whole list: a sort by ranges, where each range starts after the counts of those before."""
+    place = F.monotonically_increasing_id()
+    rows = df.select(*keys, score).repartitionByRange(F.desc(score), *[F.asc(k) for k in keys]).sortWithinPartitions(F.desc(score), *keys)
+    rows = cut(rows.select(*keys, F.shiftright(place, 33).alias("range"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    counts = rows.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "range").select(*keys, (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
 def rrf(lists: list[DataFrame], keys: list[str], score: str = "score", k: int = RRF_K, depth: int | None = None) -> DataFrame:
     """keys and score: the sum of 1 / (k + rank) over the lists, divided by the most that could be had.
 
-    The ranking of a list is a sort of the hits; depth takes the first so many of each.
+    Whole lists are ranked; depth, if given, takes the first so many of each.
     """
     parts = []
     for df in lists:
         if depth is not None:
             df = df.orderBy(F.desc(score), *keys).limit(depth)
-        parts.append(df.select(*keys, F.row_number().over(Window.orderBy(F.desc(score), *keys)).alias("rank")))
+            parts.append(df.select(*keys, F.row_number().over(Window.orderBy(F.desc(score), *keys)).alias("rank")))
+        else:
+            parts.append(ranked(df, keys, score))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
@@ -266,7 +279,7 @@ def search_index(index: DataFrame, query: str, mode: str = "hybrid", service: Em
         found.append(v.select(*keys, cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("score")).where("score > 0"))
     if not found:
         raise ValueError(f"unknown search mode {mode}")
-    hits = found[0] if len(found) == 1 else rrf(found, keys, depth=max(100, 10 * top_k))
+    hits = found[0] if len(found) == 1 else rrf(found, keys)
     hits = hits.orderBy(F.desc("score"), *keys).limit(top_k).where(F.col("score") >= min_score)
     named = rows.select(*keys, "subject", "predicate", "graph", "value")
     out = named.join(F.broadcast(hits), keys)

@@ -76,6 +76,22 @@ def test_rrf(spark):
     assert math.isclose(got["x"], (1 / 61 + 1 / 62) * 61 / 2) and math.isclose(got["x"], got["y"]) and got["z"] < got["x"]
 
 
+def test_ranks_of_whole_lists(spark):
+    rows = [(i, (i * 7919) % 1000 // 3 / 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, score double").repartition(7)
+    want = {i: r + 1 for r, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+    assert {r.id: r.rank for r in S.ranked(df, ["id"]).collect()} == want
+
+
+def test_fusion_sees_hits_deep_in_a_list(spark):
+    at = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(f"k{i:03}", ["w"] + ["x"] * i, at(0.011 * 101) if i == 12 else [-1.0, 0.0]) for i in range(1, 13)]
+    rows += [(f"v{i:03}", ["y"], at(0.011 * i)) for i in range(1, 101)]
+    index = spark.createDataFrame([(q, 0, q, "p", "", q, " ".join(t), t, e) for q, t, e in rows], "quad_id string, position int, subject string, predicate string, graph string, value string, fts_value string, terms array<string>, embedding array<double>")
+    best = S.search_index(index, "w", "hybrid", S.ConstantEmbedding(2), top_k=1).collect()
+    assert [r.subject for r in best] == ["k012"] and math.isclose(best[0].score, (1 / 72 + 1 / 161) * 61 / 2)
+
+
 @pytest.fixture(scope="module")
 def indexed(spark):
     store = QuadStore(spark)
