@@ -121,8 +121,15 @@ class Group:
         return g
 
 
+def nearest_by_id(d2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Columns of one id taken together, to the least of each row."""
+    order = np.argsort(ids, kind="stable")
+    lead = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]])) if len(ids) else order
+    return d2 if len(lead) == len(ids) else np.minimum.reduceat(d2[:, order], lead, axis=1)
+
+
 def search(q: Group, top: dict[str, np.ndarray], load, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, neighbour id, distance), the k nearest of each row of q, in order."""
+    """(query row, neighbour id, distance), the k nearest ids of each row of q by their nearest vectors, in order."""
     n = len(q.ids)
     rows, ids, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     worst = np.full(n, np.inf)
@@ -151,8 +158,9 @@ def search(q: Group, top: dict[str, np.ndarray], load, k: int) -> tuple[np.ndarr
                 own = T.ragged(r.bounds[take, 0], r.bounds[take, 1] - r.bounds[take, 0])
                 d2 = distances2(q.x[a:b], r.x[own])
                 d2[q.ids[a:b, None] == r.ids[own][None, :]] = np.inf
-                if d2.shape[1] > k:
-                    limit = np.minimum(limit, np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1]) + slack)
+                least = nearest_by_id(d2, r.ids[own])
+                if least.shape[1] > k:
+                    limit = np.minimum(limit, np.sqrt(np.partition(least, k - 1, axis=1)[:, k - 1]) + slack)
                 i, j = np.nonzero(d2 <= ((limit + slack) ** 2)[:, None])
                 i, j = i[np.isfinite(d2[i, j])], j[np.isfinite(d2[i, j])]
                 exact = np.sqrt(((q.x[a + i] - r.x[own[j]]) ** 2).sum(axis=1))
@@ -161,6 +169,11 @@ def search(q: Group, top: dict[str, np.ndarray], load, k: int) -> tuple[np.ndarr
                 near = np.concatenate([near[:at], near[at:][gap[leaf][near[at:]] <= bound + slack]])
         if got:
             rows, ids, dist = (np.concatenate([old, *new]) for old, new in zip((rows, ids, dist), zip(*got, strict=True), strict=True))
+            order = np.lexsort((dist, ids, rows))
+            rows, ids, dist = rows[order], ids[order], dist[order]
+            lead = np.ones(len(rows), bool)
+            lead[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+            rows, ids, dist = rows[lead], ids[lead], dist[lead]
             order = np.lexsort((ids, dist, rows))
             rows, ids, dist = rows[order], ids[order], dist[order]
             lead = np.searchsorted(rows, np.arange(n))

@@ -33,6 +33,22 @@ def test_many_copies_and_a_line(spark):
     assert {tuple(r) for r in covertree.top_k(frame(spark, rows), 4, group=30).collect()} == brute(rows, 4)
 
 
+@pytest.mark.parametrize("group", [25, 1000])
+def test_an_id_with_many_vectors_takes_one_place(spark, group):
+    g = np.random.default_rng(3)
+    rows = [(0, [0.0, 0.0])] + [(1, [0.001 * (c + 1), 0.0]) for c in range(30)]
+    rows += [(int(i), np.round(g.normal(size=2), 3).tolist()) for i in g.integers(2, 40, 120)]
+    least = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i != j:
+                least[i, j] = min(least.get((i, j), np.inf), float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())))
+    want = set()
+    for i in {i for i, _ in rows}:
+        want |= {(i, r + 1, j, round(d, 6)) for r, (d, j) in enumerate(sorted((d, j) for (a, j), d in least.items() if a == i)[:10])}
+    assert {tuple(r) for r in covertree.top_k(frame(spark, rows), 10, group=group).collect()} == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (None, [1.0, 1.0]), (5, [0.0, 0.0]), (6, [3.0, 4.0]), (6, [3.0, 4.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 4.0]), (10, [0.0])]
     got = {tuple(r) for r in covertree.top_k(frame(spark, rows), 3).collect()}
