@@ -39,15 +39,17 @@ francisco javier antonio manuel carmen isabel lucia elena pierre jean jacques mi
 klaus wolfgang jurgen heinrich ursula helga greta ingrid ahmed mohammed ali fatima omar yusuf wei li ming hiroshi yuki""".split()
 _NUM = re.compile(
     rb"(?<![\w.])(?:"
-    rb"(?P<IP>\d{1,3}(?:\.\d{1,3}){3}(?![\d])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})"
+    rb"(?P<IP>\d{1,3}(?:\.\d{1,3}){3}(?![\d])|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:]))"
     rb"|(?P<SSN>\d{3}-\d{2}-\d{4}(?!\d))"
     rb"|(?P<CARD>\d{4}(?:[ -]\d{4}){3}(?!\d)|3\d{3}[ -]\d{6}[ -]\d{5}(?!\d)|\d{13,19}(?!\d))"
-    rb"|(?P<PHONE>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|\d{3}[.\- ]\d{3}[.\- ]\d{4}(?!\d)|0\d{2,4}[ /\-]\d{3,8}(?!\d))"
-    rb"|(?P<NUMBER>\d[\d.,/:\-]{4,}\d))"
+    rb"|(?P<PHONE>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|\d{3}[.\- ]\d{3}[.\- ]\d{4}(?!\d)|0\d{2,4}[ /\-]\d{3,8}(?!\d)"
+    rb"|\+\d{7,15}(?!\d)|\+\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,7}(?!\d)|0\d(?:[ .\-]\d\d){4}(?!\d)|\d{3}(?:[ \-]\d{3}){2}(?!\d)|\d{3}(?:[ \-]\d\d){3}(?!\d)|\d{9,12}(?![.,/:\-]?\d))"
+    rb"|(?P<NUMBER>\d[\d.,/:\-]{4,}\d|\d{1,5}(?:[ .\-/]\d{1,5}){1,9}(?!\d)))"
 )
 _LEFT = re.compile(rb"[A-Za-z0-9._%+\-\x80-\xff]+$")
 _RIGHT = re.compile(rb"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _ASSIGN = re.compile(rb"(?:token|secret|password|passwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer)[\"']?\s*(?:[=:]|is)\s*[\"']?([^\s\"']{6,})", re.I)
+_SPACED_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IBAN = re.compile(rb"[A-Z]{2}\d{2}[A-Z0-9]{11,30}$")
 _POSITIVE = re.compile(rb"token|secret|passw|key|bearer|phone|tel\b|call|mobile|fax|card|visa|account|iban|ssn|social sec|e-?mail|contact|mailto|\bip\b|host|address|reach", re.I)
 _NEGATIVE = re.compile(rb"version|page|isbn|issn|order|figure|chapter|section|vol\b|volume|copyright|license|serial|table|no\.|release|build", re.I)
@@ -55,7 +57,7 @@ _DATE = re.compile(rb"(?:\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}|\d{1,2}:\d{2}(?::\d{2
 _DOMAINS = re.compile(rb"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|it|info|co|us|eu|ch|at|nl|ru|cn|jp|br|in)$", re.I)
 _IIN = re.compile(rb"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
 #: Labelers by number: what each says of a span is in votes().
-LABELERS = ("rx_email", "rx_ip", "rx_card", "rx_luhn", "rx_phone", "rx_ssn", "rx_secret", "rx_iban", "rx_date", "rx_number", "gz_domain", "gz_iin", "gz_name", "gz_template", "cx_near", "cx_against", "cx_assign")
+LABELERS = ("rx_email", "rx_ip", "rx_card", "rx_luhn", "rx_phone", "rx_ssn", "rx_secret", "rx_iban", "rx_date", "rx_number", "gz_domain", "gz_iin", "gz_name", "gz_template", "cx_near", "cx_against", "cx_assign", "rx_plain")
 
 
 def _name_hashes() -> np.ndarray:
@@ -102,7 +104,7 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes,
         for m in _ASSIGN.finditer(raw):
             a, b = m.span(1)
             body = raw[a:b].rstrip(b"!?#$%&*.,;)")
-            if len(body) >= 6 and any(48 <= x < 58 for x in body):
+            if len(body) >= 6:
                 found.append((a, a + len(body), "SECRET"))
         for w in long[long_of[d] : long_of[d + 1]]:
             word = raw[s[w] - o : e[w] - o]
@@ -110,7 +112,8 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes,
             if kind:
                 found.append((int(s[w] - o), int(e[w] - o), kind))
         if digits[offs[d + 1]] > digits[o]:
-            found += [(*m.span(), m.lastgroup) for m in _NUM.finditer(raw)]
+            found += [(*m.span(), "IBAN") for m in _SPACED_IBAN.finditer(raw)]
+            found += [(*m.span(), m.lastgroup) for m in _NUM.finditer(raw) if m.lastgroup != "NUMBER" or b" " not in m[0] or 7 <= sum(48 <= c < 58 for c in m[0]) <= 20]
         for w in named[named_of[d] : named_of[d + 1]]:
             found.append((int(s[w] - o), int(e[w + 1] - o), "PERSON"))
         taken: list[tuple[int, int, str]] = []
@@ -144,7 +147,7 @@ def votes(raw: bytes, start: int, end: int, kind: str) -> tuple[int, ...]:
         1 if good_ip else no(kind == "IP"),
         yes(kind == "CARD" and len(digits) in (15, 16)),
         yes(kind == "CARD" and luhn(digits)),
-        yes(kind == "PHONE" and 7 <= len(digits) <= 15),
+        yes(kind == "PHONE" and 7 <= len(digits) <= 15 and not span.isdigit()),
         1 if kind == "SSN" and span[:3] not in (b"000", b"666") and span[:1] != b"9" else no(kind == "SSN"),
         yes(kind == "SECRET" and len(span) >= 20 and len(parts) >= 8),
         yes(kind == "IBAN"),
@@ -157,6 +160,7 @@ def votes(raw: bytes, start: int, end: int, kind: str) -> tuple[int, ...]:
         yes(bool(_POSITIVE.search(near))),
         no(bool(_NEGATIVE.search(near)) and not _POSITIVE.search(near)),
         yes(kind == "SECRET" and near.rstrip(b"\"' ")[-1:] in (b"=", b":")),
+        no((kind == "SECRET" and not digits and near[-1:] not in (b"=", b'"', b"'")) or (kind == "PHONE" and span.isdigit() and not _POSITIVE.search(near))),
     )
 
 

@@ -36,6 +36,28 @@ def test_spans(make):
     assert {(r.doc_id, r.start) for r in pii.spans(make(corpus())).collect()} == {(r.doc_id, r.start) for r in got if r.is_pii}
 
 
+def kinds(text):
+    return [(k, raw[s:e].decode()) for _, raw, found in pii.candidates(*pii.T.buffers(pii.pa.array([text]))) for s, e, k in found]
+
+
+def test_ordinary_forms_are_candidates():
+    for kind, span in [("PHONE", "+33 1 23 45 67 89"), ("PHONE", "01 23 45 67 89"), ("PHONE", "612 345 678"), ("PHONE", "+33123456789"), ("PHONE", "612 34 56 78"), ("IP", "2001:db8::1"), ("IP", "fe80::1:2"), ("IBAN", "DE89 3704 0044 0532 0130 00"), ("IBAN", "FR76 3000 6000 0112 3456 7890 189"), ("PHONE", "5551234567"), ("PHONE", "612345678"), ("NUMBER", "12 3456 789")]:
+        assert kinds(f"it is {span} so") == [(kind, span)]
+    assert kinds('password = "correcthorse"') == [("SECRET", "correcthorse")]
+    assert kinds("std::vector and abc::def in 1998") == []
+
+
+def test_ordinary_forms_are_redacted(make):
+    forms = {"PHONE": ["+33 1 23 45 67 89", "01 23 45 67 89", "612 345 678"], "IP": ["2001:db8::1"], "IBAN": ["DE89 3704 0044 0532 0130 00"]}
+    rows = corpus() + [(1000 + c, f"write to {s} {prose(c, 10)}") for c, s in enumerate(s for k in forms for s in forms[k])]
+    rows += [(1100, 'password = "correcthorse" there'), (1101, "call 5551234567 there"), (1102, "phone 612345678 there"), (1103, "serial 5551234568 there")]
+    out = {r.doc_id: r.text for r in pii.redact(make(rows)).collect()}
+    for c, k in enumerate(k for k in forms for _ in forms[k]):
+        assert out[1000 + c].startswith(f"write to [{k}] ")
+    assert out[1100] == 'password = "[SECRET]" there'
+    assert [out[i].split()[1] for i in (1101, 1102, 1103)] == ["[PHONE]", "[PHONE]", "5551234568"]
+
+
 def test_redaction(make):
     docs = make(corpus())
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
