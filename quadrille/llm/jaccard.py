@@ -1,22 +1,30 @@
-"""N-gram Jaccard join by T-occurrence search.
-
-A document is the set of its word n-grams. Documents with equal sets are one set, named by its smallest doc_id. To
-bring sets that may be alike to one place, each set's one-permutation minhash is cut into bands; sets that share a
-band are connected, and connected components are the blocks. With 40 bands of 4 values, a pair at the threshold of
-0.5 shares a band with probability 0.92, one at 0.6 with 0.996; that is the only approximate step. In a block,
-every set is a query on an inverted index of the sets before it in order of size: T-occurrence search with DivideSkip
-heap-merges the short lists, binary-probes the long ones for the sets that can still reach the overlap T, and keeps
-those whose Jaccard similarity reaches the threshold. Blocks beyond SLICE n-grams are searched as pairs of slices, so
-that no task grows with a block; nothing is left out.
-
-Result: doc_a < doc_b, overlap and jaccard. Of sets of equal documents, every other document is paired with the
-smallest doc_id (jaccard 1), and pairs with other sets are given for that one; the pairs hence connect all documents
-that are alike, without a row for each of the n * n pairs of n copies.
-
-Defined results: a null or empty text, or one without a word, has no n-grams and is in no pair; a text of fewer words
-than n is one n-gram of all its words; a text of any length is used whole; rows with a null doc_id are in no pair;
-repeated rows count once; a document is never paired with itself; an empty table gives no pairs; columns other than
-doc_id and text are not touched.
+"""N-gram Jaccard join by T-occurrence search over a partitioned inverted index.
+
+A document is the set of its word n-grams; documents with equal sets are one set, named by a hash of it and shown by its
+smallest doc_id. No step is approximate:
+
+1. One pass over the texts counts which n-grams occur in two sets or more. A task takes its documents in chunks, drops
+   what repeats within a chunk and sends each n-gram of a chunk once, as 32 bits of its hash and its owner, to the bucket
+   of the hash; a bucket answers each chunk with the number of n-grams that others have as well, by owner. Colliding
+   hashes only count too many. A set of n n-grams with fewer than threshold * n of them shared is in no pair and goes.
+2. The sets that stay, a small part, get the exact frequency of their n-grams and keep those of two sets or more,
+   rarest first. With T = ceil(threshold * n), two similar sets share an n-gram among the first (shared - T + 1) of
+   each: these are the short lists of DivideSkip, the rest its long ones.
+3. Sets are dealt to shards of at most about SLICE n-grams, by the smallest hash of their n-grams, so that near copies
+   lie together; what exceeds a shard is dealt on by the set's hash. A set goes to its own shard and to the later ones
+   that hold a set with one of its short lists.
+4. Each shard is an inverted index, sets in order of size. A query's lists are cut to the sizes that can reach the
+   threshold; the short ones are heap-merged, the long ones binary-probed for sets that can still reach T, and those
+   whose similarity reaches the threshold are links. A task adds links up and connects sets; it does not emit them.
+
+Result: one row for each document with a link: doc_id, class_id (the smallest doc_id of the documents connected with it),
+n_grams (in its set) and n_links (texts similar to it: copies with the same set and all texts of similar sets).
+
+Defined results: a null or empty text, or one without a word, has no n-grams and no row; a text of fewer words than n is
+one n-gram of all its words; a text of any length is used whole; rows with a null doc_id have no row; repeated rows (same
+id, same set) count once; an id with several texts has the links of all of them (one with another included), the smallest
+of their classes and the largest of their sizes; an empty table gives no rows; columns other than doc_id and text are not
+touched.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,74 +45,132 @@ from quadrille.shared import cut
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 40, 4
+#: N-grams of a chunk, and documents, whose place in it has 16 bits.
+CHUNK, CHUNK_DOCS = 1 << 20, 60_000
+#: N-grams of a bucket, about; and buckets at most, beyond which they grow.
+BUCKET, MAX_BUCKETS = 1 << 20, 1 << 19
+#: N-grams of a shard, and of the queries that a task puts to it.
 SLICE = 1 << 21
-BATCH = 1 << 18
 #: Lists of up to so many sets are always merged.
 SHORT = 16
 MU = 0.0085
+#: Postings merged by a heap; more are merged by one sort, which gives the same.
 HEAP = 128
-
-
-def minhash(h: np.ndarray, o: np.ndarray, bins: int) -> np.ndarray:
-    """(documents x bins) smallest hash in each of equal ranges of the hash, an empty range taking the next one's."""
-    docs = len(o) - 1
-    sig = np.zeros((docs, bins), np.uint64)
-    if not len(h):
-        return sig
-    doc = T.owners(o)
-    col = ((h >> T.U(32)) * T.U(bins) >> T.U(32)).astype(np.int64)
-    lead = np.ones(len(h), bool)
-    lead[1:] = (doc[1:] != doc[:-1]) | (col[1:] != col[:-1])
-    sig[doc[lead], col[lead]] = h[lead]
-    far = np.full((docs, 2 * bins), 2 * bins)
-    far[doc[lead], col[lead]] = col[lead]
-    far[doc[lead], col[lead] + bins] = col[lead]
-    place = np.where(far < 2 * bins, np.arange(2 * bins), 2 * bins)
-    nxt = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins] % bins
-    return np.take_along_axis(sig, nxt, axis=1)
-
-
-def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, size, whole (hash of the set) and bands, for documents with n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+NOBODY = 0xFFFF
+
+
+def wholes(h: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """A hash of each set of n-grams."""
+    at = np.zeros(len(h) + 1, T.U)
+    np.cumsum(T.mix(h), out=at[1:])
+    return T.mix((at[o[1:]] - at[o[:-1]]) ^ (np.diff(o).astype(T.U) << T.U(40))).view(np.int64)
+
+
+class _Chunk:
+    """The sets of some documents of a task, each set once."""
+
+    def __init__(self):
+        self.docs: list[int] = []
+        self.doc_set: list[int] = []
+        self.sets: dict[int, int] = {}
+        self.size: list[int] = []
+        self.grams: list[np.ndarray] = []
+        self.load = 0
+
+    def add(self, doc: int, whole: int, grams: np.ndarray) -> None:
+        at = self.sets.get(whole)
+        if at is None:
+            at = self.sets[whole] = len(self.size)
+            self.size.append(len(grams))
+            self.grams.append(grams)
+            self.load += len(grams)
+        self.docs.append(doc)
+        self.doc_set.append(at)
+
+    def full(self) -> bool:
+        return self.load >= CHUNK or len(self.docs) >= CHUNK_DOCS
+
+    def rows(self, chunk: int, buckets: int) -> pa.RecordBatch:
+        """One row a bucket with the n-grams it has to count, and one with the documents."""
+        h = np.concatenate(self.grams)
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(lead, len(h)))
+        here = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(self.size))
+        h, owner = h[lead], np.where(times > 1, NOBODY, owner[lead]).astype(np.uint16)
+        shift = T.U(64 - max(1, buckets - 1).bit_length()) if buckets > 1 else T.U(0)
+        of = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)  # h is in order, hence so is this
+        cut_at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ends = np.append(cut_at[1:], len(of))
+        low = h.astype(np.uint32)
+        meta = [np.array(self.docs), np.array(self.doc_set, np.int32), np.array(list(self.sets)), np.array(self.size), here]
+        cols = [
+            pa.array(np.append(of[cut_at], -1 - (chunk + (chunk >> 32)) % buckets)),
+            pa.array(np.full(len(cut_at) + 1, chunk)),
+            pa.array([*(T.blob(low[a:b]) for a, b in zip(cut_at, ends, strict=True)), None], pa.binary()),
+            pa.array([*(T.blob(owner[a:b]) for a, b in zip(cut_at, ends, strict=True)), None], pa.binary()),
+            pa.array([None] * len(cut_at) + [[T.blob(m) for m in meta]], pa.list_(pa.binary())),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "chunk", "grams", "owners", "meta"])
+
+
+def _answers(t: pa.Table) -> pa.Table:
+    """A bucket's answer to each chunk: how many of its n-grams others have too, by owner. Rows of documents pass."""
+    if t.column("bucket")[0].as_py() < 0:
+        return pa.table({"chunk": t.column("chunk"), "owners": pa.array([None] * len(t), pa.binary()), "counts": pa.array([None] * len(t), pa.binary()), "meta": t.column("meta")})
+    grams = [np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]
+    both = np.sort(np.concatenate(grams))
+    known = np.unique(both[1:][both[1:] == both[:-1]])
+    chunk, own, counts = [], [], []
+    for c, g, o in zip(t.column("chunk").to_pylist(), grams, t.column("owners").to_pylist(), strict=True):
+        o = np.frombuffer(o, np.uint16)
+        if len(known):
+            at = np.searchsorted(known, g)
+            o = o[(known[np.minimum(at, len(known) - 1)] == g) & (o != NOBODY)]
+            if len(o):
+                n = np.bincount(o)
+                who = np.flatnonzero(n)
+                chunk.append(c)
+                own.append(T.blob(who.astype(np.uint16)))
+                counts.append(T.blob(n[who].astype(np.uint32)))
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "owners": pa.array(own, pa.binary()), "counts": pa.array(counts, pa.binary()), "meta": pa.array([None] * len(chunk), pa.list_(pa.binary()))})
+
+
+def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, size, whole (hash of the set) and near (whether the set may have a similar one), for documents with n-grams."""
+    docs = T.keyed(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    buckets = min(MAX_BUCKETS, 1 << (total // BUCKET).bit_length())
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, done = TaskContext.get().partitionId() << 32, _Chunk(), 0
         for b in T.small(batches):
-            data, offs = T.buffers(b.column("text"), lower=True)
-            for i, h, o in T.shingle_sets(data, offs, n):
-                size = np.diff(o)
-                at = np.zeros(len(h) + 1, T.U)
-                np.cumsum(T.mix(h), out=at[1:])
-                whole = T.mix((at[o[1:]] - at[o[:-1]]) ^ (size.astype(T.U) << T.U(40)))
-                sig = minhash(h, o, BANDS * ROWS)
-                key = np.zeros((len(size), BANDS), T.U)
-                for r in range(ROWS):
-                    key = T.mix(key ^ sig[:, r::ROWS]) + T.U(r + 1)
-                key = T.mix(key + np.arange(BANDS, dtype=T.U) * T.U(0x9E3779B97F4A7C15))
-                has = np.flatnonzero(size)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(key[has].view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(has + i)), pa.array(size[has]), pa.array(whole[has].view(np.int64)), bands], ["doc_id", "size", "whole", "bands"])
-
-    return T.keyed(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id bigint, size bigint, whole bigint, bands array<bigint>")
-
-
-def stars(keyed: DataFrame) -> DataFrame:
-    """For rows (key, node): edges (a, b) from the smallest node of each key to its others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("key").to_numpy(), b.column("node").to_numpy()) for b in batches]
-        if not got:
-            return
-        key, node = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        lead = np.ones(len(key), bool)
-        lead[1:] = key[1:] != key[:-1]
-        lo = node[np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
-        e = np.unique(np.stack([lo, node], axis=1)[lo != node], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-    return keyed.repartition("key").mapInArrow(run, "a bigint, b bigint")
+            ids = T.id_array(b.column("doc_id")).tolist()
+            for first, h, o in T.shingle_sets(*T.buffers(b.column("text"), lower=True), n):
+                whole = wholes(h, o).tolist()
+                for x in np.flatnonzero(np.diff(o)).tolist():
+                    held.add(ids[first + x], whole[x], h[o[x] : o[x + 1]])
+                    if held.full():
+                        yield held.rows(base + done, buckets)
+                        held, done = _Chunk(), done + 1
+        if held.docs:
+            yield held.rows(base + done, buckets)
+
+    def judge(t: pa.Table) -> pa.Table:
+        meta = next(m for m in t.column("meta").to_pylist() if m is not None)
+        doc, of, whole, size, have = (np.frombuffer(m, k) for m, k in zip(meta, (np.int64, np.int32, np.int64, np.int64, np.int64), strict=True))
+        have = have.copy()
+        for o, c in zip(t.column("owners").to_pylist(), t.column("counts").to_pylist(), strict=True):
+            if o is not None:
+                have[np.frombuffer(o, np.uint16)] += np.frombuffer(c, np.uint32)
+        near = have >= np.ceil(threshold * size - 1e-9)
+        return pa.table({"doc_id": pa.array(doc), "size": pa.array(size[of]), "whole": pa.array(whole[of]), "near": pa.array(near[of])})
+
+    sent = docs.mapInArrow(chunks, "bucket bigint, chunk bigint, grams binary, owners binary, meta array<binary>")
+    back = sent.groupBy("bucket").applyInArrow(_answers, "chunk bigint, owners binary, counts binary, meta array<binary>")
+    return back.groupBy("chunk").applyInArrow(judge, "doc_id bigint, size bigint, whole bigint, near boolean")
 
 
 def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,125 +212,234 @@ def t_occurrence(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.nd
     return ids, counts
 
 
-def search(sets: list[np.ndarray], group: np.ndarray, part: np.ndarray, sides: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
-    """Pairs (i, j, overlap) of sets of one group whose similarity reaches the threshold.
-
-    With sides True for a group, only pairs of sets of different parts.
-    """
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    tok, doc = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(len(order)), size[order])
-    # A group's lists are its own.
-    g = group[order]
-    tok = tok ^ T.mix(g[doc].astype(T.U) + T.U(1))
-    o = np.argsort(tok, kind="stable")
-    tok, post = tok[o], doc[o]
-    lead = np.concatenate([[True], tok[1:] != tok[:-1]])
-    start = np.maximum.accumulate(np.where(lead, np.arange(len(tok)), 0))
-    before = np.arange(len(tok)) - start  # sets of the list before this one
-    back = np.flatnonzero(before > 0)
-    back = back[np.argsort(post[back], kind="stable")]
-    ptr = np.searchsorted(post[back], np.arange(len(order) + 1))
-    for q in np.flatnonzero(np.diff(ptr)):
-        n = size[order[q]]
-        least = max(1, math.ceil(threshold * n - 1e-9))
-        at = back[ptr[q] : ptr[q + 1]]
-        if len(at) < least:
-            continue
-        ids, counts = t_occurrence([post[s : s + c] for s, c in zip(start[at].tolist(), before[at].tolist(), strict=True)], least)
-        for d, c in zip(ids.tolist(), counts.tolist(), strict=True):
-            i, j = order[q], order[d]
-            if c >= threshold * (n + size[j] - c) - 1e-9 and (not sides[i] or part[i] != part[j]):
-                yield i, j, c
-
-
-def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, overlap and jaccard of documents whose n-gram sets are alike."""
-    sig = cut(signatures(docs, n))
-    rep = cut(sig.groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    copies = sig.select("doc_id", "whole", "size").distinct().join(rep.select("whole", "node"), "whole").where("doc_id <> node")
-    equal = copies.select(F.col("node").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    # A set is a node by its hash, since one doc_id may have several texts.
-    edges = stars(rep.select(F.explode("bands").alias("key"), F.col("whole").alias("node")))
-    comps = components(edges)
-    sized = comps.join(rep.select(F.col("whole").alias("node"), F.col("node").alias("doc_id"), "size"), "node")
-    slices = sized.groupBy("comp").agg(F.ceil(F.sum("size") / SLICE).cast("int").alias("slices"))
-    placed = sized.join(slices, "comp").select("doc_id", F.col("node").alias("whole"), "comp", "slices", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("slice"))
-    texts = by_id(T.keyed(docs, {"doc_id": "bigint", "text": "string"}), cut(placed), "inner")
-    tasks = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tasks = tasks.select("doc_id", "whole", "text", "comp", "slice", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"))
-    tasks = tasks.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "whole", "doc_id")
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        ids, part, sides, group, sets = [], [], [], [], []
-        seen: set = set()
-        for x, (key, doc, whole, s, part_of) in enumerate(held):
-            if (key, whole) in seen:  # a repeated row
+class Index:
+    """Inverted lists of a shard's sets. Sets are numbered by size, then name."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, grams: list[np.ndarray]):
+        order = np.lexsort((node, size))
+        self.node, self.size = node[order], size[order]
+        self.grams = [grams[i] for i in order]
+        tok = np.concatenate(self.grams)
+        owner = np.repeat(np.arange(len(order)), [len(g) for g in self.grams])
+        by = np.argsort(tok, kind="stable")
+        tok, self.post = tok[by], owner[by]
+        lead = np.concatenate([[True], tok[1:] != tok[:-1]])
+        self.tokens = tok[lead]
+        #: List and set of each posting as one number, in order.
+        self.place = (np.cumsum(lead) - 1) * len(order) + self.post
+        self.at = {x: i for i, x in enumerate(self.node.tolist())}
+
+    def similar(self, grams: np.ndarray, size: int, threshold: float, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and overlaps of the sets, of those before a number if given, that are similar to a query."""
+        n = len(self.node)
+        least = max(1, math.ceil(threshold * size - 1e-9))
+        lo = int(np.searchsorted(self.size, least))
+        hi = int(np.searchsorted(self.size, math.floor(size / threshold + 1e-9), "right")) if before is None else before
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if lo >= hi:
+            return none
+        at = np.searchsorted(self.tokens, grams)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == grams]
+        a, b = np.searchsorted(self.place, at * n + lo), np.searchsorted(self.place, at * n + hi)
+        some = np.flatnonzero(b > a)
+        if len(some) < least:
+            return none
+        ids, both = t_occurrence([self.post[x:y] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)], least)
+        keep = both >= threshold * (size + self.size[ids] - both) - 1e-9
+        return ids[keep], both[keep]
+
+
+class Shard:
+    """A shard's index, with the links of its sets added up and the sets connected."""
+
+    def __init__(self, node: np.ndarray, size: np.ndarray, docs: np.ndarray, grams: list[np.ndarray], turn: np.ndarray, threshold: float):
+        self.index, self.threshold = Index(node, size, grams), threshold
+        order = np.lexsort((node, size))
+        self.docs, n = docs[order], len(order)
+        self.total, self.label, self.parent = np.zeros(n, np.int64), np.arange(n), list(range(n))
+        self.asked: list[tuple[int, int, int]] = []
+        for i in np.flatnonzero(turn[order]).tolist():
+            ids, _ = self.index.similar(self.index.grams[i], int(self.index.size[i]), threshold, i)
+            self.total[i] += self._meet(ids, int(self.docs[i]), i)
+        self.index.grams = []
+
+    def _root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def _meet(self, ids: np.ndarray, docs: int, own: int | None = None) -> int:
+        if not len(ids):
+            return 0
+        self.total[ids] += docs
+        labels = np.unique(self.label[ids]).tolist() + ([] if own is None else [int(self.label[own])])
+        roots = {self._root(x) for x in labels}
+        low = min(roots)
+        for x in roots:
+            self.parent[x] = low
+        self.label[ids] = low
+        return int(self.docs[ids].sum())
+
+    def ask(self, node: int, size: int, docs: int, grams: np.ndarray) -> None:
+        """A query of another shard."""
+        ids, _ = self.index.similar(grams, size, self.threshold)
+        if len(ids):
+            self.asked.append((node, self._meet(ids, docs), int(self.index.node[ids[0]])))
+
+    def batch(self) -> pa.RecordBatch:
+        some = np.flatnonzero(self.total)
+        roots = self.index.node[[self._root(int(x)) for x in self.label[some]]] if len(some) else np.zeros(0, np.int64)
+        node, links, root = (np.array([x[c] for x in self.asked], np.int64) for c in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((self.index.node[some], node), (self.total[some], links), (roots, root))], ["node", "links", "root"])
+
+
+def candidates(docs: DataFrame, rep: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, size, docs, need (T) and grams, rarest first, of the sets that may have a similar one."""
+    near = cut(rep.where("near").select("doc_id", F.col("whole").alias("node")))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a repeated row counts once
+        for b in T.small(batches):
+            node = b.column("node").to_numpy()
+            for first, h, o in T.shingle_sets(*T.buffers(b.column("text"), lower=True), n):
+                whole, size, take = wholes(h, o), np.diff(o), []
+                for x in np.flatnonzero((whole == node[first : first + len(size)]) & (size > 0)).tolist():  # not another text of the same doc_id
+                    if whole[x] not in seen:
+                        seen.add(whole[x])
+                        take.append(x)
+                if take:
+                    ptr = np.zeros(len(take) + 1, np.int32)
+                    np.cumsum(size[take], out=ptr[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[take]), pa.ListArray.from_arrays(pa.array(ptr), pa.array(h[T.ragged(o[take], size[take])].view(np.int64)))], ["node", "grams"])
+
+    texts = by_id(T.keyed(docs, {"doc_id": "bigint", "text": "string"}), near, "inner").where("text IS NOT NULL")
+    grams = cut(texts.mapInArrow(shingled, "node bigint, grams array<bigint>")).select("node", F.explode("grams").alias("token"))
+    often = grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = grams.join(often, "token").select("node", "df", "token").repartition("node").sortWithinPartitions("node", "df", "token")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_node, rest = None, []
+        for b in batches:
+            node, tok = b.column("node").to_numpy(), b.column("token").to_numpy()
+            if not len(node):
                 continue
-            seen.add((key, whole))
-            ids.append(doc)
-            part.append(part_of)
-            sides.append(key[1] != key[2])
-            group.append(hash(key))
-            sets.append(s)
-        rows = []
-        if sets:
-            for i, j, c in search(sets, np.array(group, np.int64).view(np.uint64), np.array(part), np.array(sides), threshold):
-                a, b = sorted((ids[i], ids[j]))
-                if a != b:
-                    rows.append((a, b, c, c / (len(sets[i]) + len(sets[j]) - c)))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.float64()], strict=True)], ["doc_a", "doc_b", "overlap", "jaccard"])
+            lead = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            names, sets = [], []
+            for a, e in zip(lead.tolist(), np.append(lead[1:], len(node)).tolist(), strict=True):
+                if node[a] != rest_node and rest:
+                    names.append(rest_node)
+                    sets.append(b"".join(rest))
+                    rest = []
+                rest_node, own = node[a], tok[a:e]
+                rest.append(own[np.concatenate([[True], own[1:] != own[:-1]])].tobytes())  # a set that two tasks met
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array([rest_node], pa.int64()), pa.array([b"".join(rest)], pa.binary())], ["node", "grams"])
+
+    sets = shared.mapInArrow(packed, "node bigint, grams binary").join(rep.where("near").select(F.col("whole").alias("node"), "size", "docs"), "node")
+    need = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("size") - 1e-9)).cast("bigint")
+    return sets.withColumn("need", need).where(F.octet_length("grams") / 8 >= F.col("need"))
+
+
+def _sharded(sets: DataFrame) -> DataFrame:
+    """The sets with their shards: the bucket of their smallest hash, dealt on where that is over SLICE n-grams."""
+
+    @F.arrow_udf("bigint")
+    def smallest(grams: pa.Array) -> pa.Array:
+        return pa.array([int(T.mix(np.frombuffer(g.as_buffer(), np.uint64)).min() >> T.U(1)) for g in grams], pa.int64())
+
+    sets = cut(sets.withColumn("load", F.octet_length("grams") / 8).withColumn("home", smallest("grams")))
+    buckets = max(1, math.ceil((sets.agg(F.sum("load")).first()[0] or 0) / SLICE))
+    sets = sets.withColumn("home", F.pmod("home", F.lit(buckets)))
+    parts = sets.groupBy("home").agg(F.ceil(F.sum("load") / SLICE).cast("bigint").alias("parts"))
+    return sets.join(parts, "home").withColumn("shard", F.col("home") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts")))
+
+
+def links(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, links and root for sets with a similar one: partial sums of links, and nodes connected with a root."""
+    sets = cut(_sharded(sets).select("node", "size", "docs", "need", "grams", "shard"))
+
+    def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, shard, need, g in zip(*(b.column(c).to_pylist() for c in ("node", "shard", "need", "grams")), strict=True):
+                tok = np.frombuffer(g, np.int64)
+                tok = tok[: len(tok) - need + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.full(len(tok), node)), pa.array(np.full(len(tok), shard))], ["token", "node", "shard"])
+
+    posts = sets.mapInArrow(short_lists, "token bigint, node bigint, shard bigint")
+    spread = posts.groupBy("token").agg(F.collect_set("shard").alias("shards")).where(F.size("shards") > 1)
+    routes = posts.join(spread, "token").select("node", "shard", F.explode("shards").alias("to")).where("to > shard").select("node", F.col("to").alias("shard")).distinct()
+    visits = cut(routes.join(sets.drop("shard"), "node").select("shard", "node", "size", "docs", "grams"))
+    # Queries of a shard are dealt to parts of SLICE n-grams, each with the shard's sets
+    load = sets.select("shard", F.octet_length("grams").alias("x")).unionByName(visits.select("shard", F.octet_length("grams").alias("x"))).groupBy("shard").agg(F.ceil(F.sum("x") / (8 * 2 * SLICE)).cast("int").alias("parts"))
+    own = sets.select("shard", "node", "size", "docs", "grams").join(load, "shard")
+    data = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(0))
+    asked = visits.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("kind", F.lit(1))
+    tasks = data.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "node").withColumn("turn", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int") == F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, load, last = [], 0, None
+        now, held, shard = None, [], None
+
+        def build() -> Shard:
+            node, size, docs, grams, turn = zip(*held, strict=True)
+            held.clear()
+            return Shard(np.array(node), np.array(size), np.array(docs), [np.frombuffer(g, np.uint64) for g in grams], np.array(turn), threshold)
+
         for b in T.small(batches):
-            data, offs = T.buffers(b.column("text"), lower=True)
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
-            doc, whole, part = (b.column(c).to_pylist() for c in ("doc_id", "whole", "slice"))
-            for first, h, o in T.shingle_sets(data, offs, n):
-                size = np.diff(o)
-                at = np.zeros(len(h) + 1, T.U)
-                np.cumsum(T.mix(h), out=at[1:])
-                own = T.mix((at[o[1:]] - at[o[:-1]]) ^ (size.astype(T.U) << T.U(40))).view(np.int64)
-                for x in range(len(o) - 1):
-                    r = first + x
-                    if own[x] != whole[r]:  # another text under the same doc_id
-                        continue
-                    if keys[r] != last and load >= BATCH:
-                        yield flush(held)
-                        held, load = [], 0
-                    last = keys[r]
-                    held.append((last, doc[r], whole[r], h[o[x] : o[x + 1]].copy(), part[r]))
-                    load += int(size[x])
-        if held:
-            yield flush(held)
-
-    near = tasks.mapInArrow(run, "doc_a bigint, doc_b bigint, overlap bigint, jaccard double")
-    return equal.unionByName(near).groupBy("doc_a", "doc_b").agg(F.max("overlap").alias("overlap"), F.max(F.round("jaccard", 6)).alias("jaccard"))
+            for place, part, kind, node, size, docs, g, turn in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "kind", "node", "size", "docs", "grams", "turn")), strict=True):
+                if (place, part) != now:
+                    if now is not None:
+                        yield (shard or build()).batch()
+                    now, shard = (place, part), None
+                if kind == 0:
+                    held.append((node, size, docs, g, turn))
+                    continue
+                shard = shard or build()
+                shard.ask(node, size, docs, np.frombuffer(g, np.uint64))
+        if now is not None:
+            yield (shard or build()).batch()
+
+    return tasks.mapInArrow(run, "node bigint, links bigint, root bigint")
+
+
+def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_grams and n_links of the documents whose n-gram sets have a copy or a similar set."""
+    sig = cut(signatures(docs, n, threshold))
+    texts = sig.select("doc_id", "whole", "size").distinct()
+    rep = sig.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.bool_or("near").alias("near"))
+    rep = cut(rep.join(texts.groupBy("whole").agg(F.count("*").alias("docs")), "whole"))
+    found = cut(links(candidates(docs, rep, n, threshold), threshold))
+    comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    ids = rep.select(F.col("whole").alias("node"), "doc_id", "docs")
+    named = comps.join(ids, "node")
+    named = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "comp").select("node", "class_id")
+    total = found.groupBy("node").agg(F.sum("links").alias("links"))
+    sets = ids.join(total, "node", "left").join(named, "node", "left").where("docs > 1 OR links > 0")
+    sets = sets.select(F.col("node").alias("whole"), F.coalesce("class_id", "doc_id").alias("class_id"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return texts.join(sets, "whole").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("size").alias("n_grams"), F.sum("n_links").alias("n_links"))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: All pairs by brute force; a set is the sorted list of its n-grams.
+#: All pairs by brute force; a set is the sorted list of its n-grams, and classes spread along links.
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + {N - 1}], ' ') FOR i IN range(1, greatest(len(w) - {N - 1}, 1) + 1)])) AS g FROM w WHERE len(w) > 0),
-sets AS (SELECT g, min(doc_id) AS id, len(g) AS n FROM g GROUP BY g),
-equal AS (SELECT s.id AS doc_a, g.doc_id AS doc_b, s.n AS overlap, 1.0::DOUBLE AS jaccard FROM g JOIN sets s USING (g) WHERE g.doc_id <> s.id),
-item AS (SELECT id, n, unnest(g) AS x FROM sets),
-met AS (SELECT a.id AS doc_a, b.id AS doc_b, count(*) AS overlap, any_value(a.n + b.n) AS n FROM item a JOIN item b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
-SELECT * FROM equal UNION ALL SELECT doc_a, doc_b, overlap, round(overlap / (n - overlap), 6) FROM met WHERE overlap / (n - overlap) >= {THRESHOLD}
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct([array_to_string(w[i:i + {N - 1}], ' ') FOR i IN range(1, greatest(len(w) - {N - 1}, 1) + 1)])) AS g FROM w WHERE len(w) > 0),
+sets AS MATERIALIZED (SELECT g, min(doc_id) AS id, len(g) AS n, count(*) AS docs, row_number() OVER (ORDER BY min(doc_id), g) AS node FROM g GROUP BY g),
+item AS (SELECT node, n, unnest(g) AS x FROM sets),
+met AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM item a JOIN item b ON a.x = b.x AND a.node <> b.node GROUP BY 1, 2, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= {THRESHOLD}),
+walk AS (SELECT node AS a, node AS b FROM sets WHERE node IN (SELECT a FROM met) UNION SELECT walk.a, met.b FROM walk JOIN met ON walk.b = met.a),
+class AS (SELECT walk.a AS node, min(sets.id) AS class_id FROM walk JOIN sets ON walk.b = sets.node GROUP BY 1),
+links AS (SELECT met.a AS node, sum(sets.docs) AS links FROM met JOIN sets ON met.b = sets.node GROUP BY 1),
+s AS (SELECT g, n, coalesce(class_id, id) AS class_id, docs - 1 + coalesce(links, 0) AS n_links FROM sets LEFT JOIN class USING (node) LEFT JOIN links USING (node) WHERE docs > 1 OR links > 0)
+SELECT doc_id, min(class_id) AS class_id, max(n)::BIGINT AS n_grams, sum(n_links)::BIGINT AS n_links FROM g JOIN s USING (g) GROUP BY doc_id
 """
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of documents connected by similarity."""
-    pairs = cut(similar(docs))
-    groups = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-    kept = by_id(docs, cut(groups.where("node <> comp").select(F.col("node").alias("doc_id"))), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document, that of the smallest doc_id, of each class of documents connected by similarity."""
+    gone = cut(similar(docs).where("doc_id <> class_id").select("doc_id"))
+    return by_id(docs, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

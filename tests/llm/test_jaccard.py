@@ -16,23 +16,37 @@ def grams(text, n=3):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute(rows, threshold=0.5):
-    """Pairs by the operator's own rule: copies with the smallest id, other sets by their smallest ids."""
-    sets = {}
-    for i, t in rows:
-        if i is not None and grams(t):
-            sets.setdefault(frozenset(grams(t)), set()).add(i)
+def brute(rows, threshold=0.5, n=3):
+    """doc_id to (class, n-grams, links) by comparing all texts; a text is an id and a set."""
+    texts = list(dict.fromkeys((i, frozenset(grams(t, n))) for i, t in rows if i is not None and grams(t)))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * len(texts)
+    for (x, (_, a)), (y, (_, b)) in itertools.combinations(enumerate(texts), 2):
+        if len(a & b) / len(a | b) >= threshold:
+            links[x] += 1
+            links[y] += 1
+            parent[find(y)] = find(x)
+    classes = {}
+    for x, (i, _) in enumerate(texts):
+        classes[find(x)] = min(i, classes.get(find(x), i))
     out = {}
-    for ids in sets.values():
-        for i in ids - {min(ids)}:
-            out[min(ids), i] = 1.0
-    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
-        j = len(a & b) / len(a | b)
-        if j >= threshold and min(x) != min(y):
-            out[tuple(sorted((min(x), min(y))))] = max(round(j, 6), out.get(tuple(sorted((min(x), min(y)))), 0))
+    for x, (i, a) in enumerate(texts):
+        if links[x]:
+            c, n, k = out.get(i, (classes[find(x)], 0, 0))
+            out[i] = (min(c, classes[find(x)]), max(n, len(a)), k + links[x])
     return out
 
 
+def result(df):
+    return {r.doc_id: (r.class_id, r.n_grams, r.n_links) for r in df.collect()}
+
+
 def edited(text, seed, share):
     r, w = random.Random(seed), text.split()
     for i in r.sample(range(len(w)), int(share * len(w))):
@@ -53,21 +67,25 @@ def corpus():
     return rows + [(1000 + k, rows[0][1]) for k in range(30)]
 
 
-def test_all_pairs(make):
-    rows = corpus()
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar(make(rows)).collect()}
-    want = brute(rows)
-    assert set(got) <= set(want)
-    assert len(set(got) & set(want)) >= 0.9 * len(want)
-    assert all(abs(got[p] - want[p]) < 1e-6 for p in got)
+def test_equals_brute_force(make):
+    assert result(jaccard.similar(make(corpus()))) == brute(corpus())
 
 
-def test_slices_give_the_same(make, monkeypatch):
+@pytest.mark.parametrize(("chunk", "docs", "bucket", "share"), [(500, 60_000, 200, 400), (1 << 20, 3, 1 << 20, 3000), (1, 1, 50, 1 << 21)])
+def test_chunks_buckets_and_shards_change_nothing(make, monkeypatch, chunk, docs, bucket, share):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", docs)
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "SLICE", share)
     rows = corpus()
-    want = {(r.doc_a, r.doc_b, r.overlap) for r in jaccard.similar(make(rows)).collect()}
-    monkeypatch.setattr(jaccard, "SLICE", 500)
-    monkeypatch.setattr(jaccard, "BATCH", 100)
-    assert {(r.doc_a, r.doc_b, r.overlap) for r in jaccard.similar(make(rows)).collect()} == want
+    assert result(jaccard.similar(make(rows).repartition(3))) == brute(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 1.0])
+def test_other_thresholds(make, threshold):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdef") for _ in range(r.randint(1, 9)))) for i in range(120)]
+    assert result(jaccard.similar(make(rows), 2, threshold)) == brute(rows, threshold, 2)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -90,30 +108,23 @@ def test_heap_and_sort_merge_alike(monkeypatch):
 
 
 def test_odd_rows(odd):
-    assert {(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.similar(odd).collect()} == {(5, 6, 1.0)}
+    assert {i: (c, k) for i, (c, _, k) in result(jaccard.similar(odd)).items()} == {5: (5, 1), 6: (5, 1)}
     assert jaccard.similar(odd.limit(0)).count() == 0
 
 
 def test_one_id_with_two_texts(make):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(1, 50)), (3, edited(prose(2, 50), 1, 0.04))]
-    assert {(r.doc_a, r.doc_b) for r in jaccard.similar(make(rows)).collect()} == {(1, 2), (1, 3)}
+    got = result(jaccard.similar(make(rows)))
+    assert got == brute(rows) and {i: c for i, (c, _, _) in got.items()} == {1: 1, 2: 1, 3: 1}
 
 
-def test_stage_keeps_one_of_each_group(spark, make, odd):
+def test_stage_keeps_one_of_each_group(make, odd):
     docs = make(corpus())
-    kept = jaccard.stage(spark, docs, "")
+    kept = jaccard.stage(docs.sparkSession, docs, "")
     assert kept.columns == docs.columns
-    pairs = brute(corpus())
-    gone = {b for _, b in pairs}
-    parent = {}
-    find = lambda x: x if parent.get(x, x) == x else find(parent[x])
-    for a, b in pairs:
-        x, y = sorted((find(a), find(b)))
-        parent[y] = x
-    want = {i for i, _ in corpus() if find(i) == i}
-    got = {r.doc_id for r in kept.collect()}
-    assert want <= got and len(got - want) <= 0.1 * len(gone)
-    assert jaccard.stage(spark, odd, "").count() == odd.count() - 1  # only doc 6 goes
+    found = brute(corpus())
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in corpus() if i not in found or found[i][0] == i}
+    assert jaccard.stage(docs.sparkSession, odd, "").count() == odd.count() - 1  # only doc 6 goes
 
 
 def test_components(spark):
