@@ -7,8 +7,10 @@ doubly linked list of symbols; an entry whose symbols have changed since it was
 Decoding concatenates the vocabulary's strings. Only the text column is read and nothing is shuffled.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; a text of any length is encoded
-whole; repeated rows are encoded alike; an empty table gives an empty table; equal ranks merge from the left;
-columns other than doc_id and text are not touched. Strings of special tokens are ordinary text.
+whole, a long one in parts that begin at a blank between two ASCII letters, where a piece begins anyway; a piece may be of
+any length; repeated rows are encoded alike; a null doc_id stays null; an empty table gives an empty table; equal ranks
+merge from the left; columns other than doc_id and text are not touched. Strings of special tokens are ordinary text. In
+decoding, null tokens give a null text, and an id that is null or not of the vocabulary stands for U+FFFD.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quadrille.llm import text as T
@@ -32,6 +37,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 REMEMBERED = 200_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 _kinds: np.ndarray | None = None
 
 
@@ -89,13 +95,22 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lead[starts], np.searchsorted(starts, at)
 
 
+def before_word(data: np.ndarray) -> np.ndarray:
+    """Whether a piece surely begins at each byte: a blank between two ASCII letters."""
+    at = np.zeros(len(data), bool)
+    at[1:-1] = (data[1:-1] == 32) & _ASCII_LETTER[data[:-2]] & _ASCII_LETTER[data[2:]]
+    return at
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Tokens of one piece."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    nxt, prv = list(range(1, n + 2)), list(range(-1, n))  # the symbol at i is piece[i:nxt[i]]; nxt[i] = 0 once it is gone
+    # The symbol at i is piece[i:nxt[i]]; nxt[i] = 0 once it is gone. Arrays for a giant piece, as their numbers take 8 bytes.
+    kind = list if n < 1 << 16 else partial(array, "q")
+    nxt, prv = kind(range(1, n + 2)), kind(range(-1, n))
     w = n.bit_length() + 1
     mask = (1 << w) - 1
     heap = []
@@ -139,7 +154,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
         self.size = max(self.ranks.values()) + 1
-        by_id = [b""] * self.size
+        by_id = [b""] * self.size + ["\ufffd".encode()]
         for s, i in self.ranks.items():
             by_id[i] = s
         self.pool = np.frombuffer(b"".join(by_id), np.uint8)
@@ -154,49 +169,60 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[bytes, int] = {}
+        self.seen: dict[bytes, tuple[int, int]] = {}
         self.kept = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _encode_distinct(self, raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
-        """For each piece, where its tokens lie in self.kept and how many they are, as start << 24 | n."""
+    def _encode_distinct(self, raw: bytes, starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece, where its tokens lie in self.kept, and how many they are."""
         if len(self.seen) > REMEMBERED:
             self._forget()
-        seen, merged, fresh, used, out = self.seen, self.merge, [], self.used, []
+        seen, merged, fresh, used, at, many = self.seen, self.merge, [], self.used, [], []
         for s, e in zip(starts, ends, strict=True):
             p = raw[s:e]
             v = seen.get(p)
             if v is None:
                 t = merged(p)
-                v = seen[p] = used << 24 | len(t)
+                v = seen[p] = (used, len(t))
                 used += len(t)
                 fresh += t
-            out.append(v)
+            at.append(v[0])
+            many.append(v[1])
         if used > len(self.kept):
             self.kept = np.concatenate([self.kept, np.zeros(max(used, len(self.kept)), np.int32)])
         self.kept[self.used : used] = fresh
         self.used = used
-        return np.array(out, np.int64)
+        return np.array(at, np.int64), np.array(many, np.int64)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all documents and n + 1 offsets into them."""
+        own, first = T.parts(data, offs, before_word)
+        if len(own) > len(offs):
+            made = [self._encode(data[own[i] : own[j]], own[i : j + 1] - own[i]) for i, j in T.chunks(own, CHUNK)]
+            total = np.zeros(len(own), np.int64)
+            np.cumsum(np.concatenate([np.diff(o) for _, o in made]), out=total[1:])
+            return np.concatenate([t for t, _ in made]), total[first]
+        return self._encode(data, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, po = pieces(data, offs)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         ends = np.append(starts[1:], len(data))
         _, index, inverse = np.unique(T.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        where = self._encode_distinct(data.tobytes(), starts[index].tolist(), ends[index].tolist())[inverse]
-        n = where & 0xFFFFFF
+        where, n = (a[inverse] for a in self._encode_distinct(data.tobytes(), starts[index].tolist(), ends[index].tolist()))
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
-        return self.kept[T.ragged(where >> 24, n)], total[po]
+        return self.kept[T.ragged(where, n)], total[po]
 
     def decode(self, tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all documents and n + 1 offsets into them."""
+        """Bytes of all documents and n + 1 offsets into them. An id that is not of the vocabulary stands for U+FFFD."""
+        known = (tokens >= 0) & (tokens < self.size)
+        tokens = tokens if known.all() else np.where(known, tokens, self.size)
         n = self.lens[tokens]
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
-        return self.pool[T.ragged(self.begins[tokens], n)], total[offs]
+        return np.concatenate([self.pool[T.ragged(self.begins[t], self.lens[t])] for t in np.array_split(tokens, 1 + len(tokens) // CHUNK)]), total[offs]
 
 
 _codecs: dict[tuple[str, bool], Codec] = {}
@@ -234,7 +260,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for b in batches:
             out = []
             for t in b.column("tokens"):
-                a = None if t.as_py() is None else t.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                a = pc.fill_null(t.values, -1).to_numpy(zero_copy_only=False).astype(np.int64) if t.is_valid else None
                 out.append(None if a is None else c.decode(a, np.array([0, len(a)]))[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

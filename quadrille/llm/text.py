@@ -82,6 +82,30 @@ def chunks(offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def parts(data: np.ndarray, offs: np.ndarray, cuts: np.ndarray, size: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of parts of about this many bytes, and each document's first part (n + 1): documents of over twice that
+    are cut where cuts(bytes) allows a part to begin; where it nowhere does, the part is longer."""
+    long = np.flatnonzero(np.diff(offs) > 2 * size)
+    if not len(long):
+        return offs, np.arange(len(offs))
+    at = []
+    for d in long.tolist():
+        a, b = int(offs[d]), int(offs[d + 1])
+        while b - a > 2 * size:
+            end, found = a + size, None
+            while end < b and found is None:  # look a part at a time
+                ok = np.flatnonzero(cuts(data[end - 4 : min(b, end + size + 4)]))
+                ok = ok[(ok >= 4) & (end - 4 + ok < b)]
+                found = end - 4 + int(ok[0]) if len(ok) else None
+                end += size
+            if found is None:
+                break
+            at.append(found)
+            a = found
+    own = np.sort(np.concatenate([offs, np.array(at, offs.dtype)]), kind="stable")
+    return own, np.searchsorted(own, offs, "left")
+
+
 def doc_starts(mask_len: int, offs: np.ndarray) -> np.ndarray:
     first = np.zeros(mask_len + 1, bool)
     first[offs] = True

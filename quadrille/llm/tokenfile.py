@@ -5,7 +5,8 @@ unsigned little-endian integers (16 bits where the vocabulary allows it, else 32
 is known then; prefix sums over files in partition order give each partition's base, and the offsets of its documents
 in the whole are written as 64-bit integers beside the tokens: n + 1 of them, so that document i of a file is
 [offsets[i] - base, offsets[i + 1] - base). Tokens are never moved again. A file's name is unique to the attempt that
-wrote it, and only files named by rows that were committed are read, so that a task that ran twice does no harm.
+wrote it, and only files named by rows that were committed are read, so that a task that ran twice does no harm. Before
+they are written, tokens are decoded and compared with the text; a difference ends the job.
 
 Defined results: a null or empty text has no tokens, yet a row and an offset; a text of any length is written whole;
 repeated rows are written each; an empty table gives no file and no row; a null doc_id stays null; columns other
@@ -19,20 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe
+from quadrille.llm import bpe, files
 from quadrille.llm import text as T
 from quadrille.shared import fresh_path, local_path
 
 ROWS = "doc_id bigint, part bigint, file string, doc_in_part bigint, start_in_part bigint, n_tokens bigint"
 
 
-def _open(uri: str):
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+def gives_back(codec: bpe.Codec, tokens: np.ndarray, to: np.ndarray, data: np.ndarray, offs: np.ndarray) -> bool:
+    """Whether the tokens of each document decode to its bytes."""
+    back, bo = codec.decode(tokens, to)
+    return np.array_equal(back, data) and np.array_equal(bo, offs)
 
 
 def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY) -> DataFrame:
@@ -53,13 +55,16 @@ def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY
                 if not b.num_rows:
                     continue
                 if out is None:
-                    system, place = _open(folder)
+                    system, place = files.place(folder)
                     system.create_dir(place, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(f"{place}/{name}.tokens")
                 data, offs = T.buffers(b.column("text"))
                 for i, j in T.chunks(offs, bpe.CHUNK):
-                    tokens, to = c.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                    tokens, to = c.encode(d, o)
+                    if not gives_back(c, tokens, to, d, o):
+                        raise ValueError("tokens don't give the text back")
                     out.write(tokens.astype(kind).tobytes())
                     m = j - i
                     yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(np.full(m, part)), pa.array([name] * m, pa.string()), pa.array(np.arange(docs_done, docs_done + m)), pa.array(to[:-1] + tokens_done), pa.array(np.diff(to))], ["doc_id", "part", "file", "doc_in_part", "start_in_part", "n_tokens"])
@@ -81,7 +86,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY
     def offsets(pdf):
         pdf = pdf.sort_values("doc_in_part")
         a = np.append(pdf.token_start.to_numpy(np.int64), pdf.token_start.iloc[-1] + pdf.n_tokens.iloc[-1]).astype("<i8")
-        system, place = _open(folder)
+        system, place = files.place(folder)
         with system.open_output_stream(f"{place}/{pdf.file.iloc[0]}.offsets") as out:
             out.write(a.tobytes())
         return pdf[["file"]].head(1).assign(offsets=len(a))

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from quadrille.llm import bpe, tokenfile
+from quadrille.llm import bpe
 from quadrille.llm import text as T
 
 
@@ -66,18 +66,37 @@ def test_forgetting_changes_nothing(monkeypatch, reference):
             assert tokens[to[k - i] : to[k - i + 1]].tolist() == reference.encode_ordinary(tx[k] or "")
 
 
-def test_token_files(spark, odd, reference):
-    rows = tokenfile.write(odd.repartition(3)).collect()
-    folder = rows[0].folder
-    reader = tokenfile.TokenReader(spark, folder)
-    want = sorted((r.doc_id or 0, reference.encode_ordinary(r.text or "")) for r in odd.collect())
-    assert sorted((r.doc_id or 0, reader.document(r.file, r.doc_in_part).tolist()) for r in rows) == want
-    assert reader.kind == np.dtype("<u2")
-    total = sum(r.n_tokens for r in rows)
-    whole = reader.span(0, total)
-    assert len(whole) == total
-    for r in rows:  # offsets in the whole lead to the same tokens
-        assert whole[r.token_start : r.token_start + r.n_tokens].tolist() == reader.document(r.file, r.doc_in_part).tolist()
-    starts = sorted((r.token_start, r.n_tokens) for r in rows)
-    assert all(a + n == b or n == 0 or a + n <= b for (a, n), (b, _) in zip(starts, starts[1:]))
-    assert tokenfile.write(odd.limit(0)).count() == 0
+def test_a_piece_of_more_than_24_bits_of_tokens(monkeypatch):
+    c = bpe.Codec()
+    n = (1 << 24) + 3
+    c.merge = lambda p: [5] * n if p == b"zq" * 9 else bpe.merge(p, c.ranks)
+    monkeypatch.setattr(bpe, "CHUNK", 1 << 30)
+    tokens, offs = c.encode(*T.buffers(pa.array(["zq" * 9, "a word"])))
+    assert np.diff(offs).tolist() == [n, 2] and (tokens[:n] == 5).all()
+
+
+@pytest.mark.parametrize("native", [False, True])
+def test_long_texts_in_parts(monkeypatch, reference, native):
+    monkeypatch.setattr(T.parts, "__defaults__", (200,))
+    monkeypatch.setattr(bpe, "CHUNK", 300)
+    r = random.Random(5)
+    long = " ".join(r.choice(["it's", "they'll", "x", "漢字", "12 3", "\n\n", "", "don't", "stone"]) for _ in range(3000))
+    tx = ["a b", long, None, "q" * 5000, long[::-1], ""]
+    data, offs = T.buffers(pa.array(tx))
+    tokens, to = bpe.codec(native=native).encode(data, offs)
+    for i, t in enumerate(tx):
+        assert tokens[to[i] : to[i + 1]].tolist() == reference.encode_ordinary(t or "")
+    assert bytes(bpe.codec().decode(tokens, to)[0]) == data.tobytes()
+
+
+def test_giant_piece(reference):
+    p = "abcab" * 20_000
+    assert bpe.merge(p.encode(), bpe.codec().ranks) == reference.encode_ordinary(p)
+
+
+def test_decode_of_odd_tokens(spark):
+    c = bpe.codec()
+    a = c.ranks[b"a"]
+    rows = spark.createDataFrame([(1, [a, c.size, a]), (2, [a, None, -3]), (3, None), (4, []), (None, [a])], "doc_id bigint, tokens array<int>")
+    assert sorted(((r.doc_id or 0), r.text) for r in bpe.decode(rows).collect() if r.doc_id != 3) == [(0, "a"), (1, "a\ufffda"), (2, "a\ufffd\ufffd"), (4, "")]
+    assert [r.text for r in bpe.decode(rows).where("doc_id = 3").collect()] == [None]
