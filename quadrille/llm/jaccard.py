@@ -7,8 +7,8 @@ smallest doc_id. No step is approximate:
    what repeats within a chunk and sends each n-gram of a chunk once, as 32 bits of its hash and its owner, to the bucket
    of the hash; a bucket answers each chunk with the number of n-grams that others have as well, by owner. Colliding
    hashes only count too many. A set of n n-grams with fewer than threshold * n of them shared is in no pair and goes.
-2. The sets that stay, a small part, get the exact frequency of their n-grams and keep those of two sets or more,
-   rarest first. With T = ceil(threshold * n), two similar sets share an n-gram among the first (shared - T + 1) of
+2. The sets that stay, a small part, get the exact frequency of their n-grams in the same way (in 64 bits, each with its
+   number of sets in the chunk) and keep those of two sets or more, rarest first. With T = ceil(threshold * n), two similar sets share an n-gram among the first (shared - T + 1) of
    each: these are the short lists of DivideSkip, the rest its long ones.
 3. Sets are dealt to shards of at most about SLICE n-grams, by the smallest hash of their n-grams, so that near copies
    lie together; what exceeds a shard is dealt on by the set's hash. A set goes to its own shard and to the later ones
@@ -66,6 +66,18 @@ def wholes(h: np.ndarray, o: np.ndarray) -> np.ndarray:
     return T.mix((at[o[1:]] - at[o[:-1]]) ^ (np.diff(o).astype(T.U) << T.U(40))).view(np.int64)
 
 
+def _buckets(grams: int) -> int:
+    """A power of two."""
+    return min(MAX_BUCKETS, 1 << (grams // BUCKET).bit_length())
+
+
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For hashes in order: the buckets, named by the highest bits, and where each begins and ends."""
+    of = (h >> T.U(65 - buckets.bit_length())).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
+    at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    return of[at], at, np.append(at[1:], len(of))
+
+
 class _Chunk:
     """The sets of some documents of a task, each set once."""
 
@@ -100,14 +112,11 @@ class _Chunk:
         times = np.diff(np.append(lead, len(h)))
         here = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(self.size))
         h, owner = h[lead], np.where(times > 1, NOBODY, owner[lead]).astype(np.uint16)
-        shift = T.U(64 - max(1, buckets - 1).bit_length()) if buckets > 1 else T.U(0)
-        of = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)  # h is in order, hence so is this
-        cut_at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        ends = np.append(cut_at[1:], len(of))
+        own, cut_at, ends = _by_bucket(h, buckets)
         low = h.astype(np.uint32)
         meta = [np.array(self.docs), np.array(self.doc_set, np.int32), np.array(list(self.sets)), np.array(self.size), here]
         cols = [
-            pa.array(np.append(of[cut_at], -1 - (chunk + (chunk >> 32)) % buckets)),
+            pa.array(np.append(own, -1 - (chunk + (chunk >> 32)) % buckets)),
             pa.array(np.full(len(cut_at) + 1, chunk)),
             pa.array([*(T.blob(low[a:b]) for a, b in zip(cut_at, ends, strict=True)), None], pa.binary()),
             pa.array([*(T.blob(owner[a:b]) for a, b in zip(cut_at, ends, strict=True)), None], pa.binary()),
@@ -141,8 +150,7 @@ def _answers(t: pa.Table) -> pa.Table:
 def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, size, whole (hash of the set) and near (whether the set may have a similar one), for documents with n-grams."""
     docs = T.keyed(docs, {"doc_id": "bigint", "text": "string"}).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    total = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    buckets = min(MAX_BUCKETS, 1 << (total // BUCKET).bit_length())
+    buckets = _buckets((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, done = TaskContext.get().partitionId() << 32, _Chunk(), 0
@@ -299,45 +307,70 @@ def candidates(docs: DataFrame, rep: DataFrame, n: int, threshold: float) -> Dat
     near = cut(rep.where("near").select("doc_id", F.col("whole").alias("node")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a repeated row counts once
+        base, seen, made = TaskContext.get().partitionId() << 32, set(), 0  # a repeated row counts once
+        names, sets, load = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array([base + made]), *(pa.array([T.blob(np.array(x))], pa.binary()) for x in (names, [len(x) for x in sets])), pa.array([T.blob(np.concatenate(sets))], pa.binary())]
+            names.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays(cols, ["chunk", "nodes", "sizes", "grams"])
+
         for b in T.small(batches):
             node = b.column("node").to_numpy()
             for first, h, o in T.shingle_sets(*T.buffers(b.column("text"), lower=True), n):
-                whole, size, take = wholes(h, o), np.diff(o), []
+                whole, size = wholes(h, o), np.diff(o)
                 for x in np.flatnonzero((whole == node[first : first + len(size)]) & (size > 0)).tolist():  # not another text of the same doc_id
                     if whole[x] not in seen:
                         seen.add(whole[x])
-                        take.append(x)
-                if take:
-                    ptr = np.zeros(len(take) + 1, np.int32)
-                    np.cumsum(size[take], out=ptr[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[take]), pa.ListArray.from_arrays(pa.array(ptr), pa.array(h[T.ragged(o[take], size[take])].view(np.int64)))], ["node", "grams"])
+                        names.append(whole[x])
+                        sets.append(h[o[x] : o[x + 1]])
+                        load += int(size[x])
+                        if load >= CHUNK:
+                            yield flush()
+                            load, made = 0, made + 1
+        if names:
+            yield flush()
 
     texts = by_id(T.keyed(docs, {"doc_id": "bigint", "text": "string"}), near, "inner").where("text IS NOT NULL")
-    grams = cut(texts.mapInArrow(shingled, "node bigint, grams array<bigint>")).select("node", F.explode("grams").alias("token"))
-    often = grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(often, "token").select("node", "df", "token").repartition("node").sortWithinPartitions("node", "df", "token")
+    chunks = cut(texts.mapInArrow(shingled, "chunk bigint, nodes binary, sizes binary, grams binary"))
+    buckets = _buckets((chunks.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // 8)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_node, rest = None, []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, tok = b.column("node").to_numpy(), b.column("token").to_numpy()
-            if not len(node):
-                continue
-            lead = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            names, sets = [], []
-            for a, e in zip(lead.tolist(), np.append(lead[1:], len(node)).tolist(), strict=True):
-                if node[a] != rest_node and rest:
-                    names.append(rest_node)
-                    sets.append(b"".join(rest))
-                    rest = []
-                rest_node, own = node[a], tok[a:e]
-                rest.append(own[np.concatenate([[True], own[1:] != own[:-1]])].tobytes())  # a set that two tasks met
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
-        if rest:
-            yield pa.RecordBatch.from_arrays([pa.array([rest_node], pa.int64()), pa.array([b"".join(rest)], pa.binary())], ["node", "grams"])
-
-    sets = shared.mapInArrow(packed, "node bigint, grams binary").join(rep.where("near").select(F.col("whole").alias("node"), "size", "docs"), "node")
+            for chunk, grams in zip(b.column("chunk").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                tok, times = np.unique(np.frombuffer(grams, np.uint64), return_counts=True)
+                own, at, ends = _by_bucket(tok, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), chunk)), *(pa.array([T.blob(a[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()) for a in (tok, np.minimum(times, 0xFFFF).astype(np.uint16)))], ["bucket", "chunk", "tokens", "times"])
+
+    def frequency(t: pa.Table) -> pa.Table:
+        tok = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        times = np.concatenate([np.frombuffer(x, np.uint16) for x in t.column("times").to_pylist()])
+        _, back = np.unique(np.concatenate(tok), return_inverse=True)
+        df = np.minimum(np.bincount(back, times), 0xFFFF).astype(np.uint16)[back]
+        ends = np.cumsum([len(x) for x in tok])
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "df": pa.array([T.blob(x) for x in np.split(df, ends[:-1])], pa.binary())})
+
+    def ordered(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, sets = [], []
+        if len(left) and len(right):
+            right = right.sort_by("bucket")
+            node, size, grams = (np.frombuffer(left.column(c)[0].as_py(), k) for c, k in (("nodes", np.int64), ("sizes", np.int64), ("grams", np.uint64)))
+            tok, back = np.unique(grams, return_inverse=True)
+            df = np.frombuffer(b"".join(right.column("df").to_pylist()), np.uint16)[back]
+            owner = np.repeat(np.arange(len(node)), size)
+            keep = df > 1
+            df, grams, owner = df[keep], grams[keep], owner[keep]
+            order = np.lexsort((grams, df, owner))
+            grams, at = grams[order], np.searchsorted(owner[order], np.arange(len(node) + 1))
+            names = node.tolist()
+            sets = [T.blob(grams[i:j]) for i, j in zip(at, at[1:])]
+        return pa.table({"node": pa.array(names, pa.int64()), "grams": pa.array(sets, pa.binary())})
+
+    asked = chunks.mapInArrow(ask, "bucket bigint, chunk bigint, tokens binary, times binary")
+    df = asked.groupBy("bucket").applyInArrow(frequency, "chunk bigint, bucket bigint, df binary")
+    sets = chunks.groupBy("chunk").cogroup(df.groupBy("chunk")).applyInArrow(ordered, "node bigint, grams binary").dropDuplicates(["node"])  # a set that two tasks met
+    sets = sets.join(rep.where("near").select(F.col("whole").alias("node"), "size", "docs"), "node")
     need = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("size") - 1e-9)).cast("bigint")
     return sets.withColumn("need", need).where(F.octet_length("grams") / 8 >= F.col("need"))
 
