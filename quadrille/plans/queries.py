@@ -54,7 +54,7 @@ def sparql(name: str, tables: str, text: str, sql: str, numbers: tuple[str, ...]
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = SparqlEngine(spark, graph(spark, sf_dir, *tables.split(), by=by)).query(PREFIXES + text)
-        df = r.values(numbers + integers)
+        df = r.values(numbers, integers)
         return df.withColumns({c: F.col(c).cast("bigint") for c in integers}) if integers else df
 
 

@@ -7,6 +7,7 @@ their lexical form.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,9 +16,23 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import COLUMNS, DEFAULT, IRI, LANG_STRING, LITERAL, QUAD_SCHEMA, RDF, XSD
 
+#: The type of an exact number in a solution.
+EXACT = "decimal(38,12)"
 _TYPES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "double": "double", "float": "double", "boolean": "boolean", "date": "date", "timestamp": "dateTime", "timestamp_ntz": "dateTime"}
 
 
+def _fits(kind: str) -> bool:
+    """Whether a type is a decimal whose numbers are all exact ones in SPARQL; others are shown as text."""
+    m = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+    return m is not None and int(m[2]) <= 12 and int(m[1]) - int(m[2]) <= 26
+
+
+def decimal_form(c: Column) -> Column:
+    """Without needless zeros behind the point."""
+    text = c.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 @dataclass
 class TableMap:
     """How a table becomes a graph.
@@ -61,30 +76,32 @@ class TableMap:
         return F.col(self.graph).cast("string") == value[len(head) :]
 
     def objects(self) -> dict[str, tuple]:
-        """By predicate: source column, then the object's value, kind, datatype, language, number and instant, and the
-        datatype if it is a number's."""
+        """By predicate: source column, then the object's value, kind, datatype, language, number, instant and exact number,
+        and the datatype if it is a number's."""
         types = dict(self.table.dtypes)
-        null, no, never = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-        out = {RDF + "type": (None, F.lit(f"urn:class:{self.name}"), IRI, null, null, no, never, None)}
+        null, no, never, inexact = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz"), F.lit(None).cast(EXACT)
+        out = {RDF + "type": (None, F.lit(f"urn:class:{self.name}"), IRI, null, null, no, never, inexact, None)}
         for c in self.columns:
             p = f"urn:col:{c}"
             if c in self.links:
-                out[p] = (c, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no, never, None)
+                out[p] = (c, F.concat(F.lit(f"urn:{self.links[c]}:"), F.col(c).cast("string")), IRI, null, null, no, never, inexact, None)
             elif c in self.lang:
-                out[p] = (c, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no, never, None)
+                out[p] = (c, F.col(c), LITERAL, F.lit(LANG_STRING), F.col(self.lang[c]), no, never, inexact, None)
             else:
-                kind = _TYPES.get(types[c])
-                text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind == "dateTime" else F.col(c).cast("string")
-                numeric = kind in ("integer", "double")
+                kind = "decimal" if _fits(types[c]) else _TYPES.get(types[c])
+                # A time as text has its fraction without needless zeros
+                text = F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("T")) if kind == "dateTime" else decimal_form(F.col(c)) if kind == "decimal" else F.col(c).cast("string")
+                numeric = kind in ("integer", "decimal", "double")
+                exact = F.col(c).cast(EXACT) if kind in ("integer", "decimal") else inexact
                 when = F.col(c).cast("timestamp_ntz") if kind in ("dateTime", "date") else never
-                out[p] = (c, text, LITERAL, F.lit(XSD + kind) if kind else null, null, F.col(c).cast("double") if numeric else no, when, XSD + kind if numeric else None)
+                out[p] = (c, text, LITERAL, F.lit(XSD + kind) if kind else null, null, F.col(c).cast("double") if numeric else no, when, exact, XSD + kind if numeric else None)
         return out
 
     def branches(self) -> list[tuple[str, DataFrame]]:
         """(predicate, quads) for the class of the rows and each column."""
         null = F.lit(None).cast("string")
         out = []
-        for p, (c, o, kind, datatype, lang, num, _, _) in self.objects().items():
+        for p, (c, o, kind, datatype, lang, num, _, _, _) in self.objects().items():
             parts = (self.subject(), F.lit(IRI), F.lit(p), o, F.lit(kind), datatype, lang, null, *self.graph_columns(), num)
             rows = self.table if c is None else self.table.where(F.col(c).isNotNull())
             out.append((p, rows.select(*[x.alias(n) for x, n in zip(parts, COLUMNS, strict=True)])))

@@ -1,6 +1,6 @@
 """Algebra to DataFrames.
 
-A solution table has six columns for each variable (expressions.PARTS). Which variables are bound in every row is
+A solution table has seven columns for each variable (expressions.PARTS). Which variables are bound in every row is
 tracked, so that joins on them stay plain equi-joins, which Catalyst may run as hash or sort-merge joins; only a
 variable that may be unbound needs the form with OR.
 """
@@ -60,12 +60,16 @@ def _all(conditions: list[Column]) -> Column:
 
 def _term_columns(prefix: str) -> list[Column]:
     """The columns of a quad's part: s, p, o or g."""
-    null, no, never = X.null(), X.no_number(), X.no_instant()
     if prefix == "o":
+        o, d = F.col("o"), F.col("o_datatype")
         lang = F.when(F.col("o_dir").isNotNull(), F.concat("o_lang", F.lit("--"), "o_dir")).otherwise(F.col("o_lang"))
-        return [F.col("o"), F.col("o_kind"), F.col("o_datatype"), lang, F.col("o_num"), X.parsed_instant(F.col("o"), F.col("o_datatype"))]
-    kind = F.lit(IRI) if prefix == "p" else F.col(f"{prefix}_kind")
-    return [F.col(prefix), kind, null, null, no, never]
+        return [o, F.col("o_kind"), d, lang, F.col("o_num"), X.parsed_instant(o, d), X.exact(o, d)]
+    return _node(F.col(prefix), F.lit(IRI) if prefix == "p" else F.col(f"{prefix}_kind"))
+
+
+def _node(v: Column, kind: Column) -> list[Column]:
+    """The columns of a term that is no literal."""
+    return [v, kind, X.null(), X.null(), X.no_number(), X.no_instant(), X.no_exact()]
 
 
 class Compiler:
@@ -84,7 +88,7 @@ class Compiler:
         return f"#{what}{self.made}"
 
     def expressions(self, sol: Sol, exists=None) -> X.Expressions:
-        return X.Expressions(set(sol.vars), self.now, self.base, exists)
+        return X.Expressions(set(sol.vars), self.now, self.base, exists, self.numeric)
 
     # Scans
     def scan(self, predicate: str | None, scope: Scope) -> DataFrame:
@@ -170,7 +174,6 @@ class Compiler:
         """One projection of a table for all patterns of a subject."""
         types = {t.o.value for t in triples if t.p.value == TYPE and isinstance(t.o, Term)}
         m = self.source.star([t.p.value for t in triples], types)
-        null, no, never = X.null(), X.no_number(), X.no_instant()
         objects, df = m.objects(), m.table
         g, g_kind = m.graph_columns()
         if (m.graph is None) != (scope.active is None):
@@ -196,16 +199,16 @@ class Compiler:
         if isinstance(triples[0].s, Term):
             df = df.where(m.is_subject(triples[0].s.value))
         else:
-            bind(triples[0].s, [m.subject(), F.lit(IRI), null, null, no, never], frozenset((IRI,)))
+            bind(triples[0].s, _node(m.subject(), F.lit(IRI)), frozenset((IRI,)))
         for t in triples:
-            c, v, kind, d, lang, n, when, number = objects[t.p.value]
+            c, v, kind, d, lang, n, when, exact, number = objects[t.p.value]
             if c is not None:
                 df = df.where(F.col(c).isNotNull())
             if t.p.value == TYPE and isinstance(t.o, Term):
                 continue
-            bind(t.o, [v, F.lit(kind), d, lang, n, when], frozenset((kind,)), number)
+            bind(t.o, [v, F.lit(kind), d, lang, n, when, exact], frozenset((kind,)), number)
         if isinstance(scope.active, A.Var):
-            bind(scope.active, [g, g_kind, null, null, no, never], frozenset((IRI,)))
+            bind(scope.active, _node(g, g_kind), frozenset((IRI,)))
         return Sol(df.select(*[x.alias(column(v, p)) for v, parts in ends.items() for x, p in zip(parts, PARTS, strict=True)]), dict.fromkeys(ends, True), kinds)
 
     # Joins
@@ -352,13 +355,13 @@ class Compiler:
                 else:
                     lang = (f"{t.lang}--{t.dir}" if t.dir else t.lang) if t.kind == LITERAL else None
                     d = X.LANG_STRING if lang else t.datatype
-                    row += [t.value, t.kind, d, lang, _python_number(t.value, d), None]
+                    row += [t.value, t.kind, d, lang, _python_number(t.value, d), None, None]
             rows.append(tuple(row))
         if not e.vars:
             return Sol(self.spark.range(len(rows)).select())
         always = {v: all(r[i] is not None for r in e.rows) for i, v in enumerate(e.vars)}
         df = self.spark.createDataFrame(rows, schema)
-        df = df.withColumns({column(v, "t"): X.parsed_instant(ref(v, "v"), ref(v, "d")) for v in e.vars})
+        df = df.withColumns({column(v, p): f(ref(v, "v"), ref(v, "d")) for v in e.vars for p, f in (("t", X.parsed_instant), ("e", X.exact))})
         for v in e.vars:
             self.note(v, None)
         return Sol(df, always, {v: ANY for v in e.vars})
@@ -403,7 +406,7 @@ class Compiler:
                     walk(a)
 
         walk(f)
-        x = X.Expressions(set(sol.vars), self.now, self.base, lambda e: flags[id(e)])
+        x = X.Expressions(set(sol.vars), self.now, self.base, lambda e: flags[id(e)], self.numeric)
         out = df.where(x.truth(f)).select(*[ref(v, p) for v in sol.vars for p in PARTS])
         return Sol(out, sol.always, sol.kinds)
 
@@ -497,7 +500,7 @@ class Compiler:
         for v in picked:
             self.note(v, None)
         if isinstance(scope.active, A.Var):
-            g = [F.col("g"), F.lit(IRI), X.null(), X.null(), X.no_number(), X.no_instant()]
+            g = _node(F.col("g"), F.lit(IRI))
             cols += [c.alias(column(scope.active.name, p)) for c, p in zip(g, PARTS, strict=True)]
             always[scope.active.name] = True
         return Sol(df.select(*cols), always, {v: ANY for v in always})
@@ -515,31 +518,45 @@ class Compiler:
         """The columns of an aggregate, to be named by the caller."""
         if a.arg is None:
             n = F.count_distinct(F.struct(*[ref(v, p) for v in sol.vars for p in "vkdl"])) if a.distinct and sol.vars else F.count(F.lit(1))
-            return list(X.numeric(n.cast("double"), X.INTEGER).parts())
+            return list(X.integer(n).parts())
         x = self.expressions(sol).build(a.arg)
         term = F.when(x.v.isNotNull(), F.struct(x.v.alias("v"), x.k.alias("k"), x.d.alias("d"), x.l.alias("l")))
         if a.name == "COUNT":
             n = F.count_distinct(term) if a.distinct else F.count(x.v)
-            return list(X.numeric(n.cast("double"), X.INTEGER).parts())
+            return list(X.integer(n).parts())
         if a.name in ("SUM", "AVG"):
-            total = F.sum_distinct(x.n) if a.distinct else F.sum(x.n)
-            many = F.count_distinct(x.n) if a.distinct else F.count(x.n)
-            fine = F.count(x.v) == F.count(x.n)
-            wide = F.when(F.max(x.d.isin(X.DOUBLE, X.XSD + "float")), X.DOUBLE).when(F.max(x.d == X.DECIMAL), X.DECIMAL).otherwise(X.INTEGER)
-            if a.name == "SUM":
-                return list(X.numeric(F.when(fine, F.coalesce(total, F.lit(0.0))), wide).parts())
-            wide = F.when(many == 0, X.INTEGER).when(wide == X.INTEGER, X.DECIMAL).otherwise(wide)
-            return list(X.numeric(F.when(fine, F.when(many == 0, 0.0).otherwise(total / many)), wide).parts())
+            return self._total(a, x)
         if a.name == "GROUP_CONCAT":
             v = F.collect_set(x.v) if a.distinct else F.collect_list(x.v)
             return list(X.string(F.array_join(F.array_sort(v), a.separator)).parts())
         known = self.numeric.get(a.arg.name) if isinstance(a.arg, A.Var) else None
         if known:  # a number needs no ordering of terms, and fits a hash aggregate
-            return list(X.numeric(F.max(x.n) if a.name == "MAX" else F.min(x.n), known).parts())
+            best = (F.max if a.name == "MAX" else F.min)(x.n if x.lane == "double" else x.e)
+            return list((X.numeric(best, known) if x.lane == "double" else X.numeric(best.cast("double"), known, best, "exact")).parts())
         key = F.when(x.v.isNotNull(), F.struct(*_order_key(x), x.v.alias("v"), x.k.alias("k"), x.d.alias("d"), x.l.alias("l"), x.n.alias("n")))
         best = F.max(key) if a.name == "MAX" else F.min(key)  # SAMPLE takes the smallest
         return [best[p] for p in PARTS]
 
+    def _total(self, a: A.Aggregate, x: X.Ex) -> list[Column]:
+        """SUM or AVG; exact if all that goes in is, and as doubles if one is a double."""
+        double = None if x.lane == "exact" else F.sum_distinct(x.n) if a.distinct else F.sum(x.n)
+        exact = None if x.lane == "double" else F.sum_distinct(x.exact()) if a.distinct else F.try_sum(x.exact())
+        one = x.n if x.lane == "double" else x.exact() if x.lane == "exact" else F.when(x.n.isNotNull(), F.struct(x.n, x.exact()))
+        many = F.count_distinct(one) if a.distinct else F.count(x.n)
+        fine = F.count(x.v) == F.count(x.n)
+        wide = F.when(F.max(x.d.isin(X.DOUBLE, X.XSD + "float")), X.DOUBLE).when(F.max(x.d == X.DECIMAL), X.DECIMAL).otherwise(X.INTEGER)
+        if a.name == "AVG":
+            wide = F.when(many == 0, X.INTEGER).when(wide == X.INTEGER, X.DECIMAL).otherwise(wide)
+            double = None if double is None else F.when(many == 0, 0.0).otherwise(double / many)
+            exact = None if exact is None else F.when(many == 0, F.lit(0).cast(X.EXACT)).otherwise(F.try_divide(exact, many.cast("decimal(20,0)")).try_cast(X.EXACT))
+        if x.lane == "double":
+            return list(X.numeric(F.when(fine, F.coalesce(double, F.lit(0.0))), wide).parts())
+        exact = F.when(fine, F.when(F.count(x.n) == 0, F.lit(0).cast(X.EXACT)).otherwise(exact))
+        if x.lane == "exact":
+            return list(X.numeric(exact.cast("double"), wide, exact, "exact").parts())
+        exact = F.when(F.count(x.n) == F.count(x.exact()), exact)
+        return list(X.numeric(F.when(F.count(x.n) == F.count(x.exact()), exact.cast("double")).otherwise(F.when(fine, double)), wide, exact).parts())
+
     def grouped(self, q: A.Query, sol: Sol, found: list) -> tuple[Sol, dict]:
         keys, always, rename = [], {}, {}
         for name, e in q.group_by:
@@ -661,7 +678,7 @@ class Compiler:
 def _order_key(x: X.Ex) -> list[Column]:
     """Unbound, blank nodes, IRIs, literals; then numbers and times by value; then the lexical form."""
     rank = F.when(x.v.isNull(), 0).when(x.k == BNODE, 1).when(x.k == IRI, 2).when(x.n.isNotNull(), 3).otherwise(4)
-    return [rank.alias("r"), x.n.alias("m"), X.instant(x).alias("t"), x.v.alias("w")]
+    return [rank.alias("r"), x.n.alias("m"), x.exact().alias("e"), X.instant(x).alias("t"), x.v.alias("w")]
 
 
 def _python_number(value: str, datatype: str | None) -> float | None:

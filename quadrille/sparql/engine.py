@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import DEFAULT, IRI, KEY, LITERAL, Term
+from quadrille.functions.terms import DEFAULT, IRI, KEY, LITERAL, QUAD_SCHEMA, Term
 from quadrille.operators.store import Patch, QuadStore, apply_patch
 from quadrille.shared import cut
 from quadrille.sources import rdf
@@ -36,9 +36,9 @@ class Result:
     boolean: bool | None = None
     quads: DataFrame | None = None
 
-    def values(self, numbers: tuple[str, ...] = ()) -> DataFrame:
-        """One column of lexical forms for each variable; of doubles for those in numbers."""
-        return self.solutions.select(*[ref(v, "n" if v in numbers else "v").alias(v) for v in self.vars])
+    def values(self, numbers: tuple[str, ...] = (), exact: tuple[str, ...] = ()) -> DataFrame:
+        """One column of lexical forms for each variable; of doubles for those in numbers, of decimals for those in exact."""
+        return self.solutions.select(*[ref(v, "n" if v in numbers else "e" if v in exact else "v").alias(v) for v in self.vars])
 
     def terms(self) -> DataFrame:
         """One struct column (kind, value, datatype, lang) for each variable; null if unbound."""
@@ -135,7 +135,7 @@ class SparqlEngine:
         sol = c.group(q.where, scope)
         sol = c.sliced(q, sol, sol.vars, q.order_by)
         quads = c.instantiate(sol, [(None, t) for t in q.template])
-        return Result("construct", quads=quads if quads is not None else self.store.quads().limit(0))
+        return Result("construct", quads=quads if quads is not None else self.spark.createDataFrame([], QUAD_SCHEMA))
 
     # Updates
     def update(self, text: str, base: str = "") -> Result:

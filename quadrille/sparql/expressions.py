@@ -1,27 +1,35 @@
 """SPARQL expressions as Spark columns.
 
-A value is six columns: lexical form, kind, datatype, language (with --direction), number and instant. Unbound and
-error are both a null lexical form, which gives the three-valued logic of FILTER by SQL's own. Comparisons use the
-native number or instant, so that they reach the scan where a table has one.
+A value is seven columns: lexical form, kind, datatype, language (with --direction), number, instant and, for integers and
+decimals, the exact number. Unbound and error are both a null lexical form, which gives the three-valued logic of FILTER
+by SQL's own. Comparisons use the native number or instant, so that they reach the scan where a table has one.
+
+Integers and decimals are compared, added up and computed exactly, in decimals of 26 digits before the point and 12 after
+it; a result that needs more before the point is an error, and digits beyond the 12th are rounded. A literal of more digits
+has no exact number and counts as a double. A time without a zone is taken to be in UTC.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import BNODE, IRI, LANG_STRING, LITERAL, NUMERIC, RDF, TRIPLE, XSD, Term, iri_body, literal_body, number
+from quadrille.sources.virtual import EXACT, decimal_form
 from quadrille.sparql import algebra as A
 
 INTEGER, DECIMAL, DOUBLE, BOOLEAN, DATE, DATETIME, STRING = (XSD + n for n in ("integer", "decimal", "double", "boolean", "date", "dateTime", "string"))
+_DOUBLES = (DOUBLE, XSD + "float")
 _INTEGERS = [n for n in NUMERIC if n not in (DECIMAL, DOUBLE, XSD + "float")]
-#: Lexical form, kind, datatype, language, number, instant.
-PARTS = ("v", "k", "d", "l", "n", "t")
-TYPES = {"n": "double", "t": "timestamp_ntz"}
+#: Lexical form, kind, datatype, language, number, instant, exact number.
+PARTS = ("v", "k", "d", "l", "n", "t", "e")
+TYPES = {"n": "double", "t": "timestamp_ntz", "e": EXACT}
+_ZONE = r"(Z|[+-]\d\d:\d\d)$"
 
 
 def null() -> Column:
@@ -36,6 +44,10 @@ def no_instant() -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
+def no_exact() -> Column:
+    return F.lit(None).cast(EXACT)
+
+
 class UnsupportedExpression(ValueError):
     pass
 
@@ -58,18 +70,28 @@ class Ex:
     kind: str = "term"  # or bool, num, str, iri, time, where that is known before any row is read
     b: Column | None = None
     t: Column | None = None
+    e: Column | None = None
+    #: exact, if a number that is bound always has an exact one; double, if it never has; None if that is not known.
+    lane: str | None = None
 
     def parts(self) -> tuple[Column, ...]:
-        return self.v, self.k, self.d, self.l, self.n, no_instant() if self.t is None else self.t
+        return self.v, self.k, self.d, self.l, self.n, no_instant() if self.t is None else self.t, self.exact()
+
+    def exact(self) -> Column:
+        return no_exact() if self.e is None or self.lane == "double" else self.e
 
 
 def of_parts(parts) -> Ex:
-    *five, t = parts
-    return Ex(*five, t=t)
+    *five, t, e = parts
+    return Ex(*five, t=t, e=e)
 
 
-def var(name: str) -> Ex:
-    return of_parts(ref(name, p) for p in PARTS)
+def var(name: str, datatype: str | None = None) -> Ex:
+    """A variable; with the datatype, if all that it may be bound to are numbers of a table's column."""
+    x = of_parts(ref(name, p) for p in PARTS)
+    if datatype in NUMERIC:
+        x.kind, x.lane = "num", "double" if datatype in _DOUBLES else "exact"
+    return x
 
 
 def unbound() -> Ex:
@@ -85,18 +107,29 @@ def boolean(b: Column) -> Ex:
     return Ex(v, _if_bound(v, LITERAL), _if_bound(v, BOOLEAN), null(), no_number(), "bool", b)
 
 
-def lexical(n: Column, d: Column) -> Column:
+def exact(v: Column, d: Column) -> Column:
+    """The exact number of an integer or decimal literal that has no more digits than EXACT."""
+    shape = F.when(d == DECIMAL, v.rlike(r"^\s*[+-]?(0*\d{1,26}(\.\d{0,12}0*)?|\.\d{1,12}0*)\s*$")).when(d.isin(_INTEGERS), v.rlike(r"^\s*[+-]?0*\d{1,26}\s*$"))
+    return F.when(shape, F.trim(v).try_cast(EXACT))
+
+
+def lexical(n: Column, d: Column, e: Column | None = None) -> Column:
     """A number's form: no fraction for integers, no needless zeros for decimals."""
-    whole = n.try_cast("decimal(38,0)").cast("string")
-    fine = F.regexp_replace(n.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1")
+    of = (lambda kind: n.try_cast(kind)) if e is None else (lambda kind: F.coalesce(e, n.try_cast(EXACT)).cast(kind))
     special = F.when(n == float("inf"), "INF").when(n == float("-inf"), "-INF").otherwise(n.cast("string"))
-    return F.when(d.isin(_INTEGERS), whole).when(d == DECIMAL, F.regexp_replace(fine, r"\.$", "")).otherwise(special)
+    return F.when(d.isin(_INTEGERS), of("decimal(38,0)").cast("string")).when(d == DECIMAL, decimal_form(of(EXACT))).otherwise(special)
 
 
-def numeric(n: Column, d: Column | str) -> Ex:
+def numeric(n: Column, d: Column | str, e: Column | None = None, lane: str | None = None) -> Ex:
     d = F.lit(d) if isinstance(d, str) else d
-    v = lexical(n, d)
-    return Ex(v, _if_bound(v, LITERAL), F.when(n.isNotNull(), d), null(), n, "num")
+    v = lexical(n, d, e)
+    return Ex(v, _if_bound(v, LITERAL), F.when(n.isNotNull(), d), null(), n, "num", e=e, lane="double" if e is None else lane)
+
+
+def integer(n: Column) -> Ex:
+    """An xsd:integer of a column of whole numbers."""
+    v = n.cast("string")
+    return Ex(v, _if_bound(v, LITERAL), _if_bound(v, INTEGER), null(), n.cast("double"), "num", e=n.cast(EXACT), lane="exact")
 
 
 def string(v: Column, lang: Column | None = None) -> Ex:
@@ -117,7 +150,12 @@ def constant(t: Term) -> Ex:
     kind = "num" if d in NUMERIC else "bool" if d == BOOLEAN else "time" if d in (DATETIME, DATE) else "term" if d not in (None, LANG_STRING) else "str"
     b = F.lit(t.value in ("true", "1")) if kind == "bool" else None
     when = parsed_instant(F.lit(t.value), F.lit(d)) if kind == "time" else None
-    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b, when)
+    e, lane = None, None
+    if kind == "num":
+        whole, _, rest = t.value.strip().lstrip("+-").partition(".")
+        lane = "double" if d in _DOUBLES else "exact" if (whole + rest).isascii() and (whole + rest).isdigit() and len(whole.lstrip("0")) <= 26 and len(rest.rstrip("0")) <= 12 and not (rest and d != DECIMAL) else None
+        e = F.lit(Decimal(t.value.strip())).cast(EXACT) if lane == "exact" else None
+    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b, when, e, lane)
 
 
 def plain(e: Ex) -> Column:
@@ -141,8 +179,12 @@ def as_bool(e: Ex) -> Column:
 
 
 def parsed_instant(v: Column, d: Column) -> Column:
-    """The time that a literal stands for. A zone other than Z has none, since there is nothing to compare it with."""
-    return F.when(d.isin(DATETIME, DATE), F.regexp_replace(v, "Z$", "").try_cast("timestamp_ntz"))
+    """The time that a literal stands for, in UTC."""
+    zone = F.regexp_extract(v, _ZONE, 1)
+    local = F.regexp_replace(v, _ZONE, "").try_cast("timestamp_ntz")
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    ahead = F.make_dt_interval(F.lit(0), sign * F.substring(zone, 2, 2).try_cast("int"), sign * F.substring(zone, 5, 2).try_cast("int"))
+    return F.when(d.isin(DATETIME, DATE), F.when(zone.isin("", "Z"), local).otherwise(local - ahead))
 
 
 def instant(e: Ex) -> Column:
@@ -153,10 +195,27 @@ def same_term(a: Ex, b: Ex) -> Column:
     return (a.v == b.v) & (a.k == b.k) & a.d.eqNullSafe(b.d) & a.l.eqNullSafe(b.l)
 
 
+def _same_number(a: Ex, b: Ex) -> Column:
+    """Numbers are equal; as the doubles then are as well, the filter on them reaches the scan."""
+    if a.lane == b.lane == "exact":
+        return a.e == b.e
+    same = (a.n == b.n) & ~F.isnan(a.n)
+    return same if "double" in (a.lane, b.lane) else same & F.coalesce(a.exact() == b.exact(), F.lit(True))
+
+
+def _less_number(a: Ex, b: Ex, cmp: Callable) -> Column:
+    if a.lane == b.lane == "exact":
+        return cmp(a.e, b.e)
+    real = ~F.isnan(a.n) & ~F.isnan(b.n)
+    if "double" in (a.lane, b.lane):
+        return cmp(a.n, b.n) & real
+    return (a.n <= b.n) & F.coalesce(cmp(a.exact(), b.exact()), cmp(a.n, b.n)) & real
+
+
 def equal(a: Ex, b: Ex) -> Column:
     kinds = {a.kind, b.kind}
     if "num" in kinds:
-        return (a.n == b.n) & ~F.isnan(a.n)
+        return _same_number(a, b)
     if "bool" in kinds:
         return as_bool(a) == as_bool(b)
     if "time" in kinds:
@@ -167,7 +226,7 @@ def equal(a: Ex, b: Ex) -> Column:
         return (a.v == b.v) & a.l.eqNullSafe(b.l)
     strings = plain(a) & plain(b)
     return (
-        F.when(a.n.isNotNull() & b.n.isNotNull(), (a.n == b.n) & ~F.isnan(a.n))
+        F.when(a.n.isNotNull() & b.n.isNotNull(), _same_number(a, b))
         .when(a.v.isNull() | b.v.isNull(), F.lit(None).cast("boolean"))
         .when((a.k != LITERAL) | (b.k != LITERAL), (a.v == b.v) & (a.k == b.k))
         .when((a.d == BOOLEAN) & (b.d == BOOLEAN), as_bool(a) == as_bool(b))
@@ -181,7 +240,7 @@ def less(a: Ex, b: Ex, or_equal: bool) -> Column:
     cmp = (lambda x, y: x <= y) if or_equal else (lambda x, y: x < y)
     kinds = {a.kind, b.kind}
     if "num" in kinds:
-        return cmp(a.n, b.n) & ~F.isnan(a.n) & ~F.isnan(b.n)
+        return _less_number(a, b, cmp)
     if "time" in kinds:
         return cmp(instant(a), instant(b))
     if kinds == {"str"}:
@@ -189,7 +248,7 @@ def less(a: Ex, b: Ex, or_equal: bool) -> Column:
     if "str" in kinds:
         return F.when(plain(a) & plain(b), cmp(a.v, b.v))
     return (
-        F.when(a.n.isNotNull() & b.n.isNotNull(), cmp(a.n, b.n) & ~F.isnan(a.n) & ~F.isnan(b.n))
+        F.when(a.n.isNotNull() & b.n.isNotNull(), _less_number(a, b, cmp))
         .when(instant(a).isNotNull() & instant(b).isNotNull(), cmp(instant(a), instant(b)))
         .when((a.d == BOOLEAN) & (b.d == BOOLEAN), cmp(as_bool(a).cast("int"), as_bool(b).cast("int")))
         .when(plain(a) & plain(b) & a.l.eqNullSafe(b.l), cmp(a.v, b.v))
@@ -198,16 +257,35 @@ def less(a: Ex, b: Ex, or_equal: bool) -> Column:
 
 def _wider(a: Ex, b: Ex) -> Column:
     either = lambda *t: a.d.isin(*t) | b.d.isin(*t)
-    return F.when(either(DOUBLE, XSD + "float"), DOUBLE).when(either(DECIMAL), DECIMAL).otherwise(INTEGER)
+    return F.when(either(*_DOUBLES), DOUBLE).when(either(DECIMAL), DECIMAL).otherwise(INTEGER)
+
+
+def by_exact(op: str, x: Column, y: Column) -> Column:
+    """Of exact numbers, null if it doesn't fit. Narrower decimals go in where the product's or quotient's scale would be cut."""
+    whole, fine = (lambda c: c.cast("decimal(38,0)")), (lambda c: c.try_cast("decimal(24,12)"))
+    if op == "*":
+        return F.coalesce(F.try_multiply(fine(x), fine(y)).try_cast(EXACT), F.when((whole(x) == x) & (whole(y) == y), F.try_multiply(whole(x), whole(y)).try_cast(EXACT)))
+    if op == "/":
+        return F.try_divide(fine(x), fine(y)).try_cast(EXACT)
+    # A sum of two such decimals would lose a digit after the point, so that parts before and behind it are added apart
+    add = F.try_add if op == "+" else F.try_subtract
+    head, tail = add(whole(F.floor(x)), whole(F.floor(y))), add((x - F.floor(x)).cast("decimal(14,12)"), (y - F.floor(y)).cast("decimal(14,12)"))
+    return F.try_add(head.try_cast("decimal(26,0)"), tail).try_cast(EXACT)
 
 
 def arithmetic(op: str, a: Ex, b: Ex) -> Ex:
     wide = _wider(a, b)
+    double = "double" in (a.lane, b.lane)
+    e = None if double else by_exact(op, a.exact(), b.exact())
     if op == "/":
-        real = wide == DOUBLE
-        special = F.when(real & (b.n == 0), F.when(a.n > 0, float("inf")).when(a.n < 0, float("-inf")).otherwise(float("nan")))
-        return numeric(F.coalesce(special, F.try_divide(a.n, b.n)), F.when(wide == INTEGER, DECIMAL).otherwise(wide))
-    return numeric({"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](a.n, b.n), wide)
+        special = F.when((wide == DOUBLE) & (b.n == 0), F.when(a.n > 0, float("inf")).when(a.n < 0, float("-inf")).otherwise(float("nan")))
+        n, wide = F.coalesce(special, F.try_divide(a.n, b.n)), F.when(wide == INTEGER, DECIMAL).otherwise(wide)
+    else:
+        n = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](a.n, b.n)
+    if double:
+        return numeric(n, wide)
+    both = "exact" if a.lane == b.lane == "exact" else None
+    return numeric(e.cast("double") if both else F.when(a.exact().isNotNull() & b.exact().isNotNull(), e.cast("double")).otherwise(n), wide, e, both)
 
 
 def text(e: Ex) -> Column:
@@ -228,15 +306,27 @@ def _regex(pattern: Column, flags: Column | None) -> Column:
 
 
 def _zone(e: Ex) -> Column:
-    return F.regexp_extract(e.v, r"(Z|[+-]\d\d:\d\d)$", 1)
+    return F.regexp_extract(e.v, _ZONE, 1)
 
 
 def _stamp(part: Callable) -> Callable:
-    return lambda e: numeric(part(F.regexp_replace(F.when(e.d.isin(DATETIME, DATE), e.v), r"(Z|[+-]\d\d:\d\d)$", "").try_cast("timestamp_ntz")).cast("double"), INTEGER)
+    return lambda e: integer(part(F.regexp_replace(F.when(e.d.isin(DATETIME, DATE), e.v), _ZONE, "").try_cast("timestamp_ntz")))
+
+
+def _around_zero(f: Callable, of_exact: Callable | None = None) -> Callable:
+    def call(e: Ex) -> Ex:
+        if e.lane == "double":
+            return numeric(f(e.n), F.when(e.n.isNotNull(), e.d))
+        x = (of_exact or f)(e.exact()).cast(EXACT)
+        return numeric(F.coalesce(x.cast("double"), f(e.n)), F.when(e.n.isNotNull(), e.d), x, e.lane)
 
+    return call
 
-def _around_zero(f: Callable) -> Callable:
-    return lambda e: numeric(f(e.n), F.when(e.n.isNotNull(), e.d))
+
+def _round_exact(e: Column) -> Column:
+    """Halves go up, also below zero."""
+    r = F.round(e, 0)
+    return F.when(e == r + F.lit(Decimal("0.5")), r + 1).otherwise(r)
 
 
 def _triple_part(i: int) -> Callable:
@@ -254,23 +344,32 @@ def _triple_part(i: int) -> Callable:
         lang = F.regexp_extract(raw, r'"@([A-Za-z0-9-]+)$', 1)
         d = F.regexp_extract(raw, r'"\^\^<([^>]*)>$', 1)
         d = F.when(is_lit & (lang != ""), LANG_STRING).when(is_lit & (d != ""), d)
-        return Ex(v, k, d, F.when(is_lit & (lang != ""), lang), number(v, d), t=parsed_instant(v, d))
+        return Ex(v, k, d, F.when(is_lit & (lang != ""), lang), number(v, d), t=parsed_instant(v, d), e=exact(v, d))
 
     return take
 
 
+def _to_number(name: str, e: Ex) -> Ex:
+    flag, words = as_bool(e), F.when(plain(e), e.v)
+    n = F.when(flag.isNotNull(), flag.cast("double")).otherwise(F.coalesce(e.n, number(words, F.lit(DOUBLE if name in _DOUBLES else name))))
+    if name in _DOUBLES:
+        return numeric(n, name)
+    e = F.when(flag.isNotNull(), flag.cast("int").cast(EXACT)).otherwise(F.coalesce(e.exact(), exact(words, F.lit(name)), e.n.try_cast(EXACT)))
+    if name in _INTEGERS:
+        e = F.when(e < 0, F.ceil(e)).otherwise(F.floor(e)).cast(EXACT)
+    return numeric(e.cast("double"), name, e, "exact")
+
+
 def _cast(name: str, e: Ex) -> Ex | None:
     kind = name[len(XSD) :] if name.startswith(XSD) else ""
     if name in NUMERIC:
-        source = F.when(as_bool(e).isNotNull(), as_bool(e).cast("double")).otherwise(F.coalesce(e.n, number(F.when(plain(e), e.v), F.lit(DOUBLE if name in (DOUBLE, XSD + "float") else name))))
-        n = F.when(source < 0, F.ceil(source)).otherwise(F.floor(source)).cast("double") if name in _INTEGERS else source
-        return numeric(n, name)
+        return _to_number(name, e)
     if kind == "string":
         return string(e.v)
     if kind == "boolean":
         return boolean(F.coalesce(as_bool(e), F.when(e.n.isNotNull(), (e.n != 0) & ~F.isnan(e.n)), F.when(plain(e), F.when(e.v.isin("true", "1"), True).when(e.v.isin("false", "0"), False))))
     if kind in ("dateTime", "date"):
-        stamp = F.regexp_replace(e.v, r"(Z|[+-]\d\d:\d\d)$", "").try_cast("timestamp_ntz")
+        stamp = F.regexp_replace(e.v, _ZONE, "").try_cast("timestamp_ntz")
         v = F.when(stamp.isNotNull(), F.when(F.lit(kind == "date"), F.substring(e.v, 1, 10)).when(F.length(e.v) == 10, F.concat(e.v, F.lit("T00:00:00"))).otherwise(e.v))
         return Ex(v, _if_bound(v, LITERAL), _if_bound(v, name), null(), no_number(), t=F.when(v.isNotNull(), parsed_instant(v, F.lit(name))))
     return None
@@ -281,23 +380,24 @@ def _no_dir(lang: Column) -> Column:
 
 
 def _sign(e: Ex) -> Ex:
-    return numeric(-e.n, F.when(e.n.isNotNull(), e.d))
+    return numeric(-e.n, F.when(e.n.isNotNull(), e.d), None if e.lane == "double" else -e.exact(), e.lane)
 
 
 def _seconds(e: Ex) -> Ex:
     t = F.regexp_extract(F.when(e.d == DATETIME, e.v), r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1)
-    return numeric(t.try_cast("double"), DECIMAL)
+    return numeric(t.try_cast("double"), DECIMAL, t.try_cast(EXACT), "exact")
 
 
 class Expressions:
-    """Builds columns from expressions. exists: turns an Exists into a boolean column, where a caller can."""
+    """Builds columns from expressions. exists: turns an Exists into a boolean column, where a caller can; numeric: the
+    datatypes of variables that only a table's numeric column binds."""
 
-    def __init__(self, known: set[str], now: str, base: str = "", exists: Callable[[A.Exists], Column] | None = None):
-        self.known, self.now, self.base, self.exists = known, now, base, exists
+    def __init__(self, known: set[str], now: str, base: str = "", exists: Callable[[A.Exists], Column] | None = None, numeric: dict[str, str | None] | None = None):
+        self.known, self.now, self.base, self.exists, self.numeric = known, now, base, exists, numeric or {}
 
     def build(self, e) -> Ex:
         if isinstance(e, A.Var):
-            return var(e.name) if e.name in self.known else unbound()
+            return var(e.name, self.numeric.get(e.name)) if e.name in self.known else unbound()
         if isinstance(e, Term):
             return constant(e)
         if isinstance(e, A.Exists):
@@ -416,7 +516,7 @@ def _bnode(e: Ex | None = None) -> Ex:
 def _strdt(e: Ex, d: Ex) -> Ex:
     kind = F.when(d.k == IRI, F.when(d.v != STRING, d.v))
     v = F.when((d.k == IRI) & e.d.isNull() & (e.k == LITERAL), e.v)
-    return Ex(v, _if_bound(v, LITERAL), kind, null(), number(v, kind), t=parsed_instant(v, kind))
+    return Ex(v, _if_bound(v, LITERAL), kind, null(), number(v, kind), t=parsed_instant(v, kind), e=exact(v, kind))
 
 
 def _hash(f: Callable) -> Callable:
@@ -439,11 +539,11 @@ _OPERATORS: dict[str, Callable] = {
     "BNODE": _bnode,
     "RAND": lambda: numeric(F.rand(), DOUBLE),
     "ABS": _around_zero(F.abs),
-    "CEIL": _around_zero(lambda n: F.ceil(n).cast("double")),
-    "FLOOR": _around_zero(lambda n: F.floor(n).cast("double")),
-    "ROUND": _around_zero(lambda n: F.floor(n + 0.5).cast("double")),
+    "CEIL": _around_zero(lambda n: F.ceil(n).cast("double"), F.ceil),
+    "FLOOR": _around_zero(lambda n: F.floor(n).cast("double"), F.floor),
+    "ROUND": _around_zero(lambda n: F.floor(n + 0.5).cast("double"), _round_exact),
     "CONCAT": _concat,
-    "STRLEN": lambda e: numeric(F.length(text(e)).cast("double"), INTEGER),
+    "STRLEN": lambda e: integer(F.length(text(e))),
     "SUBSTR": _substr,
     "UCASE": lambda e: string(F.upper(text(e)), e.l),
     "LCASE": lambda e: string(F.lower(text(e)), e.l),
