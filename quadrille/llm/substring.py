@@ -3,8 +3,13 @@
 A window is K consecutive words, one at every word of every document. First pass: each task counts the windows of its
 partition in a sparse count-min sketch (counters that stop at 2, since only "more than once" is asked), and the
 partition sketches are merged range by range. The merged sketch never counts a window too low, so a window that it
-holds to be single is single. Second pass: only windows estimated repeated are grouped by their hash, exactly; those
-in two or more documents are given back to their documents, where overlapping windows join to passages.
+holds to be single is single.
+
+Second pass: windows estimated repeated are put down, whole documents at a time, in files of some FLUSH windows in the
+shared folder; of each file every distinct hash goes once, with its number of documents there, to the group of the hash,
+which adds up exactly how many documents have it and answers each file. A file's windows that two or more documents
+share are joined to passages where they overlap. So no group holds a window more than once a file, however many documents
+share it, and neither texts nor windows are shuffled.
 
 The sketch has two bits of text length (rounded up to a power of two), so that it grows with the input; as one file of
 flags in the shared folder it is memory-mapped by the tasks, not sent to them. The shared folder must be mounted.
@@ -15,30 +20,34 @@ that share one of its windows. Words are runs of letters, digits and other non-A
 words is not compared.
 
 Defined results: a null or empty text and one of fewer than K words has no windows; a text of any length is used
-whole; rows with a null doc_id are left out; a repeated row counts as the same document; a passage that repeats only
-within one document is not reported; an empty table gives no rows; other columns are not touched.
+whole; rows with a null doc_id are left out; repeated rows count as one document, and an id with several texts counts as
+one and has the passages of each; a passage that repeats only within one document is not reported; an empty table gives
+no rows; other columns are not touched.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm import files
 from quadrille.llm import text as T
-from quadrille.shared import fresh_path, local_path, shared_dir
+from quadrille.llm.groups import by_id
+from quadrille.shared import cut, fresh_path, local_path
 
 K = 50
-#: Rows of the count-min sketch. One row of all bits lets through as many windows as two rows of half the bits would
-#: with twice the positions to send.
-DEPTH = 1
+#: Rows of the count-min sketch, of which the least counts. Each sends a position a window: of 24.3 million windows of a
+#: corpus in which 5.7 million repeat, 1, 2 and 4 rows of 2^29 bits in all let through 683, 97 and 7 thousand too many.
+DEPTH = 2
 RANGE_BITS = 22
 FLUSH = 1 << 22
-GROUP_WINDOWS = 1 << 19
+GROUP_WINDOWS = 1 << 20
 #: Bits of a round's sketch at most; a text that asks for more is done in rounds, each over a share of the hashes.
 MAX_BITS = 1 << 40
 
@@ -50,7 +59,7 @@ def windows(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     first = T.ragged(wo[:-1], n)
     h = T.window_hash(T.span_hash(data, s, e), k)[first]
     doc = np.repeat(np.arange(len(offs) - 1), n)
-    return h, doc, s[first] - offs[doc], e[first + k - 1] - offs[doc]
+    return h, doc, s[first] - offs[doc], e[first + k - 1] - offs[doc]  # in order of document and start
 
 
 def cells(h: np.ndarray, row: int, depth: int, bits: int) -> np.ndarray:
@@ -73,16 +82,27 @@ def repeats(docs: DataFrame, k: int = K, depth: int = DEPTH, bits: int | None =
     rounds = rounds or max(1, want // MAX_BITS)
     bits = bits or max(1 << RANGE_BITS + 1, want // rounds)
     groups = max(8, 1 << int(size / rounds / 6 / GROUP_WINDOWS).bit_length())
-    os.makedirs(local_path(shared_dir(spark)), exist_ok=True)
+    folder = fresh_path(spark, "windows")
+    files.make_dir(folder)
+    # Ids that several rows have are counted by name, all others by number
+    often = cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")))
+    docs = by_id(docs, often, "left").select("doc_id", "text", "again")
     found = None
     for turn in range(rounds):
-        part = _shared_windows(docs, k, depth, bits, groups, turn, rounds, local_path(fresh_path(spark, "sketch")))
+        flags = f"{folder}/sketch-{turn}"
+        part = _shared_windows(docs, k, depth, bits, groups, turn, rounds, folder, local_path(flags))
         found = part if found is None else found.unionByName(part)
-    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_passages, "doc_id bigint, start_byte bigint, end_byte bigint, windows bigint, docs bigint")
+    if rounds > 1:  # windows of one passage may lie in several rounds
+        found = found.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "s")
+        return found.mapInArrow(_joined, PASSAGES).distinct()
+    return found.select("doc_id", F.col("s").alias("start_byte"), F.col("e").alias("end_byte"), "windows", F.col("n").alias("docs")).distinct()
+
+
+PASSAGES = "doc_id bigint, start_byte bigint, end_byte bigint, windows bigint, docs bigint"
 
 
-def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int, turn: int, rounds: int, place: str) -> DataFrame:
-    """doc_id and packed starts, ends and document counts of this round's windows that two or more documents share."""
+def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int, turn: int, rounds: int, folder: str, place: str) -> DataFrame:
+    """doc_id, text_hash, s, e, windows and n of the passages (with several rounds: of the windows) that this round finds."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -146,88 +166,126 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.memmap(place, np.uint8, "r")
         held: list[tuple[np.ndarray, ...]] = []
+        names: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, doc, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, row, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, texts, again = (np.concatenate(x) for x in zip(*names, strict=True))
             held.clear()
-            g = (h >> T.U(40)).astype(np.int64) & (groups - 1)
-            order = np.argsort(g.astype(np.uint16) if groups <= 1 << 16 else g, kind="stable")
-            g, h, doc, s, e = g[order], h[order], doc[order], s[order].astype(np.uint32), e[order].astype(np.uint32)
-            cut_at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            rows = [(int(g[a]), T.blob(h[a:b]), T.blob(doc[a:b]), T.blob(s[a:b]), T.blob(e[a:b])) for a, b in zip(cut_at, np.append(cut_at[1:], len(g)), strict=True)]
+            names.clear()
+            uri = f"{folder}/{uuid.uuid4().hex}.npz"
+            files.save_arrays(uri, h=h, row=row.astype(np.uint32), s=s, e=e, ids=ids, texts=texts)
+            # Distinct (hash, document), then by hash the number of documents, those of several rows by name
+            order = np.lexsort((ids[row], h))
+            h, doc, again = h[order], ids[row][order], again[row][order]
+            own = np.ones(len(h), bool)
+            own[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc, again = h[own], doc[own], again[own]
+            lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            once = np.add.reduceat((~again).astype(np.int64), lead).astype(np.uint32)
+            group = lambda x: (x >> T.U(40)).astype(np.int64) & (groups - 1)
+            g, g2 = group(h[lead]), group(h[again])
+            by, by2 = np.argsort(g, kind="stable"), np.argsort(g2, kind="stable")
+            at, at2 = np.searchsorted(g[by], np.arange(groups + 1)), np.searchsorted(g2[by2], np.arange(groups + 1))
+            rows = [(int(x), uri, T.blob(h[lead][by[at[x] : at[x + 1]]]), T.blob(once[by[at[x] : at[x + 1]]]), T.blob(h[again][by2[at2[x] : at2[x + 1]]]), T.blob(doc[again][by2[at2[x] : at2[x + 1]]])) for x in np.flatnonzero(np.diff(at))]
             c = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), *(pa.array(x, pa.binary()) for x in c[1:])], ["g", "h", "doc", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), *(pa.array(x, pa.binary()) for x in c[2:])], ["g", "file", "h", "once", "h2", "doc2"])
 
-        load = 0
+        load = seen = 0
         for b in T.small(batches):
-            ids = T.id_array(b.column("doc_id"))
+            ids, again = T.id_array(b.column("doc_id")), pc.fill_null(b.column("again"), False).to_numpy(zero_copy_only=False)
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
-                h, doc, s, e = windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                h, doc, s, e = windows(d, o, k)
                 hit = share(h, turn, rounds)
                 for r in range(depth):
                     p = cells(h, r, depth, bits)
                     hit &= (flags[(p >> T.U(3)).astype(np.int64)] >> (p & T.U(7)).astype(np.uint8) & 1).astype(bool)
                 if hit.any():
-                    held.append((h[hit], ids[i:j][doc[hit]], s[hit], e[hit]))
+                    held.append((h[hit], doc[hit] + seen, s[hit], e[hit]))
                     load += int(hit.sum())
-                if load >= FLUSH // 2:
+                    names.append((ids[i:j], T.span_hash(d, o[:-1], o[1:]).view(np.int64), again[i:j]))
+                    seen += j - i
+                if load >= FLUSH // 4:
                     yield flush()
-                    load = 0
+                    load = seen = 0
         if load:
             yield flush()
 
     def exact(t: pa.Table) -> pa.Table:
-        h, doc, s, e = (np.frombuffer(b"".join(t.column(c).to_pylist()), k_) for c, k_ in (("h", np.uint64), ("doc", np.int64), ("s", np.uint32), ("e", np.uint32)))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        other = np.ones(len(h), bool)
-        other[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        shared = np.repeat(np.add.reduceat(other.astype(np.int64), lead), np.diff(np.append(lead, len(h))))
-        keep = shared > 1
-        doc, n, order = doc[keep], shared[keep].astype(np.uint32), order[keep]
-        s, e = s[order], e[order]
-        order = np.argsort(doc, kind="stable")
-        doc, n, s, e = doc[order], n[order], s[order], e[order]
-        cut_at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        ends = np.append(cut_at[1:], len(doc)) if len(doc) else cut_at
-        return pa.table({"doc_id": pa.array(doc[cut_at]), **{c: pa.array([T.blob(x[a:b]) for a, b in zip(cut_at, ends, strict=True)], pa.binary()) for c, x in (("s", s), ("e", e), ("n", n))}})
+        """For each file's hashes of a group, the number of documents that have them."""
+        h, once, h2, doc2 = ([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("h", np.uint64), ("once", np.uint32), ("h2", np.uint64), ("doc2", np.int64)))
+        own, back = np.unique(np.concatenate(h), return_inverse=True)
+        n = np.bincount(back, np.concatenate(once), len(own)).astype(np.int64)
+        a, b = np.concatenate(h2), np.concatenate(doc2)
+        if len(a):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.ones(len(a), bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            n += np.bincount(np.searchsorted(own, a[first]), minlength=len(own))
+        n = n[back].astype(np.uint32)
+        ends = np.cumsum([len(x) for x in h])
+        keep = [x > 1 for x in np.split(n, ends[:-1])]
+        return pa.table({"file": t.column("file"), "h": pa.array([T.blob(x[m]) for x, m in zip(h, keep, strict=True)], pa.binary()), "n": pa.array([T.blob(x[m]) for x, m in zip(np.split(n, ends[:-1]), keep, strict=True)], pa.binary())})
+
+    def answered(t: pa.Table) -> pa.Table:
+        """The shared windows of a file, joined to passages."""
+        w = files.load_arrays(t.column("file")[0].as_py())
+        known, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("h", np.uint64), ("n", np.uint32)))
+        order = np.argsort(known)
+        known, n = known[order], n[order]
+        if not len(known):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "text_hash", "s", "e", "windows", "n")})
+        at = np.minimum(np.searchsorted(known, w["h"]), len(known) - 1)
+        hit = known[at] == w["h"]
+        row, s, e, n = w["row"][hit], w["s"][hit], w["e"][hit], n[at[hit]].astype(np.int64)
+        ids, texts = w["ids"][row], w["texts"][row]
+        if rounds > 1:
+            return pa.table({"doc_id": ids, "text_hash": texts, "s": s, "e": e, "windows": np.ones(len(s), np.int64), "n": n})
+        lead = passages(row, s, e)
+        return pa.table({"doc_id": ids[lead], "text_hash": texts[lead], "s": s[lead], "e": np.maximum.reduceat(e, lead) if len(lead) else e, "windows": np.diff(np.append(lead, len(s))), "n": np.maximum.reduceat(n, lead) if len(lead) else n})
 
     parts = docs.mapInArrow(sketch, "part int, blocks binary, low binary, twice binary").repartition("part").sortWithinPartitions("part")
     with open(place, "wb") as f:
         f.truncate(bits >> 3)
     parts.mapInArrow(merged, "part int").agg(F.count("*")).collect()
-    return docs.mapInArrow(flagged, "g bigint, h binary, doc binary, s binary, e binary").groupBy("g").applyInArrow(exact, "doc_id bigint, s binary, e binary, n binary")
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of doc_id to passages: overlapping and touching windows joined."""
-    rest: list[tuple] = []
-
-    def join(rows: list[tuple]) -> pa.RecordBatch:
-        s, e, n = (np.frombuffer(b"".join(r[c] for r in rows), np.uint32).astype(np.int64) for c in (1, 2, 3))
-        doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 4 for r in rows])
-        order = np.lexsort((e, s, doc))
-        doc, s, e, n = doc[order], s[order], e[order], n[order]
-        own = np.ones(len(doc), bool)  # a repeated row brings its windows again
-        own[1:] = (doc[1:] != doc[:-1]) | (s[1:] != s[:-1])
-        doc, s, e, n = doc[own], s[own], e[own], n[own]
-        lead = np.ones(len(doc), bool)
-        lead[1:] = (doc[1:] != doc[:-1]) | (s[1:] > e[:-1])
-        lead = np.flatnonzero(lead)
-        return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(s[lead]), pa.array(np.maximum.reduceat(e, lead)), pa.array(np.diff(np.append(lead, len(doc)))), pa.array(np.maximum.reduceat(n, lead))], ["doc_id", "start_byte", "end_byte", "windows", "docs"])
+    asked = cut(docs.mapInArrow(flagged, "g bigint, file string, h binary, once binary, h2 binary, doc2 binary"))
+    found = asked.groupBy("g").applyInArrow(exact, "file string, h binary, n binary")
+    return found.groupBy("file").applyInArrow(answered, "doc_id bigint, text_hash bigint, s bigint, e bigint, windows bigint, n bigint")
+
+
+def passages(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The first window of each passage, of windows in order: overlapping and touching windows are joined."""
+    lead = np.ones(len(doc), bool)
+    lead[1:] = (doc[1:] != doc[:-1]) | (s[1:] > e[:-1])
+    return np.flatnonzero(lead)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in order of document, text and start to passages. A text that several rows have brings its windows again."""
+    rest: pa.Table | None = None
+
+    def join(t: pa.Table) -> pa.RecordBatch:
+        doc, text, s, e, n = (t.column(c).to_numpy() for c in ("doc_id", "text_hash", "s", "e", "n"))
+        own = np.ones(len(doc), bool)
+        own[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (s[1:] != s[:-1])
+        doc, text, s, e, n = doc[own], text[own], s[own], e[own], n[own]
+        which = np.cumsum(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+        lead = passages(which, s, e)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[lead], s[lead], np.maximum.reduceat(e, lead), np.diff(np.append(lead, len(doc))), np.maximum.reduceat(n, lead))], ["doc_id", "start_byte", "end_byte", "windows", "docs"])
 
     for b in batches:
-        rows = rest + list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "s", "e", "n")), strict=True))
-        if not rows:
+        if not b.num_rows:
             continue
-        last = rows[-1][0]
-        whole = [r for r in rows if r[0] != last]
-        rest = [r for r in rows if r[0] == last]
-        if whole:
-            yield join(whole)
-    if rest:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        key = [t.column(c).to_numpy() for c in ("doc_id", "text_hash")]
+        last = int(np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]))[-1]) + 1 if ((key[0] != key[0][-1]) | (key[1] != key[1][-1])).any() else 0
+        if last:
+            yield join(t.slice(0, last))
+        rest = t.slice(last).combine_chunks()
+    if rest is not None and len(rest):
         yield join(rest)
 
 
