@@ -3,7 +3,7 @@
 The model is a matrix of log probabilities (buckets x languages) of fixed size; Spark broadcasts it. A batch is
 scored as a sparse count matrix in row-pointer form times that matrix: the indices are the buckets of all
 n-grams, and the products are summed by np.add.reduceat. Only the text column is read; there is no shuffle of
-documents.
+documents. A long text is read in parts that overlap by two letters, whose own n-grams are taken off again.
 
 Defined results: a null or empty text, one without a letter, or one that no language explains better than uniform noise
 is "und" and rejected; ties go to the language first in alphabetical order; repeated rows are scored alike; an
@@ -27,7 +27,10 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
 MAX_TRAIN_ROWS = 4000
 MIN_POSTERIOR = 0.5
+#: Bytes scored at a time, with some 160 bytes held for each.
+SCORE_CHUNK = 1 << 18
 _MUL = (T.U(0x9E3779B97F4A7C15), T.U(0xC2B2AE3D27D4EB4F), T.U(0x165667B19E3779F9))
+_ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 _letter: np.ndarray | None = None
 
 
@@ -86,6 +89,29 @@ def ngrams(data: np.ndarray, offs: np.ndarray, buckets: int) -> tuple[np.ndarray
     return out, ptr
 
 
+def _after_two_letters(data: np.ndarray) -> np.ndarray:
+    """Where a part may begin: a blank behind two ASCII letters and before one."""
+    at = np.zeros(len(data), bool)
+    letter = _ASCII_LETTER[data]
+    at[2:-1] = (data[2:-1] == 32) & letter[:-3] & letter[1:-2] & letter[3:]
+    return at
+
+
+def gram_parts(data: np.ndarray, offs: np.ndarray, buckets: int, size: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """For chunks of documents, and for parts of a long one: sign, first document, the next one, and ngrams()."""
+    for i, j in T.chunks(offs, size):
+        a, b = int(offs[i]), int(offs[j])
+        if j - i == 1 and b - a > 2 * size:
+            own, _ = T.parts(data[a:b], np.array([0, b - a]), _after_two_letters, size)
+            for x, y in zip(own.tolist(), own[1:].tolist(), strict=False):
+                lead = 2 if x else 0
+                yield 1, i, j, *ngrams(data[a + x - lead : a + y], np.array([0, y - x + lead]), buckets)
+                if lead:
+                    yield -1, i, j, *ngrams(data[a + x - 2 : a + x], np.array([0, 2]), buckets)
+        else:
+            yield 1, i, j, *ngrams(data[a:b], offs[i : j + 1] - a, buckets)
+
+
 def fit(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities (buckets x languages) and log priors.
 
@@ -107,13 +133,15 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_ROWS,
         for b in T.small(batches):
             langs = b.column("lang").to_pylist()
             data, offs = T.buffers(b.column("text"), lower=True)
-            for i, j in T.chunks(offs):
-                got, ptr = ngrams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], buckets)
+            counted: set[int] = set()
+            for sign, i, j, got, ptr in gram_parts(data, offs, buckets, T.CHUNK_BYTES):
                 for k in range(j - i):
                     if ptr[k + 1] > ptr[k]:
                         a = total.setdefault(langs[i + k], np.zeros(buckets, np.int64))
-                        a += np.bincount(got[ptr[k] : ptr[k + 1]], minlength=buckets)
-                        seen[langs[i + k]] = seen.get(langs[i + k], 0) + 1
+                        a += sign * np.bincount(got[ptr[k] : ptr[k + 1]], minlength=buckets)
+                        if i + k not in counted:
+                            counted.add(i + k)
+                            seen[langs[i + k]] = seen.get(langs[i + k], 0) + 1
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[x] for x in names], pa.int64()), pa.array([T.blob(total[x]) for x in names], pa.binary())], ["lang", "docs", "counts"])
 
@@ -133,13 +161,12 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_ROWS,
 def score(data: np.ndarray, offs: np.ndarray, logp: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log joint of each document with each language, and its number of n-grams."""
     out, sizes = np.zeros((len(offs) - 1, logp.shape[1])), np.zeros(len(offs) - 1, np.int64)
-    for i, j in T.chunks(offs, 1 << 18):
-        got, ptr = ngrams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], len(logp))
+    for sign, i, j, got, ptr in gram_parts(data, offs, len(logp), SCORE_CHUNK):
         n = np.diff(ptr)
-        sizes[i:j] = n
+        sizes[i:j] += sign * n
         full = np.flatnonzero(n)
         if len(full) and logp.shape[1]:
-            out[i:j][full] = np.add.reduceat(logp[got], ptr[:-1][full], axis=0, dtype=np.float64)
+            out[i:j][full] += sign * np.add.reduceat(logp[got], ptr[:-1][full], axis=0, dtype=np.float64)
     return out + prior, sizes
 
 
@@ -176,7 +203,7 @@ def identify(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_
         return docs.where(accepted(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in T.small(batches):
             pred, post, mean, n, ok = judge(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(np.round(post, 6)), pa.array(np.round(mean, 6)), pa.array(n), pa.array(ok)], ["doc_id", "lang_pred", "posterior", "mean_logp", "n_grams", "accepted"])
 

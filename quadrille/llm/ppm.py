@@ -54,6 +54,19 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
+def gram_parts(data: np.ndarray, offs: np.ndarray, order: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For chunks of documents, and for parts of a long one: first document, the next one, grams() and their offsets."""
+    for i, j in T.chunks(offs, size):
+        a, b = int(offs[i]), int(offs[j])
+        if j - i == 1 and b - a > 2 * size:
+            for x in range(a, b, size):
+                lead = min(order, x - a)
+                keys = grams(data[x - lead : min(b, x + size)], np.array([0, min(b, x + size) - x + lead]), order)[lead:]
+                yield i, j, keys, np.array([0, len(keys)])
+        else:
+            yield i, j, grams(data[a:b], offs[i : j + 1] - a, order), offs[i : j + 1] - a
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sums of their counts."""
     if not len(keys):
@@ -230,8 +243,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
         for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
-            for i, j in T.chunks(offs, COUNT_CHUNK):
-                fresh.append(np.unique(grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], order), return_counts=True))
+            for _, _, made, _ in gram_parts(data, offs, order, COUNT_CHUNK):
+                fresh.append(np.unique(made, return_counts=True))
                 if sum(len(k) for k, _ in fresh) > len(keys) + 2_000_000:
                     keys, counts = summed(np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(c for _, c in fresh)]))
                     fresh.clear()
@@ -377,16 +390,16 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, adapt
             data, offs = T.buffers(b.column("text"))
             n = np.diff(offs)
             bits, escapes = np.zeros(len(n)), np.zeros(len(n), np.int64)
-            for i, j in T.chunks(offs, SCORE_CHUNK):
-                if trie is None:
-                    for d in range(i, j):
-                        bits[d], escapes[d] = ByteTrie(order).code(data[offs[d] : offs[d + 1]].tobytes())
-                    continue
-                full = np.flatnonzero(n[i:j])
-                if len(full):
-                    o = offs[i : j + 1] - offs[i]
-                    x, e = trie.bits(grams(data[offs[i] : offs[j]], o, order))
-                    bits[i + full], escapes[i + full] = np.add.reduceat(x, o[full]), np.add.reduceat(e, o[full])
+            if trie is None:
+                for d in range(len(n)):
+                    bits[d], escapes[d] = ByteTrie(order).code(data[offs[d] : offs[d + 1]].tobytes())
+            else:
+                for i, j, keys, o in gram_parts(data, offs, order, SCORE_CHUNK):
+                    full = np.flatnonzero(np.diff(o))
+                    if len(full):
+                        x, e = trie.bits(keys)
+                        bits[i + full] += np.add.reduceat(x, o[full])
+                        escapes[i + full] += np.add.reduceat(e, o[full])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(bits, 4)), pa.array(np.round(bits / np.maximum(n, 1), 6)), pa.array(escapes)], ["doc_id", "n_bytes", "bits", "bits_per_byte", "escapes"])
 
     return T.keyed(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, SCHEMA)

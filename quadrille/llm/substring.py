@@ -27,6 +27,7 @@ no rows; other columns are not touched.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -53,7 +54,7 @@ MAX_BITS = 1 << 40
 
 
 def windows(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document, start and end byte (in its document) of each window."""
+    """Hash, document, start and end byte (in its document) of each window of a chunk's documents."""
     s, e, wo = T.words(data, offs)
     n = np.maximum(np.diff(wo) - k + 1, 0)
     first = T.ragged(wo[:-1], n)
@@ -62,12 +63,39 @@ def windows(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return h, doc, s[first] - offs[doc], e[first + k - 1] - offs[doc]  # in order of document and start
 
 
+def pieces(data: np.ndarray, offs: np.ndarray, k: int) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """For chunks of documents, and for parts of a long one: first document, the next one, and windows()."""
+    for i, j in T.chunks(offs):
+        d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        if j - i == 1 and len(d) > 2 * T.CHUNK_BYTES:
+            some = False
+            for h, s, e in T.long_windows(d, k):
+                if len(h) > 1 or some or len(T.words(d[int(s[0]) : int(e[0])], np.array([0, int(e[0] - s[0])]))[0]) == k:
+                    some = True
+                    yield i, j, (h, np.zeros(len(h), np.int64), s, e)
+        else:
+            yield i, j, windows(d, o, k)
+
+
 def cells(h: np.ndarray, row: int, depth: int, bits: int) -> np.ndarray:
     """Counter of each hash in a row of the sketch."""
     own = bits // depth
     return (T.mix(h + T.U(row) * T.U(0x9E3779B97F4A7C15)) & T.U(own - 1)) + T.U(row * own)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """As integers of no more bytes than the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def text_hash(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each text, to tell texts of one id apart."""
+    long = np.diff(offs) > 2 * T.CHUNK_BYTES
+    if not long.any():
+        return T.span_hash(data, offs[:-1], offs[1:]).view(np.int64)
+    return np.array([int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(offs, offs[1:])], np.int64)
+
+
 def share(h: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """Whether each hash belongs to this round."""
     return np.ones(len(h), bool) if rounds == 1 else T.mix(h ^ T.U(0xA0761D6478BD642F)) % T.U(rounds) == T.U(turn)
@@ -127,8 +155,7 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
         load = 0
         for b in T.small(batches):
             data, offs = T.buffers(b.column("text"))
-            for i, j in T.chunks(offs):
-                h, *_ = windows(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+            for _, _, (h, *_) in pieces(data, offs, k):
                 h = h[share(h, turn, rounds)]
                 for r in range(depth):
                     held.append(cells(h, r, depth, bits).astype(np.uint32 if bits <= 1 << 32 else np.uint64))
@@ -195,21 +222,26 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
         for b in T.small(batches):
             ids, again = T.id_array(b.column("doc_id")), pc.fill_null(b.column("again"), False).to_numpy(zero_copy_only=False)
             data, offs = T.buffers(b.column("text"))
-            for i, j in T.chunks(offs):
-                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                h, doc, s, e = windows(d, o, k)
+            last = -1
+            for i, j, (h, doc, s, e) in pieces(data, offs, k):
+                if i != last and load >= FLUSH // 4:  # between documents
+                    yield flush()
+                    load = seen = 0
                 hit = share(h, turn, rounds)
                 for r in range(depth):
                     p = cells(h, r, depth, bits)
                     hit &= (flags[(p >> T.U(3)).astype(np.int64)] >> (p & T.U(7)).astype(np.uint8) & 1).astype(bool)
                 if hit.any():
-                    held.append((h[hit], doc[hit] + seen, s[hit], e[hit]))
+                    if i != last or not names:
+                        d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                        names.append((ids[i:j], text_hash(d, o), again[i:j]))
+                        base, seen = seen, seen + j - i
+                    held.append((h[hit], doc[hit] + base, s[hit], e[hit]))
                     load += int(hit.sum())
-                    names.append((ids[i:j], T.span_hash(d, o[:-1], o[1:]).view(np.int64), again[i:j]))
-                    seen += j - i
-                if load >= FLUSH // 4:
-                    yield flush()
-                    load = seen = 0
+                    last = i
+            if load >= FLUSH // 4:
+                yield flush()
+                load = seen = 0
         if load:
             yield flush()
 

@@ -1,7 +1,8 @@
 """Vectorised work on the bytes of Arrow text columns: words, hashes, windows.
 
 Nothing here runs once per character or per word in Python; a chunk of whole documents is handled by a
-fixed number of numpy passes. A document is never cut, however long it is.
+fixed number of numpy passes. A long document is read whole, but in parts, so that what is held besides its own bytes
+and its result does not grow with it; a part begins between words, and what spans parts is carried over.
 """
 
 from __future__ import annotations
@@ -73,18 +74,19 @@ def slices(column: pa.Array, rows: int = 1000) -> Iterator[pa.Array]:
     return (column.slice(i, rows) for i in range(0, len(column), rows))
 
 
-def chunks(offs: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about this many bytes, a longer document alone."""
-    i, n = 0, len(offs) - 1
+    i, n, size = 0, len(offs) - 1, size or CHUNK_BYTES
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 
 
-def parts(data: np.ndarray, offs: np.ndarray, cuts: np.ndarray, size: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def parts(data: np.ndarray, offs: np.ndarray, cuts: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of parts of about this many bytes, and each document's first part (n + 1): documents of over twice that
     are cut where cuts(bytes) allows a part to begin; where it nowhere does, the part is longer."""
+    size = size or CHUNK_BYTES
     long = np.flatnonzero(np.diff(offs) > 2 * size)
     if not len(long):
         return offs, np.arange(len(offs))
@@ -158,6 +160,40 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - begin, counts)
 
 
+def between_words(data: np.ndarray) -> np.ndarray:
+    return ~WORD[data]
+
+
+def word_parts(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each part of one document: where it begins, and the start and end of its words in the document."""
+    offs, _ = parts(data, np.array([0, len(data)]), between_words)
+    for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+        s, e, _ = words(data[a:b], np.array([0, b - a]))
+        yield a, s + a, e + a
+
+
+def long_windows(data: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By parts of one document: hash, start and end of its windows of k words. A text of fewer words, but not none, has
+    one of all its words."""
+    h0, s0, e0, total = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for a, s, e in word_parts(data):
+        h = span_hash(data[a : int(e[-1]) if len(e) else a], s - a, e - a)
+        h, s, e, total = np.concatenate([h0, h]), np.concatenate([s0, s]), np.concatenate([e0, e]), total + len(h)
+        if len(h) >= k:
+            yield window_hash(h, k), s[: len(h) - k + 1], e[k - 1 :]
+        h0, s0, e0 = (x[max(0, len(x) - k + 1) :] for x in (h, s, e))
+    if 0 < total < k:
+        yield _short(h0, np.array([0]), np.array([total])), s0[:1], e0[-1:]
+
+
+def _short(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of all words of texts with fewer words than a window."""
+    at, back = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(h * at[:-1], out=total[1:])
+    return mix((total[starts + counts] - total[starts]) * back[starts] + counts.astype(U))
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each chunk: first document, distinct shingle hashes sorted within each document, offsets.
 
@@ -165,6 +201,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> Iterator[tuple[i
     """
     for i, j in chunks(offs):
         d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        if j - i == 1 and len(d) > 2 * CHUNK_BYTES:
+            got = np.unique(np.concatenate([np.zeros(0, U), *(np.unique(h) for h, _, _ in long_windows(d, k))]))
+            yield i, got, np.array([0, len(got)])
+            continue
         s, e, wo = words(d, o)
         n = np.diff(wo)
         h = span_hash(d, s, e)
@@ -174,10 +214,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> Iterator[tuple[i
         doc = np.repeat(np.arange(j - i), cnt)
         short = np.flatnonzero((n > 0) & (n < k))
         if len(short):
-            at, back = powers(len(h) + 1)
-            total = np.zeros(len(h) + 1, U)
-            np.cumsum(h * at[:-1], out=total[1:])
-            own = mix((total[wo[short + 1]] - total[wo[short]]) * back[wo[short]] + n[short].astype(U))
+            own = _short(h, wo[short], n[short])
             got, doc = np.concatenate([got, own]), np.concatenate([doc, short])
         order = np.lexsort((got, doc))
         got, doc = got[order], doc[order]
