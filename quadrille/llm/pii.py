@@ -1,14 +1,16 @@
 """Personal data and secrets by weak supervision.
 
 Candidate spans come from the bytes of the text: at signs, digit groups, long words with digits, values assigned to
-key words, and given names of a gazetteer before another capitalised word. Regex, gazetteer and context labelers vote
+key words, and two capitalised words of which the first is a given name of the gazetteer, or which follow a word that
+introduces a person. The gazetteer is a parameter. Regex, gazetteer and context labelers vote
 on each (personal, not personal, or abstain). The distinct (kind, votes, features) of all documents are counted by
 Spark; on that small table expectation-maximisation estimates each labeler's reliability and each kind's share, and
 the resulting posteriors train a logistic span classifier on features of shape and context. A second pass scores
 every span. Neither pass shuffles texts.
 
-Defined results: a null or empty text has no spans; texts of any length are searched whole; repeated rows are judged
-alike; a null doc_id stays null; ties at the threshold count as personal; without any candidate no model is fitted and
+Defined results: a null or empty text has no spans; texts of any length are searched whole, long ones in parts that begin
+between lower-case words, where no span lies; an e-mail's local part is as long as its run of characters; repeated rows
+are judged alike; a null doc_id stays null; ties at the threshold count as personal; without any candidate no model is fitted and
 no span reported; overlapping candidates go to the kind first in KINDS; columns other than those named stay as they
 are. Offsets count characters.
 """
@@ -46,7 +48,7 @@ _NUM = re.compile(
     rb"|\+\d{7,15}(?!\d)|\+\d{1,3}(?:[ .\-/]?\(?\d{1,5}\)?){2,7}(?!\d)|0\d(?:[ .\-]\d\d){4}(?!\d)|\d{3}(?:[ \-]\d{3}){2}(?!\d)|\d{3}(?:[ \-]\d\d){3}(?!\d)|\d{9,12}(?![.,/:\-]?\d))"
     rb"|(?P<NUMBER>\d[\d.,/:\-]{4,}\d|\d{1,5}(?:[ .\-/]\d{1,5}){1,9}(?!\d)))"
 )
-_LEFT = re.compile(rb"[A-Za-z0-9._%+\-\x80-\xff]+$")
+_LEFT = bytes(c for c in range(256) if chr(c).isalnum() and c < 128 or c >= 128 or chr(c) in "._%+-")
 _RIGHT = re.compile(rb"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _ASSIGN = re.compile(rb"(?:token|secret|password|passwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer)[\"']?\s*(?:[=:]|is)\s*[\"']?([^\s\"']{6,})", re.I)
 _SPACED_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -56,22 +58,72 @@ _NEGATIVE = re.compile(rb"version|page|isbn|issn|order|figure|chapter|section|vo
 _DATE = re.compile(rb"(?:\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}|\d{1,2}:\d{2}(?::\d{2})?)$")
 _DOMAINS = re.compile(rb"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|it|info|co|us|eu|ch|at|nl|ru|cn|jp|br|in)$", re.I)
 _IIN = re.compile(rb"4|5[1-5]|2[2-7]|3[47]|6011|65|35")
+_PERSON = re.compile(rb"(?:\b(?:mr|mrs|ms|dr|prof|sir|madam|dear|named?|signed|regards|sincerely|contact|attn|author|patient|customer|herr|frau|monsieur|madame|se\xc3\xb1or|se\xc3\xb1ora)\b[.:,]?|name is|my name's|je m'appelle|me llamo|ich hei\xc3\x9fe)[ \t]*$", re.I)
+#: Names that a gazetteer may hold, as it is broadcast.
+MAX_NAMES = 1_000_000
+PART = 1 << 20
 #: Labelers by number: what each says of a span is in votes().
-LABELERS = ("rx_email", "rx_ip", "rx_card", "rx_luhn", "rx_phone", "rx_ssn", "rx_secret", "rx_iban", "rx_date", "rx_number", "gz_domain", "gz_iin", "gz_name", "gz_template", "cx_near", "cx_against", "cx_assign", "rx_plain")
+LABELERS = ("rx_email", "rx_ip", "rx_card", "rx_luhn", "rx_phone", "rx_ssn", "rx_secret", "rx_iban", "rx_date", "rx_number", "gz_domain", "gz_iin", "gz_name", "gz_template", "cx_near", "cx_against", "cx_assign", "rx_plain", "rx_mod97", "cx_person")
+
+
+def name_hashes(names: DataFrame | list[str] | None = None) -> np.ndarray:
+    """The gazetteer as sorted hashes: a list, or the first column of a table, of at most MAX_NAMES given names."""
+    if names is None:
+        names = GIVEN_NAMES
+    elif isinstance(names, DataFrame):
+        rows = names.select(F.col(names.columns[0]).cast("string").alias("n")).where("n IS NOT NULL").distinct().limit(MAX_NAMES + 1).collect()
+        names = [r.n for r in rows]
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"a gazetteer holds at most {MAX_NAMES} names")
+    data, offs = T.buffers(pa.array([n.strip().capitalize() for n in names if n and n.strip()], pa.string()))
+    return np.sort(T.span_hash(data, offs[:-1], offs[1:]))
 
 
-def _name_hashes() -> np.ndarray:
-    data, offs = T.buffers(pa.array([n.capitalize() for n in GIVEN_NAMES]))
-    return np.sort(T.span_hash(data, offs[:-1], offs[1:]))
+_names = name_hashes()
+
+
+def between_lower_words(data: np.ndarray) -> np.ndarray:
+    """Where no candidate lies: a blank with three lower-case ASCII letters on either side."""
+    low = _LOWER[data]
+    at = np.zeros(len(data), bool)
+    if len(data) > 6:
+        at[3:-3] = (data[3:-3] == 32) & low[:-6] & low[1:-5] & low[2:-4] & low[4:-2] & low[5:-1] & low[6:]
+    return at
+
+
+def _local_part(raw: bytes, at: int) -> int:
+    """Where the run of characters before an at sign begins."""
+    wide = 64
+    while True:
+        lo = max(0, at - wide)
+        head = raw[lo:at].rstrip(_LEFT)
+        if head or not lo:
+            return lo + len(head)
+        wide *= 4
 
 
-_names = _name_hashes()
 _UPPER = np.array([65 <= i < 91 or i == 0xC3 for i in range(256)])
+_LOWER = np.array([97 <= i < 123 for i in range(256)])
 _DIGIT = np.array([48 <= i < 58 for i in range(256)])
 
 
-def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int, str]]]]:
+def candidates(data: np.ndarray, offs: np.ndarray, names: np.ndarray | None = None) -> Iterator[tuple[int, bytes, list[tuple[int, int, str]]]]:
     """(document, its bytes, spans (start, end, kind) in order) for the documents of a chunk that have any."""
+    names = _names if names is None else names
+    if len(offs) == 2 and len(data) > 2 * PART:
+        own, _ = T.parts(data, offs, between_lower_words, PART)
+        found = []
+        for a, b in zip(own.tolist(), own[1:].tolist(), strict=False):
+            lead = min(a, 4 * CONTEXT)  # key words and the context before the part
+            for _, _, spans in _candidates(data[a - lead : b], np.array([0, b - a + lead]), names):
+                found += [(s + a - lead, e + a - lead, k) for s, e, k in spans if s >= lead]
+        if found:
+            yield 0, data.tobytes(), found
+        return
+    yield from _candidates(data, offs, names)
+
+
+def _candidates(data: np.ndarray, offs: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int, str]]]]:
     s, e, wo = T.words(data, offs)
     digits = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_DIGIT[data], out=digits[1:])
@@ -81,7 +133,13 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes,
     pair = np.zeros(len(s), bool)
     pair[:-1] = capital[:-1] & capital[1:] & (s[1:] - e[:-1] == 1) & (doc[1:] == doc[:-1])
     pair = np.flatnonzero(pair)
-    named = pair[np.isin(T.span_hash(data, s[pair], e[pair]), _names)] if len(pair) else pair
+    if len(pair):
+        known = np.isin(T.span_hash(data, s[pair], e[pair]), names)
+        for i in np.flatnonzero(~known):
+            at = int(s[pair[i]])
+            known[i] = _PERSON.search(data[max(int(offs[doc[pair[i]]]), at - 24) : at].tobytes()) is not None
+        pair = pair[known]
+    named = pair
     at = np.flatnonzero(data == 64)
     marks = np.zeros(len(offs) - 1, bool)
     marks[np.searchsorted(offs, at, "right") - 1] = True
@@ -97,9 +155,9 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, bytes,
         found: list[tuple[int, int, str]] = []
         i = raw.find(b"@")
         while i >= 0:
-            left, right = _LEFT.search(raw, max(0, i - 64), i), _RIGHT.match(raw, i + 1)
-            if left and right:
-                found.append((left.start(), right.end(), "EMAIL"))
+            left, right = _local_part(raw, i), _RIGHT.match(raw, i + 1)
+            if left < i and right:
+                found.append((left, right.end(), "EMAIL"))
             i = raw.find(b"@", i + 1)
         for m in _ASSIGN.finditer(raw):
             a, b = m.span(1)
@@ -132,6 +190,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(span: bytes) -> bool:
+    """Whether an IBAN's check digits are right."""
+    text = "".join(chr(c) for c in span if c != 32)
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
 def votes(raw: bytes, start: int, end: int, kind: str) -> tuple[int, ...]:
     """1 personal, 0 not, -1 abstain, by labeler."""
     span = raw[start:end]
@@ -161,6 +225,8 @@ def votes(raw: bytes, start: int, end: int, kind: str) -> tuple[int, ...]:
         no(bool(_NEGATIVE.search(near)) and not _POSITIVE.search(near)),
         yes(kind == "SECRET" and near.rstrip(b"\"' ")[-1:] in (b"=", b":")),
         no((kind == "SECRET" and not digits and near[-1:] not in (b"=", b'"', b"'")) or (kind == "PHONE" and span.isdigit() and not _POSITIVE.search(near))),
+        yes(kind == "IBAN" and mod97(span)),
+        yes(kind == "PERSON" and bool(_PERSON.search(near))),
     )
 
 
@@ -236,15 +302,17 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def fit(docs: DataFrame) -> dict[str, np.ndarray] | None:
+def fit(docs: DataFrame, names: DataFrame | list[str] | None = None) -> dict[str, np.ndarray] | None:
     """Labeler reliabilities, shares by kind and classifier weights, from the spans of all documents."""
 
+    known = docs.sparkSession.sparkContext.broadcast(name_hashes(names))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.small(batches):
             got: Counter = Counter()
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
-                for _, raw, spans in candidates(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]):
+                for _, raw, spans in candidates(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known.value):
                     for s, e, k in spans:
                         got[k, "".join("01-"[v] for v in votes(raw, s, e, k)), features(raw, s, e, k)] += 1
             c = list(zip(*got, strict=True)) or [[], [], []]
@@ -257,11 +325,11 @@ def fit(docs: DataFrame) -> dict[str, np.ndarray] | None:
     vote = np.array([["01-".index(c) if c != "-" else -1 for c in r.votes] for r in rows])
     n = np.array([r.n for r in rows], float)
     post, rel, share = expectation_maximisation(kind, vote, n)
-    return {"reliability": rel, "share": share, "weights": logistic(unpack(np.array([r.features for r in rows])), post, n)}
+    return {"names": known.value, "reliability": rel, "share": share, "weights": logistic(unpack(np.array([r.features for r in rows])), post, n)}
 
 
-def _scored(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int, str]], np.ndarray]]:
-    got = list(candidates(data, offs))
+def _scored(data: np.ndarray, offs: np.ndarray, weights: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, bytes, list[tuple[int, int, str]], np.ndarray]]:
+    got = list(candidates(data, offs, names))
     if not got:
         return
     codes = np.array([features(raw, *x) for _, raw, spans in got for x in spans])
@@ -273,34 +341,41 @@ def _scored(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> Iterator
         k += len(spans)
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD, rejected: bool = False) -> DataFrame:
+def in_characters(raw: bytes, found: list[tuple[int, int, str]]) -> np.ndarray:
+    """Start and end of spans counted in characters."""
+    at = np.array([x for s, e, _ in found for x in (s, e)])
+    leads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+    edges = np.concatenate([[0], at])
+    return np.cumsum([int(np.count_nonzero(leads[a:b])) for a, b in zip(edges, edges[1:])]).reshape(-1, 2)
+
+
+def spans(docs: DataFrame, threshold: float = THRESHOLD, rejected: bool = False, names: DataFrame | list[str] | None = None) -> DataFrame:
     """doc_id, start, end, kind, score and is_pii of the personal spans; with rejected, of every candidate."""
     schema = "doc_id bigint, start bigint, end bigint, kind string, score double, is_pii boolean"
-    model = fit(docs)
+    model = fit(docs, names)
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
+    shared = docs.sparkSession.sparkContext.broadcast((model["weights"], model["names"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.small(batches):
             ids, rows = b.column("doc_id").to_pylist(), []
             data, offs = T.buffers(b.column("text"))
             for i, j in T.chunks(offs):
-                for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value):
-                    lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-                    rows += [(ids[i + d], int(lead[s]) - 1, int(lead[e - 1]), k, round(float(q), 6), bool(q >= threshold)) for (s, e, k), q in zip(found, p, strict=True) if rejected or q >= threshold]
+                for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], *shared.value):
+                    rows += [(ids[i + d], int(s), int(e), k, round(float(q), 6), bool(q >= threshold)) for (s, e), (_, _, k), q in zip(in_characters(raw, found), found, p, strict=True) if rejected or q >= threshold]
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()], strict=True)], ["doc_id", "start", "end", "kind", "score", "is_pii"])
 
     return T.keyed(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, threshold: float = THRESHOLD, names: DataFrame | list[str] | None = None) -> DataFrame:
     """The rows of docs with each personal span replaced by its kind in brackets; n_chars, if there, follows."""
-    model = fit(docs)
+    model = fit(docs, names)
     if model is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
+    shared = docs.sparkSession.sparkContext.broadcast((model["weights"], model["names"]))
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
@@ -309,7 +384,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             changed: dict[int, str] = {}
             data, offs = T.buffers(t)
             for i, j in T.chunks(offs):
-                for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shared.value):
+                for d, raw, found, p in _scored(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], *shared.value):
                     parts, at = [], 0
                     for (s, e, k), q in zip(found, p, strict=True):
                         if q >= threshold:

@@ -102,3 +102,80 @@ def test_odd_rows(odd, make):
     assert pii.spans(odd.limit(0)).count() == 0 and pii.redact(odd.limit(0)).count() == 0
     mixed = make([(1, None), (2, ""), (None, "mail ann@mail.example.com"), (3, "mail ann@mail.example.com"), (3, "mail ann@mail.example.com"), (4, "a" * 200_000 + " 4111111111111111 " + "@" * 500)])
     assert sorted((r.doc_id or 0, r.kind) for r in pii.spans(mixed).collect() if r.is_pii) == [(0, "EMAIL"), (3, "EMAIL"), (3, "EMAIL"), (4, "CARD")]
+
+
+def test_long_local_parts_and_utf8(make):
+    assert kinds("write to " + "a" * 90 + "@mail.example.com so") == [("EMAIL", "a" * 90 + "@mail.example.com")]
+    assert kinds("x " + "é" * 70 + "@mail.example.com") == [("EMAIL", "é" * 70 + "@mail.example.com")]
+    out = pii.redact(make(corpus() + [(900, "write to " + "é" * 70 + "@mail.example.com now")])).where("doc_id = 900").first()
+    assert out.text == "write to [EMAIL] now"
+
+
+def test_names_by_gazetteer_and_by_what_stands_before(make, spark):
+    assert kinds("we met Priya Natarajan there") == [] and kinds("dear Priya Natarajan, so") == [("PERSON", "Priya Natarajan")]
+    rows = corpus() + [(910 + c, f"we met Priya Natarajan and wrote {prose(c, 9)}") for c in range(4)]
+    own = pii.spans(make(rows), names=spark.createDataFrame([("priya",), ("Maria",), (None,)], "given string"))
+    assert {(r.doc_id, r.kind) for r in own.collect() if r.doc_id >= 910} == {(910 + c, "PERSON") for c in range(4)}
+    assert pii.spans(make(rows)).where("doc_id >= 910").count() == 0
+
+
+def test_iban_check_digits():
+    assert pii.mod97(b"DE89 3704 0044 0532 0130 00") and not pii.mod97(b"DE88370400440532013000")
+
+
+def test_parts_of_a_long_text_change_nothing(monkeypatch):
+    text = " ".join(t for _, t in corpus()) + " password is correcthorse1 and mail ann@mail.example.com"
+    want = kinds(text)
+    assert len(want) > 40
+    monkeypatch.setattr(pii, "PART", 100)
+    assert kinds(text) == want
+
+
+def test_equals_brute_force(make):
+    """Votes, reliabilities, classifier and decisions once more, span by span and in plain Python."""
+    import math
+
+    rows = corpus()
+    spans = []
+    for i, t in rows:
+        for _, raw, found in pii.candidates(*pii.T.buffers(pii.pa.array([t]))):
+            spans += [(i, t, raw, s, e, k) for s, e, k in found]
+    votes = [pii.votes(raw, s, e, k) for _, _, raw, s, e, k in spans]
+    n = len(pii.LABELERS)
+    rel, share = [[0.2, 0.8] for _ in range(n)], {k: 0.5 for k in pii.KINDS}
+    for _ in range(50):
+        post = []
+        for x, v in zip(spans, votes, strict=True):
+            pro, con = math.log(share[x[5]]), math.log(1 - share[x[5]])
+            for j in range(n):
+                if v[j] >= 0:
+                    pro += math.log(rel[j][1] if v[j] else 1 - rel[j][1])
+                    con += math.log(rel[j][0] if v[j] else 1 - rel[j][0])
+            post.append(1 / (1 + math.exp(-max(-30, min(30, pro - con)))))
+        for j in range(n):
+            for c in (0, 1):
+                w = [p if c else 1 - p for p in post]
+                yes = sum(y for y, v in zip(w, votes, strict=True) if v[j] == 1)
+                rel[j][c] = min(0.99, max(0.01, (yes + 4 * (0.8 if c else 0.2)) / (sum(y for y, v in zip(w, votes, strict=True) if v[j] >= 0) + 4)))
+        for k in pii.KINDS:
+            own = [p for p, x in zip(post, spans, strict=True) if x[5] == k]
+            share[k] = min(0.99, max(0.01, (sum(own) + 2) / (len(own) + 4)))
+    x = pii.unpack(np.array([pii.features(raw, s, e, k) for _, _, raw, s, e, k in spans]))
+    w = np.zeros(x.shape[1])
+    for _ in range(4000):  # gradient steps in place of Newton's
+        w += 0.02 * (x.T @ (np.array(post) - 1 / (1 + np.exp(-(x @ w)))) - w) / 4
+    score = 1 / (1 + np.exp(-(x @ w)))
+    want = {(i, len(raw[:s].decode()), len(raw[:e].decode()), k): p for (i, _, raw, s, e, k), p in zip(spans, score, strict=True)}
+    got = {(r.doc_id, r.start, r.end, r.kind): r for r in pii.spans(make(rows), rejected=True).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[x].score - want[x]) < 2e-3 for x in want)
+    assert all(got[x].is_pii == (want[x] >= 0.5) for x in want if abs(want[x] - 0.5) > 2e-3)
+
+
+def test_the_threshold_itself_counts(make):
+    got = pii.spans(make(corpus()), rejected=True).collect()
+    at = sorted(r.score for r in got)[len(got) // 2]
+    shown = pii.spans(make(corpus()), threshold=at, rejected=True).collect()
+    assert all(r.is_pii for r in shown if r.score > at) and not any(r.is_pii for r in shown if r.score < at)
+    none = pii.spans(make(corpus()), threshold=0.0).collect()
+    assert len(none) == len(got) and all(r.is_pii for r in none)
