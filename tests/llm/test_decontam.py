@@ -1,3 +1,6 @@
+import random
+import re
+
 import pyarrow as pa
 import pytest
 
@@ -77,32 +80,114 @@ def test_longest_consistent_run():
         assert any(set(got) == set(same) | set(r) for r in best)
 
 
-def brute(rows, items, k=decontam.K):
-    """Documents and items that share a window of template tokens, compared as lists."""
-    def lists(text):
-        t = decontam.templates(*T.buffers(pa.array([text or ""])))
-        return [(int(x), int(y)) for x, y in zip(t.token, t.kind, strict=True)]
-
-    out = set()
-    for i, t in rows:
-        d = lists(t)
+NUMBER = re.compile(r"[0-9]")
+
+
+def plain_tokens(text):
+    """(kind, value) of each template token, by a walk over the words."""
+    words = [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text or "")]
+    kinds = []
+    for i, (s, _, w) in enumerate(words):
+        before = text[:s].rstrip(" \t")
+        opens = i == 0 or before[-1] in ".!?:;\n\r\"([{|"
+        if w[0].isdigit() and w[0].isascii() or w.lower() in decontam.NUMBER_WORDS:
+            kinds.append("number")
+        elif i and kinds[-1] == "number" and w.lower() in decontam.UNITS:
+            kinds.append("unit")
+        elif "A" <= w[0] <= "Z" and not (len(w) > 1 and ("A" <= w[1] <= "Z" or w[1].isdigit())) and len(w) > 1 and not opens:
+            kinds.append("name")
+        else:
+            kinds.append("word")
+    out = []
+    for i, (s, e, w) in enumerate(words):
+        between = text[words[i - 1][1] : s] if i else ""
+        digits = i and w[0].isdigit() and words[i - 1][2][0].isdigit() and len(between) == 1 and between in ".,:/-"
+        if digits or i and kinds[i] == kinds[i - 1] == "name" and between == " ":
+            out[-1][1] = text[out[-1][2] : e].lower()
+        else:
+            out.append([kinds[i], w.lower(), s])
+    return [(k, v) for k, v, _ in out]
+
+
+def brute(rows, items, k=decontam.K, coverage=decontam.MIN_COVERAGE, runs=True):
+    """(document, item): windows, coverage, slots, consistent, same; by comparing all windows of token lists."""
+    out = {}
+    for i, text in rows:
+        d = plain_tokens(text)
         for j, u in items:
-            q = lists(u)
-            w = min(len(q), k)
-            wins = {tuple(q[x : x + w]) for x in range(len(q) - w + 1) if sum(y == 0 for _, y in q[x : x + w]) >= decontam.MIN_LITERALS} if w else set()
-            if any(tuple(d[x : x + w]) in wins for x in range(len(d) - w + 1)):
-                out.add((i, j))
+            q = plain_tokens(u)
+            w, lines, hits = min(len(q), k), {}, 0
+            for x in range(len(q) - w + 1) if q else ():
+                few = sum(kind == "word" for kind, _ in q[x : x + w]) < decontam.MIN_LITERALS
+                form = lambda ts, few=few: [t if few or t[0] == "word" else (t[0], "") for t in ts]
+                for y in range(len(d) - w + 1):
+                    if form(d[y : y + w]) == form(q[x : x + w]) and few == (sum(kind == "word" for kind, _ in d[y : y + w]) < decontam.MIN_LITERALS):
+                        lines.setdefault(y - x, []).append((x, few))
+                        hits += 1
+            if not hits:
+                continue
+            good, every, slots, same = set(), set(), 0, True
+            for diagonal, found in lines.items():
+                at = [x for x, few in found if not few]
+                pairs = lambda ws, diagonal=diagonal: {(q[x + n][0], q[x + n][1], d[x + n + diagonal][1]) for x in ws for n in range(w) if q[x + n][0] != "word"}
+                fits = lambda ws, pairs=pairs: len(pairs(ws)) == len({p[:2] for p in pairs(ws)}) == len({p[::2] for p in pairs(ws)})
+                tokens = lambda ws: {x + n for x in ws for n in range(w)}
+                own = tokens(at) if fits(at) else set()
+                if not fits(at) and runs:
+                    run = max((at[a:b] for a in range(len(at)) for b in range(a + 1, len(at) + 1) if fits(at[a:b])), key=lambda ws: len(tokens(ws)), default=[])
+                    own = tokens(run) | tokens(x for x in at if all(p[1] == p[2] for p in pairs([x])))
+                exact = tokens(x for x, few in found if few)
+                own |= exact
+                every |= tokens(at) | exact
+                good |= own
+                inner = [x for x in own if q[x][0] != "word"]
+                slots = max(slots, len(inner))
+                same &= all(q[x][1] == d[x + diagonal][1] for x in inner)
+            out[i, j] = (hits, round(len(good or every) / len(q), 6), slots, bool(good), bool(good) and same)
     return out
 
 
-def test_equals_brute_force(spark, make):
-    items = [(i, prose(i, 12 + i)) for i in range(12)] + [(50, prose(3, 5))]
-    rows = [(i, f"{prose(100 + i, 30)}. {prose(i % 15, 12 + i % 15)} {prose(200 + i, 20)}") for i in range(40)]
-    bench = spark.createDataFrame(items, "item_id bigint, text string")
-    docs = make(rows)
-    want = brute(rows, items)
-    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, all_matches=True).collect()}
-    assert got == want and want
+def test_plain_tokens_are_the_templates():
+    for text in [ITEM, OTHER, "we met Ann Lee in Paris. Then 3.5 km, 1,000 people km", "x. The Two km and 5 A B", ""]:
+        t = decontam.templates(*T.buffers(pa.array([text])))
+        assert [["word", "number", "unit", "name"][k] for k in t.kind] == [k for k, _ in plain_tokens(text)]
+
+
+@pytest.mark.parametrize("runs", [False, True])
+def test_equals_brute_force(spark, make, runs):
+    g = random.Random(4)
+
+    def varied(text):
+        swap = {w: str(g.randint(1, 400)) for w in ("120", "9", "30")} | {"Maria Lopez": g.choice(["John", "Ann Lee", "Maria Lopez"]), "two": g.choice(["two", "seven"])}
+        for a, b in swap.items():
+            text = text.replace(a, b, 1 if g.random() < 0.4 else -1)
+        w = text.split()
+        cut = g.randint(0, len(w) // 2)
+        return " ".join(w[cut : cut + g.randint(min(6, len(w)), len(w))])
+
+    items = [(1, ITEM), (2, OTHER), (3, BROKEN), (50, prose(3, 5)), (51, "What is 12 times 7?"), *((10 + i, prose(i, 12 + i)) for i in range(8))]
+    rows = [(i, f"{prose(100 + i, 15)}. {varied(g.choice(items)[1])} {prose(200 + i, 10)}") for i in range(60)]
+    got = {(r.doc_id, r.item_id): (r.windows, r.coverage, r.slots, r.consistent, r.same_values) for r in decontam.leaks(make(rows), spark.createDataFrame(items, "item_id bigint, text string"), all_matches=True, runs=runs).collect()}
+    want = brute(rows, items, runs=runs)
+    assert got == want and len(want) > 40 and any(not x[3] for x in want.values()) != runs
+
+
+def test_many_items_of_one_template(spark, make):
+    items = [(i, ITEM.replace("120", str(200 + i))) for i in range(300)]
+    docs = make([(i, ITEM.replace("120", str(900 + i))) for i in range(40)])
+    assert decontam.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).count() == 300 * 40
+
+
+def test_long_texts_in_parts_change_nothing(monkeypatch):
+    text = " ".join(f"{prose(i, 40)}. {OTHER if i % 3 else BROKEN} The 7 km\nmiles. Two. km and Ann. Lee ran" for i in range(40))
+    data, offs = T.buffers(pa.array([text, "short", text[:5000]]))
+    want = decontam.templates(data, offs)
+    monkeypatch.setattr(T, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(decontam, "WINDOWS", 50)
+    own, _ = T.parts(data, offs, decontam._after_sentence)
+    assert len(own) > 30
+    got = decontam.templates(data, offs)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
 
 
 def test_slices_of_the_benchmark(spark, make, bench, monkeypatch):
