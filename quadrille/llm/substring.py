@@ -201,7 +201,8 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
             held.clear()
             names.clear()
             uri = f"{folder}/{uuid.uuid4().hex}.npz"
-            files.save_arrays(uri, h=h, row=row.astype(np.uint32), s=s, e=e, ids=ids, texts=texts)
+            width = e - s  # windows lie in order of row and start
+            files.save_arrays(uri, h=h, rows=np.bincount(row, minlength=len(ids)).astype(np.uint32), s=_narrow(s), width=_narrow(width), ids=ids, texts=texts)
             # Distinct (hash, document), then by hash the number of documents, those of several rows by name
             order = np.lexsort((ids[row], h))
             h, doc, again = h[order], ids[row][order], again[row][order]
@@ -272,7 +273,8 @@ def _shared_windows(docs: DataFrame, k: int, depth: int, bits: int, groups: int,
             return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "text_hash", "s", "e", "windows", "n")})
         at = np.minimum(np.searchsorted(known, w["h"]), len(known) - 1)
         hit = known[at] == w["h"]
-        row, s, e, n = w["row"][hit], w["s"][hit], w["e"][hit], n[at[hit]].astype(np.int64)
+        row, s, n = np.repeat(np.arange(len(w["ids"])), w["rows"])[hit], w["s"][hit].astype(np.int64), n[at[hit]].astype(np.int64)
+        e = s + w["width"][hit]
         ids, texts = w["ids"][row], w["texts"][row]
         if rounds > 1:
             return pa.table({"doc_id": ids, "text_hash": texts, "s": s, "e": e, "windows": np.ones(len(s), np.int64), "n": n})
