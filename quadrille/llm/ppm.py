@@ -39,7 +39,7 @@ MIN_COUNT = 2
 PART_NODES = 1_000_000
 #: Bytes counted or scored at a time; a dozen 8-byte arrays of that length are held.
 COUNT_CHUNK, SCORE_CHUNK = 1 << 21, 1 << 19
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, MAX_SHARDS = 64 << 20, 1 << 14
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int) -> np.ndarray:
@@ -236,7 +236,7 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     if not size:
         return None
-    shards = max(32, size // SHARD_BYTES)
+    shards = min(MAX_SHARDS, max(32, size // SHARD_BYTES))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, T.U), np.zeros(0, np.int64)
@@ -257,18 +257,40 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_n
         own = [s for s in range(shards) if cut_at[s] < cut_at[s + 1]]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array([T.blob(a[by[cut_at[s] : cut_at[s + 1]]]) for s in own], pa.binary()) for a in (keys, counts))], ["shard", "keys", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        k, c = (np.frombuffer(b"".join(t.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint64), ("counts", np.int64)))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of shard: a shard's tables are summed as they come, so that only distinct paths are held."""
+        now, k, c = None, np.zeros(0, T.U), np.zeros(0, np.int64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            nonlocal k, c
+            k, c = summed(np.concatenate([k, *(x for x, _ in fresh)]), np.concatenate([c, *(x for _, x in fresh)]))
+            fresh.clear()
+
+        for b in batches:
+            for shard, keys, counts in zip(*(b.column(n).to_pylist() for n in ("shard", "keys", "counts")), strict=True):
+                if shard != now and now is not None:
+                    fold()
+                    yield orders(k, c)
+                    k, c = np.zeros(0, T.U), np.zeros(0, np.int64)
+                now = shard
+                fresh.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
+                if sum(len(x) for x, _ in fresh) > len(k) + 1_000_000:
+                    fold()
+        if now is not None:
+            fold()
+            yield orders(k, c)
+
+    def orders(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         rows = []
-        k, c = summed(k, c)
         for n in range(order, -1, -1):
             k, c = summed(low(k, n + 1), c)
             keep = c >= min_count if n >= 2 or n == order else np.ones(len(c), bool)
             rows.append((n, T.blob(k[keep]), T.blob(c[keep]), [int(x) for x in np.bincount(np.minimum(np.log2(np.maximum(c[keep], 1)).astype(int), 40), minlength=41)]))
         x = list(zip(*rows, strict=True))
-        return pa.table({"n": pa.array(x[0], pa.int32()), "keys": pa.array(x[1], pa.binary()), "counts": pa.array(x[2], pa.binary()), "hist": pa.array(x[3], pa.list_(pa.int64()))})
+        return pa.RecordBatch.from_pydict({"n": pa.array(x[0], pa.int32()), "keys": pa.array(x[1], pa.binary()), "counts": pa.array(x[2], pa.binary()), "hist": pa.array(x[3], pa.list_(pa.int64()))})
 
-    tables = cut(texts.mapInArrow(count, "shard bigint, keys binary, counts binary").groupBy("shard").applyInArrow(add, "n int, keys binary, counts binary, hist array<bigint>"))
+    tables = cut(texts.mapInArrow(count, "shard bigint, keys binary, counts binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "n int, keys binary, counts binary, hist array<bigint>"))
     hist = np.zeros(41, np.int64)
     for r in tables.where(F.col("n") == order).select(F.posexplode("hist").alias("b", "x")).groupBy("b").agg(F.sum("x").alias("x")).collect():
         hist[r.b] = r.x
