@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import text as T
 from quadrille.shared import cut, fresh_path, local_path
 
-ORDER = 4
+ORDER = 5
 MIN_COUNT = 2
 PART_NODES = 1_000_000
 #: Bytes counted or scored at a time; a dozen 8-byte arrays of that length are held.
