@@ -1,12 +1,16 @@
 """Quad stores: snapshots, transactions, import and export.
 
-A store is a sequence of immutable snapshots. A commit builds one plan from the current snapshot (remove, then add),
-writes it as a new Parquet folder and then renames a pointer file, so that readers see the old or the new one. Rows
-are laid out by ranges of predicate and subject, so that a pattern with a predicate reads few row groups.
+A store is a sequence of commits. A commit's state names a base, immutable Parquet folders with all quads of some moment
+in one or more orderings, and two small tables, what was added and what was removed since; readers see the base less what
+was removed, with what was added. A small commit writes those two tables anew and never shuffles the base, which it only
+scans for the quads it concerns; once they hold more than DELTA_ROWS rows, or a commit is large, a new base is written. A
+commit's file is made under the number after the last one's, which fails if another writer was faster. A base is laid
+out by ranges of the first parts of its ordering, so that a pattern with those parts reads few row groups.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -17,11 +21,17 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import COLUMNS, KEY, QUAD_SCHEMA, Quad, conform, quads_from, quads_of, with_number
 from quadrille.operators.filters import match
-from quadrille.shared import fresh_path
+from quadrille.shared import cut, fresh_path
 from quadrille.sources import rdf
 
-#: Orderings of the four parts that an index of quads may keep: name and parts.
-ORDERINGS = tuple((n, tuple(n)) for n in ("spog", "sopg", "pso", "pos", "ospg", "opsg", "gpso"))
+#: Orderings of the four parts that a base may be kept in.
+ORDERINGS = ("spog", "sopg", "pso", "pos", "ospg", "opsg", "gpso")
+#: Rows that may be added or removed before a new base is written; so many may be broadcast.
+DELTA_ROWS = 500_000
+
+
+class ConcurrentCommit(RuntimeError):
+    """Another writer committed since this one read the store."""
 
 
 @dataclass(frozen=True)
@@ -55,6 +65,12 @@ def without(quads: DataFrame, gone: DataFrame) -> DataFrame:
     return a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEY]), "left_anti")
 
 
+def among(quads: DataFrame, few: DataFrame) -> DataFrame:
+    """quads that are in few, which is small, term by term."""
+    a, b = quads.alias("a"), F.broadcast(few.select(*KEY).alias("b"))
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEY]), "left_semi")
+
+
 def apply_patch(quads: DataFrame, patch: Patch, context: Context = Context()) -> DataFrame:
     """The quads after a commit: nothing of the old if it replaces, less the deletions, with the insertions, each once."""
     out = quads.limit(0) if context.is_replace() else quads
@@ -138,6 +154,21 @@ class Files:
         finally:
             stream.close()
 
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that must not be there; False if it is."""
+        fs, p = self._at(path)
+        if fs.exists(p):
+            return False
+        try:
+            stream = fs.create(p, False)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
     def write(self, path: str, text: str) -> None:
         """Put text in place of the file at once, by a rename over it."""
         fs, p = self._at(path)
@@ -156,51 +187,134 @@ class Files:
 
 
 class QuadStore:
-    """Quads kept as snapshots below a folder.
+    """Quads kept below a folder.
 
-    commit: called with (patch, context) instead of writing a snapshot, for stores that are kept elsewhere.
+    commit: called with (patch, context) instead of writing, for stores that are kept elsewhere; orderings: those of
+    ORDERINGS that the base is kept in, of which a pattern reads the one that begins with most of its parts; guard: called
+    right before a commit takes effect, which it may stop by raising.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, commit: Callable[[Patch, Context], None] | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, commit: Callable[[Patch, Context], None] | None = None, orderings: tuple[str, ...] = ("pso",)):
+        if not orderings or set(orderings) - set(ORDERINGS):
+            raise ValueError(f"orderings are some of {', '.join(ORDERINGS)}")
         self.spark, self.folder = spark, folder or fresh_path(spark, "store")
         self.files = Files(spark)
+        self.orderings = tuple(orderings)
         self._override = commit
+        self.guard: Callable[[], None] = lambda: None
 
     @property
     def pointer(self) -> str:
         return f"{self.folder}/CURRENT"
 
-    def quads(self) -> DataFrame:
-        """The current snapshot."""
-        name = self.files.read(self.pointer)
-        if name is None:
-            return self.spark.createDataFrame([], QUAD_SCHEMA)
+    def _commit_file(self, version: int) -> str:
+        return f"{self.folder}/commit-{version:012d}"
+
+    def state(self) -> dict | None:
+        """The last commit: version, base, orderings, added, removed (folders or None) and rows of both. None before any."""
+        text = self.files.read(self.pointer)
+        state = json.loads(text) if text else None
+        # The pointer may lag behind, as it is written after the commit's own file
+        while (text := self.files.read(self._commit_file(state["version"] + 1 if state else 1))) is not None:
+            state = json.loads(text)
+        return state
+
+    def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(QUAD_SCHEMA).parquet(f"{self.folder}/{name}")
 
+    def _ordering(self, state: dict, bound: str) -> str:
+        """The ordering that begins with most of the bound parts."""
+
+        def prefix(ordering: str) -> int:
+            return next((i for i, c in enumerate(ordering) if c not in bound), len(ordering))
+
+        return max(state["orderings"], key=prefix)
+
+    def _view(self, state: dict | None, bound: str = "") -> DataFrame:
+        if state is None:
+            return self.spark.createDataFrame([], QUAD_SCHEMA)
+        quads = self._read(f"{state['base']}/{self._ordering(state, bound)}")
+        if state["removed"]:
+            quads = without(quads, F.broadcast(self._read(state["removed"])))
+        return quads.unionByName(self._read(state["added"])) if state["added"] else quads
+
+    def quads(self, bound: str = "") -> DataFrame:
+        """The quads as of the last commit. bound: the parts, of spog, that a pattern binds, to pick an ordering by."""
+        return self._view(self.state(), bound)
+
+    def _commit(self, old: dict | None, state: dict) -> None:
+        state = {"version": (old["version"] if old else 0) + 1, **state}
+        self.guard()
+        if not self.files.create(self._commit_file(state["version"]), json.dumps(state)):
+            raise ConcurrentCommit(f"version {state['version']} of the store was committed by another writer")
+        self.files.write(self.pointer, json.dumps(state))
+        # The version before stays for readers that have begun; what only older ones read goes
+        if old is None or old["version"] < 2:
+            return
+        before = json.loads(self.files.read(self._commit_file(old["version"] - 1)) or "{}")
+        kept = {x.get(k) for x in (old, state) for k in ("base", "added", "removed")}
+        for k in ("base", "added", "removed"):
+            if before.get(k) and before[k] not in kept:
+                self.files.remove(f"{self.folder}/{before[k]}")
+        self.files.remove(self._commit_file(old["version"] - 1))
+
+    def _save(self, quads: DataFrame, what: str) -> str:
+        name = f"{what}-{uuid.uuid4().hex}"
+        quads.select(*COLUMNS).write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def _rebase(self, old: dict | None, quads: DataFrame) -> None:
+        name = f"base-{uuid.uuid4().hex}"
+        for ordering in self.orderings:
+            quads.select(*COLUMNS).repartitionByRange(*ordering[:2]).sortWithinPartitions(*ordering).write.parquet(f"{self.folder}/{name}/{ordering}")
+        self._commit(old, {"base": name, "orderings": list(self.orderings), "added": None, "removed": None, "rows": 0})
+
     def write(self, quads: DataFrame) -> None:
-        """Make quads the current snapshot."""
-        name = f"snapshot-{uuid.uuid4().hex}"
-        old = self.files.read(self.pointer)
-        quads.select(*COLUMNS).repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.parquet(f"{self.folder}/{name}")
-        self.files.write(self.pointer, name)
-        # The one before stays for readers that have begun; older ones go.
-        before = self.files.read(f"{self.folder}/BEFORE")
-        if before:
-            self.files.remove(f"{self.folder}/{before}")
-        if old:
-            self.files.write(f"{self.folder}/BEFORE", old)
+        """Make quads all that the store holds."""
+        self._rebase(self.state(), quads)
 
     def apply(self, patch: Patch, context: Context = Context()) -> None:
         if self._override is not None:
             self._override(patch, context)
-        else:
-            self.write(apply_patch(self.quads(), patch, context))
+            return
+        old = self.state()
+        if old is None or context.is_replace():
+            self._rebase(old, apply_patch(self._view(old), patch, context))
+            return
+        new, gone = (None if d is None else cut(d.select(*COLUMNS).dropDuplicates(KEY)) for d in (patch.insertions, patch.deletions))
+        if old["rows"] + sum(d.count() for d in (new, gone) if d is not None) > DELTA_ROWS:
+            self._rebase(old, apply_patch(self._view(old), patch, context))
+            return
+        added = self._read(old["added"]) if old["added"] else None
+        removed = self._read(old["removed"]) if old["removed"] else None
+        base = self._read(f"{old['base']}/{old['orderings'][0]}")
+        hidden = base if removed is None else without(base, F.broadcast(removed))
+        if gone is not None:
+            hit = among(hidden, gone)
+            removed = hit if removed is None else removed.unionByName(hit)
+            added = None if added is None else without(added, gone)
+        if new is not None:
+            there = among(hidden, new)
+            if gone is not None:
+                there = without(there, gone)
+            new = without(new, there)
+            added = new if added is None else without(added, new).unionByName(new)
+        added, removed = (None if d is None else cut(d.select(*COLUMNS)) for d in (added, removed))
+        n = [0 if d is None else d.count() for d in (added, removed)]
+        self._commit(old, {"base": old["base"], "orderings": old["orderings"], "added": self._save(added, "added") if n[0] else None, "removed": self._save(removed, "removed") if n[1] else None, "rows": sum(n)})
+
+    def compact(self) -> None:
+        """Write a new base with all that was added and without what was removed."""
+        old = self.state()
+        if old is not None and old["rows"]:
+            self._rebase(old, self._view(old))
 
     def transaction(self) -> Transaction:
         return Transaction(self.spark, self.apply, self.quads)
 
     def match(self, s=None, p=None, o=None, g=None) -> DataFrame:
-        return match(self.quads(), s, p, o, g)
+        bound = "".join(n for n, x in zip("spog", (s, p, o, g), strict=True) if x is not None)
+        return match(self.quads(bound), s, p, o, g)
 
     def size(self) -> int:
         return self.quads().count()
@@ -302,4 +416,4 @@ class TransactionalStore:
         self.tx.rollback()
 
 
-__all__ = ["ORDERINGS", "Context", "Patch", "QuadStore", "Transaction", "TransactionalStore", "apply_patch", "cancel", "export_quads", "materialize", "quads_of", "without"]
+__all__ = ["DELTA_ROWS", "ORDERINGS", "ConcurrentCommit", "Context", "Patch", "QuadStore", "Transaction", "TransactionalStore", "apply_patch", "cancel", "export_quads", "materialize", "quads_of", "without"]

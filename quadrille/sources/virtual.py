@@ -124,7 +124,7 @@ class VirtualGraph:
         found = [m for m in self.maps if set(predicates) <= m.objects().keys() and types <= {f"urn:class:{m.name}"}]
         return found[0] if len(found) == 1 else None
 
-    def scan(self, predicate: str | None = None) -> DataFrame:
+    def scan(self, predicate: str | None = None, bound: str = "") -> DataFrame:
         found = [q for p, q in self._branches if predicate is None or p == predicate]
         if not found:
             return self.spark.createDataFrame([], QUAD_SCHEMA)
@@ -135,14 +135,14 @@ class VirtualGraph:
 
 
 class StoredGraph:
-    """A DataFrame of quads, or a function that gives one, as a source of patterns."""
+    """A DataFrame of quads, or a function that gives one for the parts that a pattern binds, as a source of patterns."""
 
     def __init__(self, quads):
         self._quads = quads
 
-    def quads(self) -> DataFrame:
-        return self._quads() if callable(self._quads) else self._quads
+    def quads(self, bound: str = "") -> DataFrame:
+        return self._quads(bound) if callable(self._quads) else self._quads
 
-    def scan(self, predicate: str | None = None) -> DataFrame:
-        q = self.quads()
+    def scan(self, predicate: str | None = None, bound: str = "") -> DataFrame:
+        q = self.quads(bound if predicate is None else bound + "p")
         return q if predicate is None else q.where(F.col("p") == predicate)

@@ -91,9 +91,10 @@ class Compiler:
         return X.Expressions(set(sol.vars), self.now, self.base, exists, self.numeric)
 
     # Scans
-    def scan(self, predicate: str | None, scope: Scope) -> DataFrame:
+    def scan(self, predicate: str | None, scope: Scope, bound: str = "") -> DataFrame:
+        """Quads of the scope's graphs. bound: which of s and o a pattern binds."""
         g = scope.active
-        q = self.source.scan(predicate)
+        q = self.source.scan(predicate, bound + ("" if isinstance(g, A.Var) or (g is None and not scope.restricted) else "g"))
         if g is None:
             if scope.restricted:
                 return q.where(F.col("g").isin(scope.default_graphs)).withColumns({"g": F.lit(""), "g_kind": F.lit(DEFAULT)}).dropDuplicates(KEY) if scope.default_graphs else q.where(F.lit(False))
@@ -132,7 +133,8 @@ class Compiler:
         parts = [("s", t.s), ("p", t.p), ("o", t.o)]
         if isinstance(scope.active, A.Var):
             parts.append(("g", scope.active))
-        return self.bind_quads(self.scan(predicate, scope), parts)
+        bound = "".join(n for n, x in (("s", t.s), ("o", t.o)) if isinstance(x, Term))
+        return self.bind_quads(self.scan(predicate, scope, bound), parts)
 
     def bgp(self, triples: list[A.Triple], scope: Scope, start: Sol | None) -> Sol:
         """Patterns joined, the most constant first and then only what shares a variable, where there is any."""

@@ -9,8 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import DEFAULT, IRI, KEY, LITERAL, QUAD_SCHEMA, Term
-from quadrille.operators.store import Patch, QuadStore, apply_patch
+from quadrille.functions.terms import DEFAULT, IRI, KEY, LITERAL, QUAD_SCHEMA, Term, with_number
+from quadrille.operators.store import Patch, QuadStore, apply_patch, without
 from quadrille.shared import cut
 from quadrille.sources import rdf
 from quadrille.sources.virtual import StoredGraph
@@ -99,6 +99,15 @@ class SparqlEngine:
             late.set()
             sc.cancelJobsWithTag(tag)
 
+        def guard() -> None:
+            """Too late to commit; once committed, an update is done whatever the clock says."""
+            if late.is_set():
+                raise QueryTimeout(f"the update took more than {timeout_ms} ms")
+            timer.cancel()
+
+        if self.store is not None:
+            self.store.guard = guard
+
         timer = threading.Timer(timeout_ms / 1000, stop)
         sc.addJobTag(tag)
         timer.start()
@@ -108,7 +117,7 @@ class SparqlEngine:
                 r.solutions = cut(r.solutions)
             if r.quads is not None:
                 r.quads = cut(r.quads)
-            if late.is_set():
+            if late.is_set() and r.kind != "void":
                 raise QueryTimeout(f"the query took more than {timeout_ms} ms")
             return r
         except QueryTimeout:
@@ -120,6 +129,8 @@ class SparqlEngine:
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
+            if self.store is not None:
+                self.store.guard = lambda: None
 
     def query(self, text: str, base: str = "") -> Result:
         q = parse_query(text, base)
@@ -142,20 +153,37 @@ class SparqlEngine:
         """Operations in order, each on what those before it made; one snapshot is written at the end, or none."""
         if self.store is None:
             raise ValueError("this engine has no store to update")
+        operations = parse_update(text, base).operations
         quads = start = self.store.quads()
-        for op in parse_update(text, base).operations:
+        if all(isinstance(op, A.Modify) for op in operations):
+            # What is added and removed is enough; the store's quads are only read
+            new = gone = None
+            for i, op in enumerate(operations):
+                patch = self.patch_of(quads, op)
+                minus, plus = (None if d is None else cut(d) for d in (patch.deletions, patch.insertions))
+                if minus is not None:
+                    new, gone = None if new is None else without(new, minus), minus if gone is None else gone.unionByName(minus)
+                if plus is not None:
+                    new = plus if new is None else new.unionByName(plus)
+                if i + 1 < len(operations):
+                    quads = cut(apply_patch(quads, Patch(plus, minus)))
+            if new is not None or gone is not None:
+                self.store.apply(Patch(new, gone))
+            return Result("void")
+        for op in operations:
             quads = cut(self.modified(quads, op) if isinstance(op, A.Modify) else self.managed(quads, op))
         if quads is not start:
             if self.store._override is not None:
                 old, new = start.select(*KEY), quads.select(*KEY)
-                from quadrille.functions.terms import with_number
-
                 self.store.apply(Patch(with_number(new.exceptAll(old)), with_number(old.exceptAll(new))))
             else:
                 self.store.write(quads)
         return Result("void")
 
     def modified(self, quads: DataFrame, op: A.Modify) -> DataFrame:
+        return apply_patch(quads, self.patch_of(quads, op))
+
+    def patch_of(self, quads: DataFrame, op: A.Modify) -> Patch:
         c = Compiler(self.spark, StoredGraph(quads))
         graph = op.with_graph or ""
         if op.where is None:
@@ -173,7 +201,7 @@ class SparqlEngine:
             sol = c.group(op.where, scope)
             sol = Sol(cut(sol.df), sol.always, sol.kinds)
         gone, new = c.instantiate(sol, op.delete, graph), c.instantiate(sol, op.insert, graph)
-        return apply_patch(quads, Patch(new, gone))
+        return Patch(new, gone)
 
     def managed(self, quads: DataFrame, op: A.Manage) -> DataFrame:
         def inside(target: str):

@@ -3,7 +3,7 @@
 import pytest
 
 from quadrille.functions.terms import KEY, Quad, bnode, iri, literal, quads_from
-from quadrille.operators.store import Context, QuadStore, Transaction, TransactionalStore, cancel
+from quadrille.operators.store import ConcurrentCommit, Context, Patch, QuadStore, Transaction, TransactionalStore, cancel
 from quadrille.streaming.ingest import ingest, read_stream
 
 
@@ -109,3 +109,70 @@ def test_stream(spark, tmp_path):
         ingest(read_stream(spark, str(tmp_path / "in")), s, str(tmp_path / "check")).awaitTermination()
         (tmp_path / "in" / "2.nq").write_text('<urn:2> <urn:p> "b" .\n<urn:3> <urn:p> "c" .\n')
     assert ids(s) == ["urn:1", "urn:2", "urn:3"]
+
+
+def test_a_small_commit_does_not_shuffle_the_base(spark, monkeypatch):
+    s = QuadStore(spark)
+    s.transaction().add([q(i) for i in range(50)]).commit()
+    base = s.state()["base"]
+    s.transaction().delete([q(3), q(99)]).add([q(5), q(60)]).commit()
+    s.transaction().delete([q(60)]).add([q(3), q(61, "urn:g")]).commit()
+    assert s.state()["base"] == base and s.state()["rows"] == 3
+    assert ids(s) == sorted(f"urn:{i}" for i in [*range(50), 61])
+    plan = s.quads()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    s.compact()
+    assert s.state()["base"] != base and s.state()["rows"] == 0 and s.size() == 51
+    monkeypatch.setattr("quadrille.operators.store.DELTA_ROWS", 2)
+    base = s.state()["base"]
+    s.transaction().add([q(i) for i in range(70, 75)]).commit()
+    assert s.state()["base"] != base and s.size() == 56
+
+
+def test_commits_equal_a_plain_set(spark):
+    import random
+
+    r, s, have = random.Random(2), QuadStore(spark), set()
+    for _ in range(6):
+        new, gone = ([q(i) for i in r.sample(range(12), 4)] for _ in range(2))
+        s.apply(Patch(quads_from(spark, new), quads_from(spark, gone)))
+        have = (have - {x.s.value for x in gone}) | {x.s.value for x in new}
+        got = ids(s)
+        assert got == sorted(have)
+
+
+def test_the_second_of_two_writers_fails(spark):
+    a = QuadStore(spark)
+    a.transaction().add(q(1)).commit()
+    b = QuadStore(spark, a.folder)
+    old = b.state()
+    a.transaction().add(q(2)).commit()
+    with pytest.raises(ConcurrentCommit):
+        b._commit(old, {"base": old["base"], "orderings": old["orderings"], "added": None, "removed": None, "rows": 0})
+    assert ids(b) == ["urn:1", "urn:2"]
+    # A pointer that lags behind is no harm
+    a.files.write(a.pointer, __import__("json").dumps(old))
+    assert ids(b) == ["urn:1", "urn:2"]
+
+
+def test_orderings(spark):
+    s = QuadStore(spark, orderings=("pso", "ospg", "gpso"))
+    s.transaction().add([q(i, "urn:g" if i % 2 else "") for i in range(6)]).commit()
+    state = s.state()
+    assert [s._ordering(state, x) for x in ("p", "ps", "o", "os", "g", "gp", "")] == ["pso", "pso", "ospg", "ospg", "gpso", "gpso", "pso"]
+    assert [r.s for r in s.match(o=literal("3")).collect()] == ["urn:3"]
+    assert s.match(g="urn:g").count() == 3
+    with pytest.raises(ValueError):
+        QuadStore(spark, orderings=("xyz",))
+
+
+def test_guard_stops_a_commit(spark):
+    s = QuadStore(spark)
+
+    def refuse():
+        raise TimeoutError("late")
+
+    s.guard = refuse
+    with pytest.raises(TimeoutError):
+        s.transaction().add(q(1)).commit()
+    assert s.size() == 0
