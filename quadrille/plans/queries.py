@@ -10,10 +10,11 @@ from quadrille.functions import terms as Q
 from quadrille.operators import search as S
 from quadrille.operators.filters import Criteria, QuadFilter, filter_quads, match
 from quadrille.operators.store import Context, Patch, QuadStore, apply_patch, cancel
-from quadrille.shared import cut
+from quadrille.shared import cut, fresh_path
 from quadrille.sources import rdf
 from quadrille.sources.virtual import StoredGraph, TableMap, VirtualGraph
 from quadrille.sparql.engine import SparqlEngine
+from quadrille.streaming.ingest import ingest, read_stream
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 LINKS = {"nation": {"n_regionkey": "region"}, "customer": {"c_nationkey": "nation"}, "supplier": {"s_nationkey": "nation"}, "orders": {"o_custkey": "customer"}, "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, "events": {"user_id": "user"}}
@@ -70,7 +71,11 @@ sparql(
     "SELECT n_name AS nation, s_name AS supplier FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000",
 )
 sparql("union_bag", "customer supplier", "SELECT ?nation { { ?x c:c_nationkey ?nation } UNION { ?x c:s_nationkey ?nation } }", "SELECT 'urn:nation:' || c_nationkey AS nation FROM customer UNION ALL SELECT 'urn:nation:' || s_nationkey FROM supplier")
-sparql("minus", "customer orders", "SELECT ?name { ?x c:c_name ?name MINUS { ?o c:o_custkey ?x } }", "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+sparql(
+    "minus", "customer orders",
+    "SELECT ?name { ?x c:c_name ?name MINUS { ?o c:o_custkey ?x ; c:o_orderpriority '1-URGENT' ; c:o_orderstatus 'F' } }",
+    "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
+)
 sparql("not_exists", "customer orders", "SELECT ?name { ?x c:c_name ?name FILTER NOT EXISTS { ?o c:o_custkey ?x ; c:o_orderstatus 'F' } }", "SELECT c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 sparql(
     "exists", "customer orders",
@@ -134,6 +139,46 @@ sparql(
     "SELECT ?name ?label { ?x c:c_name ?name ; c:c_mktsegment ?s OPTIONAL { ?x c:c_acctbal ?b FILTER(?b < 0) } BIND(COALESCE(STR(?b > -500), 'none') AS ?label) FILTER(?s IN ('BUILDING', 'MACHINERY')) }",
     "SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN (c_acctbal > -500)::VARCHAR ELSE 'none' END AS label FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
 )
+sparql("time_fractions", "events", "SELECT (COUNT(DISTINCT ?t) AS ?n) (MIN(?t) AS ?first) { ?e c:ts ?t }", "SELECT count(DISTINCT ts) AS n, replace(min(ts)::VARCHAR, ' ', 'T') AS first FROM events", integers=("n",))
+sparql(
+    "exact_integers", "events",
+    "SELECT ?type (SUM(9007199254740993 + ?u) AS ?total) (COUNT(*) AS ?n) { ?e c:event_type ?type ; c:value ?v BIND(xsd:integer(FLOOR(?v)) AS ?u) FILTER(9007199254740993 + ?u > 9007199254740993) } GROUP BY ?type",
+    "SELECT event_type AS type, sum(9007199254740993 + floor(value)::HUGEINT)::VARCHAR AS total, count(*) AS n FROM events WHERE floor(value) > 0 GROUP BY 1",
+    integers=("n",),
+)
+sparql(
+    "exact_decimals", "part",
+    "SELECT ?brand (SUM(xsd:decimal(?r)) AS ?total) (MAX(xsd:decimal(?r) * 0.1) AS ?most) { ?p c:p_brand ?brand ; c:p_retailprice ?r } GROUP BY ?brand",
+    "SELECT p_brand AS brand, rtrim(rtrim(sum(p_retailprice::DECIMAL(18, 6))::VARCHAR, '0'), '.') AS total, rtrim(rtrim(max(p_retailprice::DECIMAL(18, 6) * 0.1::DECIMAL(2, 1))::VARCHAR, '0'), '.') AS most FROM part GROUP BY 1",
+)
+sparql(
+    "hash_functions", "nation",
+    "SELECT ?n (SHA1(?n) AS ?a) (SHA256(?n) AS ?b) (STRLANG(?n, 'en') AS ?c) (DATATYPE(STRDT(?n, c:t)) AS ?d) (isIRI(?x) AS ?e) (isLITERAL(?n) AS ?f) (isNUMERIC(?n) AS ?g) (LANG(STRLANG(?n, 'fr')) AS ?h) (SAMETERM(?n, STR(?n)) AS ?i) { ?x c:n_name ?n }",
+    "SELECT n_name AS n, sha1(n_name) AS a, sha256(n_name) AS b, n_name AS c, 'urn:col:t' AS d, 'true' AS e, 'true' AS f, 'false' AS g, 'fr' AS h, 'true' AS i FROM nation",
+)
+
+
+@query("decimal_columns", "SELECT p_brand AS brand, rtrim(rtrim(sum(p_retailprice::DECIMAL(20, 2))::VARCHAR, '0'), '.') AS total, rtrim(rtrim(max(p_retailprice::DECIMAL(20, 2))::VARCHAR, '0'), '.') AS most, count(DISTINCT p_retailprice::DECIMAL(20, 2)) AS n FROM part GROUP BY 1")
+def decimal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a decimal column as a graph."""
+    t = table(spark, sf_dir, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(20,2)"))
+    g = VirtualGraph([TableMap("part", t, "p_partkey", ["p_brand", "p_retailprice"])])
+    r = SparqlEngine(spark, g).query(PREFIXES + "SELECT ?brand (SUM(?r) AS ?total) (MAX(?r) AS ?most) (COUNT(DISTINCT ?r) AS ?n) { ?p c:p_brand ?brand ; c:p_retailprice ?r } GROUP BY ?brand")
+    return r.values(exact=("n",)).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query("zoned_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate + to_minutes((o_orderkey % 7) * 30), o_orderkey) AS place FROM orders WHERE o_orderkey % 50 < 3 QUALIFY place <= 40")
+def zoned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 earliest of times written in different zones, in order."""
+    west = F.pmod("o_orderkey", F.lit(7)) * 30
+    zone = F.format_string("-%02d:%02d", F.floor(west / 60), F.pmod(west, F.lit(60)))
+    t = table(spark, sf_dir, "orders").where("o_orderkey % 50 < 3")
+    quads = Q.conform(t.select(F.concat(F.lit("urn:o:"), F.format_string("%012d", "o_orderkey")).alias("s"), F.lit("urn:at").alias("p"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("o"), F.lit(Q.XSD + "dateTime").alias("o_datatype")))
+    r = SparqlEngine(spark, StoredGraph(quads)).query("SELECT ?s { ?s <urn:at> ?t } ORDER BY ?t ?s LIMIT 40").values()
+    rows = [(int(x.s[6:]), i + 1) for i, x in enumerate(r.collect())]
+    return spark.createDataFrame(rows, "o_orderkey bigint, place bigint")
+
+
 # Paths
 sparql("path_sequence_alternative", "customer nation region supplier", "SELECT ?r (COUNT(*) AS ?n) { ?x (c:c_nationkey|c:s_nationkey)/c:n_regionkey/c:r_name ?r } GROUP BY ?r", "SELECT r_name AS r, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) JOIN nation ON k = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", integers=("n",))
 sparql("path_inverse_negated", "nation region", "SELECT ?r ?x { ?r ^c:n_regionkey ?n . ?n !(c:n_regionkey|a) ?x }", "SELECT 'urn:region:' || n_regionkey AS r, n_name AS x FROM nation")
@@ -152,6 +197,38 @@ def path_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SparqlEngine(spark, StoredGraph(quads)).query("SELECT ?x ?y { ?x <urn:next>+ ?y }").values()
 
 
+_STEPS = "WITH RECURSIVE e AS (SELECT conv_id, turn AS a, turn + 1 AS b FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE (conv_id, turn + 1) IN (SELECT conv_id, turn FROM conversations)), p AS (SELECT conv_id, a, b FROM e UNION SELECT p.conv_id, p.a, e.b FROM p JOIN e ON p.conv_id = e.conv_id AND p.b = e.a), n AS (SELECT conv_id, a FROM e UNION SELECT conv_id, b FROM e)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> StoredGraph:
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    nxt = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"])
+    at = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit("/"), (F.col("turn") + n).cast("string"))
+    return StoredGraph(Q.conform(nxt.select(at(0).alias("s"), F.lit("urn:next").alias("p"), at(1).alias("o"), F.lit(Q.IRI).alias("o_kind"))))
+
+
+@query("path_zero_or_more", f"{_STEPS} SELECT conv_id || '/' || a AS x, conv_id || '/' || b AS y FROM p UNION SELECT conv_id || '/' || a, conv_id || '/' || a FROM n")
+def path_zero_or_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SparqlEngine(spark, _turns(spark, sf_dir)).query("SELECT ?x ?y { ?x <urn:next>* ?y }").values()
+
+
+@query("path_optional_step", f"{_STEPS} SELECT conv_id || '/' || a AS x, conv_id || '/' || b AS y FROM e UNION SELECT conv_id || '/' || a, conv_id || '/' || a FROM n")
+def path_optional_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SparqlEngine(spark, _turns(spark, sf_dir)).query("SELECT ?x ?y { ?x <urn:next>? ?y }").values()
+
+
+@query("path_from_one_end", f"{_STEPS} SELECT conv_id || '/' || b AS y FROM p WHERE conv_id = (SELECT min(conv_id) FROM e) AND a = (SELECT min(a) FROM e WHERE conv_id = (SELECT min(conv_id) FROM e))")
+def path_from_one_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later turns of the first conversation; the rounds go out from its first turn alone."""
+    g = _turns(spark, sf_dir)
+    first = g.quads().select(F.min_by("s", F.struct(F.split_part("s", F.lit("/"), F.lit(1)).cast("bigint"), F.split_part("s", F.lit("/"), F.lit(2)).cast("bigint"))).alias("s")).first().s
+    return SparqlEngine(spark, g).query(f"SELECT ?y {{ <{first}> <urn:next>+ ?y }}", "").values() if ":" in first else SparqlEngine(spark, StoredGraph(g.quads().withColumns({c: F.concat(F.lit("urn:t:"), c) for c in ("s", "o")}))).query(f"SELECT ?y {{ <urn:t:{first}> <urn:next>+ ?y }}").values().select(F.replace("y", F.lit("urn:t:")).alias("y"))
+
+
+sparql("from_default", "documents", "SELECT ?d ?n FROM <urn:graph:src1> FROM <urn:graph:src2> { ?d c:n_chars ?n }", "SELECT 'urn:documents:' || doc_id AS d, n_chars AS n FROM documents WHERE source IN ('src1', 'src2')", integers=("n",), by={"documents": "source"})
+sparql("from_named", "documents", "SELECT ?g (COUNT(*) AS ?n) FROM NAMED <urn:graph:src1> FROM NAMED <urn:graph:src4> { GRAPH ?g { ?d c:n_chars ?x } } GROUP BY ?g", "SELECT 'urn:graph:' || source AS g, count(*) AS n FROM documents WHERE source IN ('src1', 'src4') GROUP BY 1", integers=("n",), by={"documents": "source"})
+
+
 @query("ask", "SELECT EXISTS (SELECT 1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3') AS answer")
 def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = SparqlEngine(spark, graph(spark, sf_dir, "customer", "nation")).query(PREFIXES + "ASK { ?x c:c_nationkey ?n . ?n c:n_name 'NATION_3' }")
@@ -301,14 +378,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rrf_fusion",
-    f"WITH {_BM25}, {_COSINE}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM b ORDER BY r LIMIT 50), v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(c, 9) DESC, vec_id) AS r FROM e ORDER BY r LIMIT 50) SELECT id, round(sum(1 / (60 + r)) * 61 / 2, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM v) GROUP BY id",
+    f"WITH {_BM25}, {_COSINE}, a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM b), v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(c, 9) DESC, vec_id) AS r FROM e) SELECT id, round(sum(1 / (60 + r)) * 61 / 2, 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM v) GROUP BY id",
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of a keyword list and of a vector list fused. The tables share no ids; equal numbers stand in for them."""
     a = _bm25(spark, sf_dir).select(F.col("quad_id").alias("id"), F.round("bm25", 9).alias("score"))
-    e = table(spark, sf_dir, "embeddings")
-    v = S.vector_topk(e, _probe(spark, sf_dir), 50).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
-    return S.rrf([a, v], ["id"], depth=50).select("id", F.round("score", 6).alias("score"))
+    probe = F.array(*[F.lit(float(x)) for x in _probe(spark, sf_dir)])
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.round(S.cosine(F.col("embedding"), probe), 9).alias("score"))
+    return S.rrf([a, v], ["id"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_search")
@@ -352,6 +429,36 @@ def transaction_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.quads().select("s")
 
 
+@query("delete_graph", "SELECT 'urn:documents:' || doc_id AS s FROM documents WHERE source <> 'src1'")
+def delete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = QuadStore(spark, orderings=("pso", "gpso"))
+    store.write(graph(spark, sf_dir, "documents", by={"documents": "source"}).scan("urn:col:n_chars"))
+    store.transaction().delete_graph("urn:graph:src1").commit()
+    return store.quads().select("s")
+
+
+@query("commit_small", "SELECT 'urn:customer:' || c_custkey AS s, c_mktsegment AS o FROM customer WHERE c_custkey % 100 <> 3 UNION ALL SELECT 'urn:customer:' || c_custkey, 'NEW' FROM customer WHERE c_custkey % 100 = 3 UNION ALL SELECT 'urn:customer:' || c_custkey, 'ALSO' FROM customer WHERE c_custkey % 200 = 4")
+def commit_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits of a few quads over a larger base, which they don't rewrite."""
+    q = graph(spark, sf_dir, "customer").scan("urn:col:c_mktsegment")
+    store = QuadStore(spark)
+    store.write(q)
+    some = lambda d, k: q.where(F.pmod(F.substring_index("s", ":", -1).cast("bigint"), F.lit(d)) == k)
+    store.apply(Patch(some(100, 3).withColumn("o", F.lit("NEW")).unionByName(q.limit(0)), some(100, 3)))
+    store.apply(Patch(some(200, 4).withColumn("o", F.lit("ALSO")).unionByName(some(200, 6)), None))
+    return store.quads().select("s", "o")
+
+
+@query("stream_import", "SELECT 'urn:events:' || event_id AS s, event_type AS o FROM events")
+def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads written as files, read as a stream and merged into a store batch by batch."""
+    at = fresh_path(spark, "incoming")
+    rdf.write_lines(graph(spark, sf_dir, "events").scan("urn:col:event_type"), at)
+    store = QuadStore(spark)
+    ingest(read_stream(spark, at), store, fresh_path(spark, "offsets")).awaitTermination()
+    return store.quads().select("s", "o")
+
+
 @query("export_roundtrip_count", "SELECT 2 * count(*) AS n, count(*) AS subjects FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region)")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions, two quads each, to text and back."""

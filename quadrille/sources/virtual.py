@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import COLUMNS, DEFAULT, IRI, LANG_STRING, LITERAL, QUAD_SCHEMA, RDF, XSD
 
-#: The type of an exact number in a solution.
-EXACT = "decimal(38,12)"
+#: The type of an exact number in a solution; a sum of two such fits Spark's widest decimal without loss.
+EXACT = "decimal(37,12)"
 _TYPES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "double": "double", "float": "double", "boolean": "boolean", "date": "date", "timestamp": "dateTime", "timestamp_ntz": "dateTime"}
 
 
 def _fits(kind: str) -> bool:
     """Whether a type is a decimal whose numbers are all exact ones in SPARQL; others are shown as text."""
     m = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
-    return m is not None and int(m[2]) <= 12 and int(m[1]) - int(m[2]) <= 26
+    return m is not None and int(m[2]) <= 12 and int(m[1]) - int(m[2]) <= 25
 
 
 def decimal_form(c: Column) -> Column:

@@ -453,10 +453,11 @@ class Compiler:
         n = one("a").unionByName(one("b")).dropDuplicates([column("a", p) for p in "vkdl"] + ["g"])
         return n.select(*[ref("a", p) for p in PARTS], *[ref("a", p).alias(column("b", p)) for p in PARTS], "g")
 
-    def closure(self, p: A.Closure, scope: Scope, graph: Column) -> DataFrame:
+    def closure(self, p: A.Closure, scope: Scope, graph: Column, ends: tuple[Term | None, Term | None] = (None, None)) -> DataFrame:
         """Pairs of ends that one or more steps (or none, if zero) connect, each once.
 
-        Each round joins the pairs found last with the steps and keeps what is new; it ends when nothing is.
+        Each round joins the pairs found last with the steps and keeps what is new; it ends when nothing is. ends: the
+        constant at the first or last end, from which alone the rounds then go out.
         """
         keys = [column(x, part) for x in "ab" for part in "vkdl"] + ["g"]
         step = self.path(p.path, scope).dropDuplicates(keys)
@@ -464,9 +465,13 @@ class Compiler:
             return step.unionByName(self._nodes(scope, graph)).dropDuplicates(keys)
         step = cut(step)
         seen = frontier = step
+        backward = ends[0] is None and ends[1] is not None
+        for end, x in (("b", ends[1]),) if backward else (("a", ends[0]),):
+            if x is not None:
+                seen = frontier = step.where(self._is(end, x))
         rounds = 0
         while True:
-            new = self._chain(frontier, step).dropDuplicates(keys)
+            new = (self._chain(step, frontier) if backward else self._chain(frontier, step)).dropDuplicates(keys)
             old = seen.select(*[F.col(f"`{c}`").alias(c + "'") for c in keys])
             same = _all([F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}'`")) for c in keys])
             frontier = cut(new.join(old, same, "left_anti"))
@@ -476,10 +481,23 @@ class Compiler:
             seen = seen.unionByName(frontier)
             if rounds % CUT_EVERY == 0:
                 seen = cut(seen)
-        return seen.unionByName(self._nodes(scope, graph)).dropDuplicates(keys) if p.zero else seen
+        if not p.zero:
+            return seen
+        nodes = self._nodes(scope, graph)
+        for x in ends:
+            nodes = nodes if x is None else nodes.where(self._is("a", x))
+        return seen.unionByName(nodes).dropDuplicates(keys)
+
+    def _is(self, end: str, x: Term) -> Column:
+        c = X.constant(x)
+        return (ref(end, "v") == c.v) & (ref(end, "k") == c.k) & ref(end, "d").eqNullSafe(c.d) & ref(end, "l").eqNullSafe(c.l)
 
     def path_triple(self, t: A.Triple, scope: Scope) -> Sol:
-        df = self.path(t.p, scope)
+        if isinstance(t.p, A.Closure) and t.p.many:
+            graph = F.col("g") if isinstance(scope.active, A.Var) else F.lit("")
+            df = self.closure(t.p, scope, graph, tuple(x if isinstance(x, Term) else None for x in (t.s, t.o)))
+        else:
+            df = self.path(t.p, scope)
         if isinstance(t.p, A.Closure) and t.p.zero:  # a constant end reaches itself, whether in the graph or not
             consts = [x for x in (t.s, t.o) if isinstance(x, Term)]
             if consts and not isinstance(scope.active, A.Var):
@@ -491,8 +509,7 @@ class Compiler:
         picked: dict[str, str] = {}
         for end, x in (("a", t.s), ("b", t.o)):
             if isinstance(x, Term):
-                c = X.constant(x)
-                df = df.where((ref(end, "v") == c.v) & (ref(end, "k") == c.k) & ref(end, "d").eqNullSafe(c.d) & ref(end, "l").eqNullSafe(c.l))
+                df = df.where(self._is(end, x))
             elif x.name in picked:
                 df = df.where((ref("a", "v") == ref("b", "v")) & (ref("a", "k") == ref("b", "k")) & ref("a", "d").eqNullSafe(ref("b", "d")) & ref("a", "l").eqNullSafe(ref("b", "l")))
             else:
@@ -534,7 +551,7 @@ class Compiler:
         known = self.numeric.get(a.arg.name) if isinstance(a.arg, A.Var) else None
         if known:  # a number needs no ordering of terms, and fits a hash aggregate
             best = (F.max if a.name == "MAX" else F.min)(x.n if x.lane == "double" else x.e)
-            return list((X.numeric(best, known) if x.lane == "double" else X.numeric(best.cast("double"), known, best, "exact")).parts())
+            return list((X.numeric if x.lane == "double" else X.exact_number)(best, known).parts())
         key = F.when(x.v.isNotNull(), F.struct(*_order_key(x), x.v.alias("v"), x.k.alias("k"), x.d.alias("d"), x.l.alias("l"), x.n.alias("n")))
         best = F.max(key) if a.name == "MAX" else F.min(key)  # SAMPLE takes the smallest
         return [best[p] for p in PARTS]
@@ -555,9 +572,10 @@ class Compiler:
             return list(X.numeric(F.when(fine, F.coalesce(double, F.lit(0.0))), wide).parts())
         exact = F.when(fine, F.when(F.count(x.n) == 0, F.lit(0).cast(X.EXACT)).otherwise(exact))
         if x.lane == "exact":
-            return list(X.numeric(exact.cast("double"), wide, exact, "exact").parts())
-        exact = F.when(F.count(x.n) == F.count(x.exact()), exact)
-        return list(X.numeric(F.when(F.count(x.n) == F.count(x.exact()), exact.cast("double")).otherwise(F.when(fine, double)), wide, exact).parts())
+            return list(X.exact_number(exact, wide).parts())
+        every = F.count(x.n) == F.count(x.exact())
+        exact = F.when(every, exact)
+        return list(X.either_number(exact, F.when(every, exact.cast("double")).otherwise(F.when(fine, double)), wide).parts())
 
     def grouped(self, q: A.Query, sol: Sol, found: list) -> tuple[Sol, dict]:
         keys, always, rename = [], {}, {}

@@ -4,7 +4,7 @@ A value is seven columns: lexical form, kind, datatype, language (with --directi
 decimals, the exact number. Unbound and error are both a null lexical form, which gives the three-valued logic of FILTER
 by SQL's own. Comparisons use the native number or instant, so that they reach the scan where a table has one.
 
-Integers and decimals are compared, added up and computed exactly, in decimals of 26 digits before the point and 12 after
+Integers and decimals are compared, added up and computed exactly, in decimals of 25 digits before the point and 12 after
 it; a result that needs more before the point is an error, and digits beyond the 12th are rounded. A literal of more digits
 has no exact number and counts as a double. A time without a zone is taken to be in UTC.
 """
@@ -73,6 +73,10 @@ class Ex:
     e: Column | None = None
     #: exact, if a number that is bound always has an exact one; double, if it never has; None if that is not known.
     lane: str | None = None
+    #: The datatype of a number, where every row has the same.
+    dt: str | None = None
+    #: A computed number as one struct of n, e and d, to build on; its parts would be copied as a whole each time.
+    pack: Column | None = None
 
     def parts(self) -> tuple[Column, ...]:
         return self.v, self.k, self.d, self.l, self.n, no_instant() if self.t is None else self.t, self.exact()
@@ -90,7 +94,7 @@ def var(name: str, datatype: str | None = None) -> Ex:
     """A variable; with the datatype, if all that it may be bound to are numbers of a table's column."""
     x = of_parts(ref(name, p) for p in PARTS)
     if datatype in NUMERIC:
-        x.kind, x.lane = "num", "double" if datatype in _DOUBLES else "exact"
+        x.kind, x.lane, x.dt = "num", "double" if datatype in _DOUBLES else "exact", datatype
     return x
 
 
@@ -109,27 +113,46 @@ def boolean(b: Column) -> Ex:
 
 def exact(v: Column, d: Column) -> Column:
     """The exact number of an integer or decimal literal that has no more digits than EXACT."""
-    shape = F.when(d == DECIMAL, v.rlike(r"^\s*[+-]?(0*\d{1,26}(\.\d{0,12}0*)?|\.\d{1,12}0*)\s*$")).when(d.isin(_INTEGERS), v.rlike(r"^\s*[+-]?0*\d{1,26}\s*$"))
+    shape = F.when(d == DECIMAL, v.rlike(r"^\s*[+-]?(0*\d{1,25}(\.\d{0,12}0*)?|\.\d{1,12}0*)\s*$")).when(d.isin(_INTEGERS), v.rlike(r"^\s*[+-]?0*\d{1,25}\s*$"))
     return F.when(shape, F.trim(v).try_cast(EXACT))
 
 
-def lexical(n: Column, d: Column, e: Column | None = None) -> Column:
-    """A number's form: no fraction for integers, no needless zeros for decimals."""
-    of = (lambda kind: n.try_cast(kind)) if e is None else (lambda kind: F.coalesce(e, n.try_cast(EXACT)).cast(kind))
-    special = F.when(n == float("inf"), "INF").when(n == float("-inf"), "-INF").otherwise(n.cast("string"))
-    return F.when(d.isin(_INTEGERS), of("decimal(38,0)").cast("string")).when(d == DECIMAL, decimal_form(of(EXACT))).otherwise(special)
+def _exact_form(e: Column, d: Column) -> Column:
+    """No fraction for integers, no needless zeros for decimals."""
+    return F.when(d == DECIMAL, decimal_form(e)).otherwise(e.cast("decimal(38,0)").cast("string"))
 
 
-def numeric(n: Column, d: Column | str, e: Column | None = None, lane: str | None = None) -> Ex:
-    d = F.lit(d) if isinstance(d, str) else d
-    v = lexical(n, d, e)
-    return Ex(v, _if_bound(v, LITERAL), F.when(n.isNotNull(), d), null(), n, "num", e=e, lane="double" if e is None else lane)
+def _double_form(n: Column) -> Column:
+    return F.when(n == float("inf"), "INF").when(n == float("-inf"), "-INF").otherwise(n.cast("string"))
+
+
+def _kind(d: Column | str) -> tuple[Column, str | None]:
+    return (F.lit(d), d) if isinstance(d, str) else (d, None)
+
+
+def numeric(n: Column, d: Column | str) -> Ex:
+    """A number of a double; integers and decimals get as many of its digits as EXACT holds."""
+    d, dt = _kind(d)
+    v = F.when(d.isin(*_DOUBLES), _double_form(n)).otherwise(_exact_form(n.try_cast(EXACT), d))
+    return Ex(v, _if_bound(n, LITERAL), F.when(n.isNotNull(), d), null(), n, "num", lane="double", dt=dt)
+
+
+def exact_number(e: Column, d: Column | str) -> Ex:
+    """An integer or decimal."""
+    d, dt = _kind(d)
+    return Ex(_exact_form(e, d), _if_bound(e, LITERAL), F.when(e.isNotNull(), d), null(), e.cast("double"), "num", e=e, lane="exact", dt=dt)
+
+
+def either_number(e: Column, n: Column, d: Column) -> Ex:
+    """A number that is exact where e is, and an error where it is neither that nor a double."""
+    n = F.when(e.isNotNull() | d.isin(*_DOUBLES), n)
+    return Ex(F.when(e.isNotNull(), _exact_form(e, d)).otherwise(_double_form(n)), _if_bound(n, LITERAL), F.when(n.isNotNull(), d), null(), n, "num", e=e)
 
 
 def integer(n: Column) -> Ex:
     """An xsd:integer of a column of whole numbers."""
     v = n.cast("string")
-    return Ex(v, _if_bound(v, LITERAL), _if_bound(v, INTEGER), null(), n.cast("double"), "num", e=n.cast(EXACT), lane="exact")
+    return Ex(v, _if_bound(v, LITERAL), _if_bound(v, INTEGER), null(), n.cast("double"), "num", e=n.cast(EXACT), lane="exact", dt=INTEGER)
 
 
 def string(v: Column, lang: Column | None = None) -> Ex:
@@ -153,9 +176,9 @@ def constant(t: Term) -> Ex:
     e, lane = None, None
     if kind == "num":
         whole, _, rest = t.value.strip().lstrip("+-").partition(".")
-        lane = "double" if d in _DOUBLES else "exact" if (whole + rest).isascii() and (whole + rest).isdigit() and len(whole.lstrip("0")) <= 26 and len(rest.rstrip("0")) <= 12 and not (rest and d != DECIMAL) else None
+        lane = "double" if d in _DOUBLES else "exact" if (whole + rest).isascii() and (whole + rest).isdigit() and len(whole.lstrip("0")) <= 25 and len(rest.rstrip("0")) <= 12 and not (rest and d != DECIMAL) else None
         e = F.lit(Decimal(t.value.strip())).cast(EXACT) if lane == "exact" else None
-    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b, when, e, lane)
+    return Ex(F.lit(t.value), F.lit(LITERAL), F.lit(d).cast("string"), F.lit(lang).cast("string"), n, kind, b, when, e, lane, d if lane else None)
 
 
 def plain(e: Ex) -> Column:
@@ -255,37 +278,56 @@ def less(a: Ex, b: Ex, or_equal: bool) -> Column:
     )
 
 
-def _wider(a: Ex, b: Ex) -> Column:
-    either = lambda *t: a.d.isin(*t) | b.d.isin(*t)
-    return F.when(either(*_DOUBLES), DOUBLE).when(either(DECIMAL), DECIMAL).otherwise(INTEGER)
-
-
-def by_exact(op: str, x: Column, y: Column) -> Column:
-    """Of exact numbers, null if it doesn't fit. Narrower decimals go in where the product's or quotient's scale would be cut."""
-    whole, fine = (lambda c: c.cast("decimal(38,0)")), (lambda c: c.try_cast("decimal(24,12)"))
-    if op == "*":
-        return F.coalesce(F.try_multiply(fine(x), fine(y)).try_cast(EXACT), F.when((whole(x) == x) & (whole(y) == y), F.try_multiply(whole(x), whole(y)).try_cast(EXACT)))
+def _by_exact(op: str, x: Column, y: Column, whole: Column) -> Column:
+    """Of exact numbers, null if it doesn't fit. Narrower decimals go in where the result's scale would be cut, wide ones
+    without a fraction where both are integers."""
+    if op in "+-":
+        return (F.try_add if op == "+" else F.try_subtract)(x, y).try_cast(EXACT)
+    fine = lambda c: c.try_cast("decimal(24,12)")
     if op == "/":
         return F.try_divide(fine(x), fine(y)).try_cast(EXACT)
-    # A sum of two such decimals would lose a digit after the point, so that parts before and behind it are added apart
-    add = F.try_add if op == "+" else F.try_subtract
-    head, tail = add(whole(F.floor(x)), whole(F.floor(y))), add((x - F.floor(x)).cast("decimal(14,12)"), (y - F.floor(y)).cast("decimal(14,12)"))
-    return F.try_add(head.try_cast("decimal(26,0)"), tail).try_cast(EXACT)
+    wide = lambda c: c.cast("decimal(38,0)")
+    return F.when(whole, F.try_multiply(wide(x), wide(y)).try_cast(EXACT)).otherwise(F.try_multiply(fine(x), fine(y)).try_cast(EXACT))
+
+
+def _widest(op: str, a: Column | str, b: Column | str) -> Column | str:
+    """The datatype of a result."""
+    if isinstance(a, str) and isinstance(b, str):
+        wide = DOUBLE if {a, b} & {*_DOUBLES} else DECIMAL if DECIMAL in (a, b) or op == "/" else INTEGER
+        return wide
+    either = lambda *t: a.isin(*t) | b.isin(*t)
+    return F.when(either(*_DOUBLES), DOUBLE).when(either(DECIMAL), DECIMAL).otherwise(DECIMAL if op == "/" else INTEGER)
+
+
+def _by_double(op: str, a: Column, b: Column, kind: Column | str) -> Column:
+    if op != "/":
+        return {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](a, b)
+    special = F.when(b == 0, F.when(a > 0, float("inf")).when(a < 0, float("-inf")).otherwise(float("nan")))
+    return F.coalesce(special if isinstance(kind, str) else F.when(kind == DOUBLE, special), F.try_divide(a, b))
 
 
 def arithmetic(op: str, a: Ex, b: Ex) -> Ex:
-    wide = _wider(a, b)
-    double = "double" in (a.lane, b.lane)
-    e = None if double else by_exact(op, a.exact(), b.exact())
-    if op == "/":
-        special = F.when((wide == DOUBLE) & (b.n == 0), F.when(a.n > 0, float("inf")).when(a.n < 0, float("-inf")).otherwise(float("nan")))
-        n, wide = F.coalesce(special, F.try_divide(a.n, b.n)), F.when(wide == INTEGER, DECIMAL).otherwise(wide)
-    else:
-        n = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](a.n, b.n)
-    if double:
-        return numeric(n, wide)
-    both = "exact" if a.lane == b.lane == "exact" else None
-    return numeric(e.cast("double") if both else F.when(a.exact().isNotNull() & b.exact().isNotNull(), e.cast("double")).otherwise(n), wide, e, both)
+    if a.dt and b.dt:
+        kind = _widest(op, a.dt, b.dt)
+        if kind == DOUBLE:
+            return numeric(_by_double(op, a.n, b.n, kind), kind)
+        if a.lane == b.lane == "exact":
+            return exact_number(_by_exact(op, a.e, b.e, F.lit(not {a.dt, b.dt} & {DECIMAL})), kind)
+    pack = lambda x: F.struct(x.n.alias("n"), x.exact().alias("e"), x.d.alias("d")) if x.pack is None else x.pack
+
+    def combined(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        kind = _widest(op, a["d"], b["d"])
+        e = _by_exact(op, a["e"], b["e"], kind == INTEGER)
+        n = F.when(kind == DOUBLE, _by_double(op, a["n"], b["n"], kind)).otherwise(e.cast("double"))
+        # Of literals with more digits than EXACT has, there is no result
+        return F.struct(n.alias("n"), e.alias("e"), F.when(n.isNotNull(), kind).alias("d"))
+
+    # A value is bound once and used many times, so that a long chain of operations stays an expression of its length
+    made = F.transform(F.array(F.struct(pack(a).alias("a"), pack(b).alias("b"))), combined)[0]
+    x = either_number(made["e"], made["n"], made["d"])
+    x.pack = made
+    return x
 
 
 def text(e: Ex) -> Column:
@@ -315,10 +357,11 @@ def _stamp(part: Callable) -> Callable:
 
 def _around_zero(f: Callable, of_exact: Callable | None = None) -> Callable:
     def call(e: Ex) -> Ex:
+        d = e.dt or F.when(e.n.isNotNull(), e.d)
         if e.lane == "double":
-            return numeric(f(e.n), F.when(e.n.isNotNull(), e.d))
+            return numeric(f(e.n), d)
         x = (of_exact or f)(e.exact()).cast(EXACT)
-        return numeric(F.coalesce(x.cast("double"), f(e.n)), F.when(e.n.isNotNull(), e.d), x, e.lane)
+        return exact_number(x, d) if e.lane == "exact" else either_number(x, F.coalesce(x.cast("double"), f(e.n)), d)
 
     return call
 
@@ -351,13 +394,19 @@ def _triple_part(i: int) -> Callable:
 
 def _to_number(name: str, e: Ex) -> Ex:
     flag, words = as_bool(e), F.when(plain(e), e.v)
-    n = F.when(flag.isNotNull(), flag.cast("double")).otherwise(F.coalesce(e.n, number(words, F.lit(DOUBLE if name in _DOUBLES else name))))
     if name in _DOUBLES:
-        return numeric(n, name)
-    e = F.when(flag.isNotNull(), flag.cast("int").cast(EXACT)).otherwise(F.coalesce(e.exact(), exact(words, F.lit(name)), e.n.try_cast(EXACT)))
+        return numeric(e.n if e.kind == "num" else F.when(flag.isNotNull(), flag.cast("double")).otherwise(F.coalesce(e.n, number(words, F.lit(DOUBLE)))), name)
+    x = e.e if e.lane == "exact" else e.n.try_cast(EXACT) if e.lane == "double" else F.coalesce(e.exact(), e.n.try_cast(EXACT))
+    if e.kind != "num":
+        x = F.when(flag.isNotNull(), flag.cast("int").cast(EXACT)).otherwise(F.coalesce(x, exact(words, F.lit(name))))
     if name in _INTEGERS:
-        e = F.when(e < 0, F.ceil(e)).otherwise(F.floor(e)).cast(EXACT)
-    return numeric(e.cast("double"), name, e, "exact")
+        x = _truncated(x)
+    return exact_number(x, name)
+
+
+def _truncated(x: Column) -> Column:
+    """Without what stands behind the point."""
+    return F.regexp_extract(x.cast("string"), r"^[+-]?\d+", 0).try_cast(EXACT)
 
 
 def _cast(name: str, e: Ex) -> Ex | None:
@@ -380,12 +429,13 @@ def _no_dir(lang: Column) -> Column:
 
 
 def _sign(e: Ex) -> Ex:
-    return numeric(-e.n, F.when(e.n.isNotNull(), e.d), None if e.lane == "double" else -e.exact(), e.lane)
+    d = e.dt or F.when(e.n.isNotNull(), e.d)
+    return numeric(-e.n, d) if e.lane == "double" else exact_number(-e.e, d) if e.lane == "exact" else either_number(-e.exact(), -e.n, d)
 
 
 def _seconds(e: Ex) -> Ex:
     t = F.regexp_extract(F.when(e.d == DATETIME, e.v), r"T\d\d:\d\d:(\d\d(?:\.\d+)?)", 1)
-    return numeric(t.try_cast("double"), DECIMAL, t.try_cast(EXACT), "exact")
+    return exact_number(t.try_cast(EXACT), DECIMAL)
 
 
 class Expressions:

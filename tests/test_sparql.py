@@ -4,7 +4,7 @@ import pytest
 
 from quadrille.functions.terms import XSD
 from quadrille.session import GraphSession
-from quadrille.sparql.engine import QueryTimeout
+from quadrille.sparql.engine import QueryTimeout, SparqlEngine
 from quadrille.sparql.parser import SparqlSyntaxError, is_update, parse_query
 
 DATA = f"""
@@ -176,3 +176,84 @@ def test_load_and_failed_update(store, tmp_path):
     with pytest.raises(ValueError):
         store.sparql("INSERT DATA { <urn:q> <urn:p> 'q' } ; LOAD <http://example.org/x>")
     assert not any(x.startswith("q") for x in state(store))  # all or nothing
+
+
+TYPED = """@prefix x: <http://www.w3.org/2001/XMLSchema#> . @prefix : <urn:> .
+:a :i 9007199254740993 ; :d 1.10 ; :t "2020-01-01T01:00:00+02:00"^^x:dateTime .
+:b :i 9007199254740992 ; :d 2.205 ; :t "2020-01-01T00:00:00Z"^^x:dateTime .
+:c :i 2 ; :d 3.0 ; :t "2019-12-31T23:30:00.250"^^x:dateTime .
+:e :f 1.5e0 .
+"""
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    from quadrille.session import GraphSession
+
+    s = GraphSession.in_memory(spark)
+    s.import_({"kind": "serialized", "data": TYPED, "content_type": "text/turtle"})
+
+    def ask(text):
+        got = s.sparql("PREFIX : <urn:> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> " + text).bindings()
+        return [tuple((v["value"], v.get("datatype", "").split("#")[-1]) for v in r.values()) for r in got]
+
+    return ask
+
+
+@pytest.mark.parametrize(
+    ("expression", "value", "datatype"),
+    [
+        ("9007199254740993 = 9007199254740992", "false", "boolean"), ("9007199254740993 + 0", "9007199254740993", "integer"), ("0.1 + 0.2", "0.3", "decimal"),
+        ("1 / 3", "0.333333333333", "decimal"), ("1.5 * 1.5", "2.25", "decimal"), ("12345678901 * 98765432109", "1219326311336229232209", "integer"), ("-9007199254740993 - 1", "-9007199254740994", "integer"),
+        ("ROUND(-2.5)", "-2", "decimal"), ("ROUND(2.5)", "3", "decimal"), ("CEIL(9007199254740992.5)", "9007199254740993", "decimal"), ("FLOOR(-1.2)", "-2", "decimal"), ("ABS(-9007199254740993)", "9007199254740993", "integer"),
+        ("1 + 1.5e0", "2.5", "double"), ("xsd:integer('9007199254740993')", "9007199254740993", "integer"), ("xsd:integer(-2.7)", "-2", "integer"), ("xsd:decimal('1.50')", "1.5", "decimal"),
+        ("SECONDS('2020-01-01T00:00:12.5Z'^^xsd:dateTime)", "12.5", "decimal"), ("HOURS('2020-01-01T03:00:00+02:00'^^xsd:dateTime)", "3", "integer"), ("SHA384('a')", __import__("hashlib").sha384(b"a").hexdigest(), ""), ("SHA512('a')", __import__("hashlib").sha512(b"a").hexdigest(), ""),
+        ("STRLEN(STRUUID())", "36", "integer"), ("isIRI(UUID())", "true", "boolean"),
+        ("'2020-01-01T01:00:00+02:00'^^xsd:dateTime < '2020-01-01T00:00:00Z'^^xsd:dateTime", "true", "boolean"), ("'2020-01-01T01:30:00+01:30'^^xsd:dateTime = '2020-01-01T00:00:00Z'^^xsd:dateTime", "true", "boolean"),
+    ],
+)
+def test_exact_values(typed, expression, value, datatype):
+    assert typed(f"SELECT ({expression} AS ?x) {{}}") == [((value, datatype),)]
+
+
+def test_more_digits_than_fit_are_an_error(typed):
+    assert typed("SELECT (100000000000000000000000000 + 0 AS ?x) {}") == [()]
+
+
+def test_exact_aggregates(typed):
+    assert typed("SELECT (SUM(?v) AS ?a) (MIN(?v) AS ?b) (MAX(?v) AS ?c) (SUM(DISTINCT ?v) AS ?d) { ?s :i ?v }") == [(("18014398509481987", "integer"), ("2", "integer"), ("9007199254740993", "integer"), ("18014398509481987", "integer"))]
+    assert typed("SELECT (SUM(?v) AS ?a) (AVG(?v) AS ?b) { ?s :d ?v }") == [(("6.305", "decimal"), ("2.101666666667", "decimal"))]
+    assert typed("SELECT (SUM(?v) AS ?a) { { ?s :d ?v } UNION { ?s :f ?v } }") == [(("7.805", "double"),)]
+    assert typed("SELECT (SUM(?v) AS ?a) (AVG(?v) AS ?b) { ?s :none ?v }") == [(("0", "integer"), ("0", "integer"))]
+    assert typed("SELECT ?s { ?s :i ?v FILTER(?v > 9007199254740992) }") == [(("urn:a", ""),)]
+
+
+def test_times_in_zones(typed):
+    assert [r[0][0] for r in typed("SELECT ?s { ?s :t ?t } ORDER BY ?t")] == ["urn:a", "urn:c", "urn:b"]
+    assert typed("SELECT (MIN(?t) AS ?a) (MAX(?t) AS ?b) { ?s :t ?t }") == [(("2020-01-01T01:00:00+02:00", "dateTime"), ("2020-01-01T00:00:00Z", "dateTime"))]
+
+
+def test_long_sums_stay_short_expressions(typed):
+    assert typed("SELECT (" + " + ".join(["?v"] * 12) + " AS ?x) { :a :i ?v }") == [((str(12 * 9007199254740993), "integer"),)]
+
+
+def test_construct_of_nothing_without_a_store(spark):
+    from quadrille.functions.terms import QUAD_SCHEMA
+    from quadrille.sources.virtual import StoredGraph
+
+    e = SparqlEngine(spark, StoredGraph(spark.createDataFrame([], QUAD_SCHEMA)))
+    assert e.query("CONSTRUCT {} WHERE { ?s ?p ?o }").quads.count() == 0
+
+
+def test_closure_goes_out_from_a_constant_end(spark):
+    from quadrille.functions import terms as Q
+    from quadrille.sources.virtual import StoredGraph
+
+    rows = [(f"urn:{i}", "urn:next", f"urn:{i + 1}", Q.IRI) for i in range(12)] + [("urn:20", "urn:next", "urn:21", Q.IRI)]
+    e = SparqlEngine(spark, StoredGraph(Q.conform(spark.createDataFrame(rows, "s string, p string, o string, o_kind string"))))
+    ask = lambda t: sorted(r[0] for r in e.query(t).values().collect())
+    assert ask("SELECT ?x { <urn:9> <urn:next>+ ?x }") == ["urn:10", "urn:11", "urn:12"]
+    assert ask("SELECT ?x { ?x <urn:next>+ <urn:2> }") == ["urn:0", "urn:1"]
+    assert ask("SELECT ?x { ?x <urn:next>* <urn:2> }") == ["urn:0", "urn:1", "urn:2"]
+    assert ask("SELECT ?x { <urn:nowhere> <urn:next>* ?x }") == ["urn:nowhere"]
+    assert ask("SELECT ?y { <urn:9> <urn:next>+ <urn:12> BIND(1 AS ?y) }") == ["1"]
