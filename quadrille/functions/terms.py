@@ -114,27 +114,28 @@ def _wrong(what: str) -> Column:
     return F.raise_error(F.lit(what)).cast("string")
 
 
-def node(kind: Column, value: Column, where: str) -> Column:
-    return F.when(kind == IRI, F.concat(F.lit("<"), iri_body(value), F.lit(">"))).when(kind == BNODE, F.concat(F.lit("_:"), value)).otherwise(_wrong(f"no N-Quads form for this kind of term as {where}"))
+def node(kind: Column, value: Column, where: str, blame: str = "") -> Column:
+    return F.when(kind == IRI, F.concat(F.lit("<"), iri_body(value), F.lit(">"))).when(kind == BNODE, F.concat(F.lit("_:"), value)).otherwise(_wrong(f"{blame}no N-Quads form for this kind of term as {where}"))
 
 
-def nquads_object(kind: Column, value: Column, datatype: Column, lang: Column, dir: Column) -> Column:
+def nquads_object(kind: Column, value: Column, datatype: Column, lang: Column, dir: Column, blame: str = "") -> Column:
     tail = (
         F.when(lang.isNotNull(), F.concat(F.lit("@"), lang, F.coalesce(F.concat(F.lit("--"), dir), F.lit(""))))
         .when(datatype.isNotNull() & (datatype != XSD_STRING), F.concat(F.lit("^^<"), iri_body(datatype), F.lit(">")))
         .otherwise(F.lit(""))
     )
-    return F.when(kind == LITERAL, F.concat(F.lit('"'), literal_body(value), F.lit('"'), tail)).otherwise(node(kind, value, "object"))
+    return F.when(kind == LITERAL, F.concat(F.lit('"'), literal_body(value), F.lit('"'), tail)).otherwise(node(kind, value, "object", blame))
 
 
-def canonical_nquads(quads: DataFrame | None = None, prefix: str = "", triples: bool = False) -> Column:
-    """A quad's line in canonical N-Quads, with the line's end. Triple terms raise, unless triples is set."""
+def canonical_nquads(quads: DataFrame | None = None, prefix: str = "", triples: bool = False, blame: str = "") -> Column:
+    """A quad's line in canonical N-Quads, with the line's end. Triple terms raise, unless triples is set; blame stands
+    before the error's text."""
     c = lambda n: F.col(prefix + n)
-    o = nquads_object(c("o_kind"), c("o"), c("o_datatype"), c("o_lang"), c("o_dir"))
+    o = nquads_object(c("o_kind"), c("o"), c("o_datatype"), c("o_lang"), c("o_dir"), blame)
     if triples:
         o = F.when(c("o_kind") == TRIPLE, c("o")).otherwise(o)
-    g = F.when(c("g_kind") == DEFAULT, F.lit("")).otherwise(F.concat(F.lit(" "), node(c("g_kind"), c("g"), "graph")))
-    return F.concat(node(c("s_kind"), c("s"), "subject"), F.lit(" <"), iri_body(c("p")), F.lit("> "), o, g, F.lit(" .\n"))
+    g = F.when(c("g_kind") == DEFAULT, F.lit("")).otherwise(F.concat(F.lit(" "), node(c("g_kind"), c("g"), "graph", blame)))
+    return F.concat(node(c("s_kind"), c("s"), "subject", blame), F.lit(" <"), iri_body(c("p")), F.lit("> "), o, g, F.lit(" .\n"))
 
 
 def content_id(line: Column) -> Column:
@@ -149,7 +150,7 @@ def quad_id() -> Column:
 
 def hash_quads(quads: DataFrame) -> DataFrame:
     """quads with quad_id, failing at run time on a quad that canonical N-Quads has no line for."""
-    return quads.withColumn("quad_id", content_id(canonical_nquads()))
+    return quads.withColumn("quad_id", content_id(canonical_nquads(blame="failed to compute content hashes: ")))
 
 
 def textual(kind: Column | None = None, datatype: Column | None = None) -> Column:

@@ -1,8 +1,8 @@
 """Search over textual literals: scan, keyword index, vectors, and their fusion.
 
 The scan matches substrings and gives every hit the score 1. The index cuts literals to chunks and scores them by BM25
-over index text; vectors score by cosine; reciprocal rank fusion joins both. All of it is joins, aggregates and
-windows, so that query terms meet the index by a join and no index is held by one process.
+over index text, from an inverted index laid out by term or by a scan of the chunks; vectors score by cosine; reciprocal
+rank fusion joins both. All of it is joins, aggregates and windows, and no index is held by one process.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import labels as L
@@ -23,6 +23,10 @@ from quadrille.shared import cut
 CHUNK_SIZE = 1000
 RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
+#: Folders that postings are dealt to by a hash of the term.
+POSTING_BUCKETS = 64
+#: Hits that may be broadcast.
+BROADCAST_HITS = 100_000
 #: What an import does to the index.
 ON_IMPORT = ("incremental", "deferred", "disabled")
 
@@ -143,6 +147,37 @@ def bm25(index: DataFrame, query: str, k1: float = BM25_K1, b: float = BM25_B) -
     return rows.where(hit).crossJoin(F.broadcast(stats)).select(*keep, score.alias("bm25"))
 
 
+def write_postings(index: DataFrame, folder: str, buckets: int = POSTING_BUCKETS) -> None:
+    """An inverted index of the chunks' terms below a folder: postings (bucket, term, quad_id, position, n, tf), laid out
+    by bucket and ranges of terms, so that a query reads its own terms and a frequent term spreads over files; and stats.
+    """
+    rows = index.select("quad_id", "position", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    rows = rows.groupBy("quad_id", "position", "n", "term").agg(F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange("bucket", "term", "quad_id").sortWithinPartitions("bucket", "term", "quad_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{folder}/stats")
+
+
+def bm25_postings(spark: SparkSession, folders: list[str], query: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """quad_id, position and bm25 of the chunks that hold a word of the query, from the postings of these words alone.
+
+    folders: those that write_postings() filled, each with other chunks.
+    """
+    schema = "quad_id string, position int, n int, term string, tf bigint, bucket int"
+    stats = spark.read.parquet(*[f"{f}/stats" for f in folders]).where("docs > 0").agg(F.sum("docs").alias("docs"), (F.sum(F.col("docs") * F.col("mean")) / F.sum("docs")).alias("mean"), F.max("buckets").alias("buckets")).first()
+    terms = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(words(F.lit(query)))).alias("t")).collect()]
+    if not terms or not stats.docs:
+        return spark.createDataFrame([], "quad_id string, position int, bm25 double")
+    of = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(stats.buckets)).cast("int").alias("b")).distinct().collect()]
+    hits = None
+    for f in folders:
+        part = spark.read.schema(schema).parquet(f"{f}/postings").where(F.col("bucket").isin(of) & F.col("term").isin(terms))
+        hits = part if hits is None else hits.unionByName(part)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
+    idf = F.log(1 + (stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(stats.mean)))
+    return hits.join(F.broadcast(df), "term").groupBy("quad_id", "position").agg(F.sum(score).alias("bm25"))
+
+
 # Vectors
 class EmbeddingService(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -257,18 +292,19 @@ def rrf(lists: list[DataFrame], keys: list[str], score: str = "score", k: int =
     return union.groupBy(*keys).agg((F.sum(1.0 / (F.lit(k) + F.col("rank"))) * (k + 1) / len(lists)).alias("score"))
 
 
-def search_index(index: DataFrame, query: str, mode: str = "hybrid", service: EmbeddingService | None = None, top_k: int = 10, min_score: float = 0.0, filter: QuadFilter | None = None) -> DataFrame:
+def search_index(index: DataFrame, query: str, mode: str = "hybrid", service: EmbeddingService | None = None, top_k: int = 10, min_score: float = 0.0, filter: QuadFilter | None = None, postings: list[str] | None = None) -> DataFrame:
     """id, subject, predicate, graph, text and score of the best chunks.
 
     mode: keyword, semantic or hybrid. The filter holds before ranking, top_k after it, min_score last. Scores lie in
-    0 to 1: BM25 over the best hit's, cosine, or fused ranks.
+    0 to 1: BM25 over the best hit's, cosine, or fused ranks. postings: folders of the index's postings, which serve
+    keywords where there is no filter.
     """
     rows = index.withColumnsRenamed({"subject": "s", "predicate": "p", "graph": "g"})
     rows = filter_quads(rows, filter).withColumnsRenamed({"s": "subject", "p": "predicate", "g": "graph"})
     keys = ["quad_id", "position"]
     found: list[DataFrame] = []
     if mode in ("keyword", "hybrid"):
-        k = bm25(rows, query).select(*keys, F.col("bm25").alias("score"))
+        k = (bm25_postings(index.sparkSession, postings, query) if postings and (filter is None or not (filter.include.lists() or filter.exclude.lists())) else bm25(rows, query)).select(*keys, F.col("bm25").alias("score"))
         best = k.agg(F.max("score").alias("best"))
         found.append(k.crossJoin(F.broadcast(best)).select(*keys, (F.col("score") / F.col("best")).alias("score")))
     if mode in ("semantic", "hybrid"):
@@ -282,5 +318,5 @@ def search_index(index: DataFrame, query: str, mode: str = "hybrid", service: Em
     hits = found[0] if len(found) == 1 else rrf(found, keys)
     hits = hits.orderBy(F.desc("score"), *keys).limit(top_k).where(F.col("score") >= min_score)
     named = rows.select(*keys, "subject", "predicate", "graph", "value")
-    out = named.join(F.broadcast(hits), keys)
+    out = named.join(F.broadcast(hits) if top_k <= BROADCAST_HITS else hits, keys)
     return out.select(result_id("subject", "predicate", "value", "graph").alias("id"), "subject", "predicate", "graph", F.col("value").alias("text"), "score").orderBy(F.desc("score"), "id")

@@ -364,6 +364,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["bm25_topk"] = SQL["bm25_topk"].replace("ORDER BY b.score DESC", "ORDER BY round(b.score, 9) DESC")
 
 
+@query("bm25_postings", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25_from_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hits of a keyword query, from an inverted index written in two parts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("quad_id"), F.lit(0).alias("position"), S.words(F.col("text")).alias("terms"))
+    folders = [fresh_path(spark, "postings") for _ in range(2)]
+    for i, f in enumerate(folders):
+        S.write_postings(docs.where(F.pmod(F.xxhash64("quad_id"), F.lit(2)) == i), f)
+    return S.bm25_postings(spark, folders, "released under license").select(F.col("quad_id").cast("bigint").alias("doc_id"), F.round("bm25", 6).alias("score"))
+
+
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.functions.terms import KEY
 from quadrille.operators import search as S
 from quadrille.operators.filters import Criteria, QuadFilter
-from quadrille.operators.store import QuadStore
+from quadrille.operators.store import QuadStore, materialize
 from quadrille.shared import fresh_path
 from quadrille.sparql.engine import Result, SparqlEngine
 
@@ -31,7 +32,8 @@ class ScanIndex:
 class ChunkIndex:
     """Searches a table of chunks that reindex() writes.
 
-    on_import: incremental and deferred rebuild when the session imports or when next searched; disabled, only on call.
+    on_import: incremental adds the chunks of what the session imports, deferred rebuilds when next searched; disabled,
+    only on call. A replacing import, labels of subjects and a filter of the last reindex need a rebuild in any case.
     """
 
     def __init__(self, store: QuadStore, service: S.EmbeddingService | None = None, mode: str = "hybrid", splitter=None, label_predicates: tuple[str, ...] = (), on_import: str = "deferred"):
@@ -39,21 +41,41 @@ class ChunkIndex:
             raise ValueError(f"on_import is one of {', '.join(S.ON_IMPORT)}")
         self.store, self.service, self.mode, self.splitter = store, service, mode, splitter
         self.label_predicates, self.on_import, self.table, self.stale = label_predicates, on_import, None, True
+        self.parts: list[str] = []
+        self.postings: list[str] = []
+        self.filter: QuadFilter | None = None
 
-    def imported(self) -> None:
+    def imported(self, quads: DataFrame | None = None, mode: str = "merge") -> None:
+        """Called when the session has imported quads."""
+        fresh = self.table is not None and not self.stale
         self.stale = self.stale or self.on_import != "disabled"
         if self.on_import == "incremental":
-            self.reindex()
-
-    def reindex(self, filter: QuadFilter | None = None, read_page_size: int = 1000) -> dict:
-        """Write the chunks of the quads in the filter anew. Calling it again changes nothing; the page size is unused."""
+            if fresh and quads is not None and mode == "merge" and not self.label_predicates and self.filter is None:
+                self._add(quads)
+            else:
+                self.reindex()
+
+    def _add(self, quads: DataFrame) -> None:
+        """Write the chunks of quads that have none yet beside those that are there."""
+        new = S.build_index(quads.dropDuplicates(KEY), None, self.splitter).join(self.table.select("quad_id").distinct(), "quad_id", "left_anti")
+        self._write(new, self.parts, self.postings)
+
+    def _write(self, index: DataFrame, parts: list[str], postings: list[str]) -> None:
+        """The chunks of index and their postings as files, beside those of other chunks."""
         spark = self.store.spark
-        index = S.build_index(self.store.quads(), filter, self.splitter, self.label_predicates)
         if self.service is not None:
             index = S.embedded(index, self.service)
         at = fresh_path(spark, "index")
         index.write.parquet(at)
-        self.table, self.stale = spark.read.schema(index.schema).parquet(at), False
+        terms = fresh_path(spark, "postings")
+        S.write_postings(spark.read.schema(index.schema).parquet(at), terms)
+        self.parts, self.postings = [*parts, at], [*postings, terms]
+        self.table, self.stale = spark.read.schema(index.schema).parquet(*self.parts), False
+
+    def reindex(self, filter: QuadFilter | None = None, read_page_size: int = 1000) -> dict:
+        """Write the chunks of the quads in the filter anew. Calling it again changes nothing; the page size is unused."""
+        self.filter = filter
+        self._write(S.build_index(self.store.quads(), filter, self.splitter, self.label_predicates), [], [])
         from quadrille.operators.filters import filter_quads
 
         return {"processed_quad_count": filter_quads(self.store.quads(), filter).count(), "chunk_row_count": self.table.count()}
@@ -62,7 +84,7 @@ class ChunkIndex:
         if self.table is None or self.stale:
             self.reindex()
         mode = self.mode if self.service is not None else "keyword"
-        return S.search_index(self.table, query, mode, self.service, top_k, min_score, make_filter(include, exclude))
+        return S.search_index(self.table, query, mode, self.service, top_k, min_score, make_filter(include, exclude), self.postings)
 
 
 class GraphSession:
@@ -80,9 +102,10 @@ class GraphSession:
     def import_(self, source: dict, mode: str = "merge") -> None:
         if self.store is None:
             raise RuntimeError("Quad store is not configured.")
-        self.store.import_(source, mode)
+        quads = materialize(self.store.spark, source)
+        self.store.import_({"kind": "dataset", "dataset": quads}, mode)
         if isinstance(self.index, ChunkIndex):
-            self.index.imported()
+            self.index.imported(quads, mode)
 
     def export(self, format: dict | None = None) -> dict:
         if self.store is None:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from quadrille.functions import terms as Q
 from quadrille.functions.terms import DEFAULT_GRAPH, RDF, XSD, Quad, Term, bnode, iri, literal
 
 #: Content type to writer; unknown types are written as N-Quads.
-FORMATS = {"text/turtle": "turtle", "application/n-quads": "n-quads", "application/n-triples": "n-triples", "text/n3": "turtle", "application/trig": "turtle"}
+FORMATS = {"text/turtle": "turtle", "application/n-quads": "n-quads", "application/n-triples": "n-triples", "text/n3": "turtle"}
 DEFAULT_TYPE = "application/n-quads"
 
 
@@ -298,14 +299,46 @@ def _table(quads: list[Quad]) -> pd.DataFrame:
     return pd.DataFrame([Q.row(q) for q in quads], columns=Q.KEY, dtype=object)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """N-Quads or N-Triples files, a line at a time in parallel. A blank node's label names it in every line."""
+_ABSOLUTE = r"<([A-Za-z][A-Za-z0-9+.\-]*:[^\x00-\x20<>\"{}|^`\\]*)>"
+_LABEL = r"_:([A-Za-z0-9_][A-Za-z0-9_\-]*)"
+#: A line without escapes: subject, predicate, object and graph as groups, of which those that are not there are empty.
+_PLAIN = rf'^\s*(?:{_ABSOLUTE}|{_LABEL})\s+{_ABSOLUTE}\s+(?:{_ABSOLUTE}|{_LABEL}|"([^"\\\x00-\x1f\x7f]*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)(?:--(ltr|rtl))?|\^\^{_ABSOLUTE})?)\s*(?:{_ABSOLUTE}|{_LABEL})?\s*\.\s*$'
+_QUAD = "struct<" + ", ".join(x.replace(" ", ": ") for x in _ROWS.split(", ")) + ">"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield _table([q for line in b["value"] if line.strip() and not line.lstrip().startswith("#") for q in Parser(line).parse()])
 
-    return Q.with_number(spark.read.text(path).mapInPandas(run, _ROWS))
+def from_lines(text: DataFrame) -> DataFrame:
+    """Quads of lines (column value) of N-Quads or N-Triples, also of a stream.
+
+    Plain lines are taken apart in SQL; only lines with escapes, dots in labels or quoted triples go through the parser.
+    """
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in Q.KEY]))
+
+    @F.arrow_udf(f"array<{_QUAD}>")
+    def parsed(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [dict(zip(Q.KEY, Q.row(q), strict=True)) for q in Parser(x).parse()] for x in column.to_pylist()], kind)
+
+    text = text.where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
+    mark = "\x01"
+    part = lambda i: F.col("parts")[i - 1]
+    some = lambda i: F.when(part(i) != "", part(i))
+    node = lambda i: (F.coalesce(some(i), part(i + 1)), F.when(part(i) != "", Q.IRI).otherwise(Q.BNODE))
+    (s, s_kind), (g, g_kind) = node(1), node(10)
+    literal = (part(4) == "") & (part(5) == "")
+    datatype = F.when(part(8) != "", Q.DIR_LANG_STRING).when(part(7) != "", Q.LANG_STRING).otherwise(F.when(part(9) != Q.XSD_STRING, some(9)))
+    cells = (
+        s, s_kind, part(3), F.when(literal, part(6)).otherwise(node(4)[0]), F.when(literal, Q.LITERAL).otherwise(node(4)[1]),
+        F.when(literal, datatype), some(7), some(8), g, F.when((part(10) == "") & (part(11) == ""), Q.DEFAULT).otherwise(g_kind),
+    )
+    rows = text.withColumn("plain", F.col("value").rlike(_PLAIN))
+    rows = rows.withColumn("parts", F.when(F.col("plain"), F.split(F.regexp_replace("value", _PLAIN, mark.join(f"${i}" for i in range(1, 12))), mark, -1)))
+    rows = rows.withColumn("others", parsed(F.when(~F.col("plain"), F.col("value"))))
+    one = F.array(F.struct(*[c.alias(n) for c, n in zip(cells, Q.KEY, strict=True)]).cast(_QUAD))
+    return Q.with_number(rows.select(F.explode(F.when(F.col("plain"), one).otherwise(F.col("others"))).alias("q")).select("q.*"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """N-Quads or N-Triples files, a line at a time in parallel. A blank node's label names it in every line."""
+    return from_lines(spark.read.text(path))
 
 
 def read_files(spark: SparkSession, path: str, base: str = "") -> DataFrame:

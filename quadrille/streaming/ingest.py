@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quadrille.functions import terms as Q
 from quadrille.operators.store import Context, QuadStore
-from quadrille.sources.rdf import _ROWS, Parser
+from quadrille.sources.rdf import from_lines
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Quads of the N-Quads files that arrive in a folder."""
-
-    def run(batches):
-        for b in batches:
-            quads = [q for line in b["value"] if line.strip() and not line.lstrip().startswith("#") for q in Parser(line).parse()]
-            yield pd.DataFrame([Q.row(q) for q in quads], columns=Q.KEY, dtype=object)
-
-    return Q.with_number(spark.readStream.text(folder).mapInPandas(run, _ROWS))
+    return from_lines(spark.readStream.text(folder))
 
 
 def ingest(quads: DataFrame, store: QuadStore, checkpoint: str, once: bool = True) -> StreamingQuery:

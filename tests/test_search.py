@@ -128,3 +128,37 @@ def test_keyword_only(spark):
         ChunkIndex(store, on_import="sometimes")
     with pytest.raises(ValueError):
         S.search_index(s.index.table, "x", "semantic")
+
+
+def test_postings_are_pruned_and_score_alike(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = ["the red fox", "red red wine", "a fox and a fox", "nothing here", "", "wine of the fox " * 5]
+    index = spark.createDataFrame([(f"q{i}", 0, t) for i, t in enumerate(texts)], "quad_id string, position int, value string")
+    index = index.select("quad_id", "position", F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.lit("").alias("graph"), "value", S.words(F.col("value")).alias("terms"))
+    S.write_postings(index.where("quad_id < 'q3'"), f"{tmp_path}/a")
+    S.write_postings(index.where("quad_id >= 'q3'"), f"{tmp_path}/b")
+    for query in ("red fox", "wine", "missing", ""):
+        got = S.bm25_postings(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], query)
+        assert {(r.quad_id, round(r.bm25, 9)) for r in got.collect()} == {(r.quad_id, round(r.bm25, 9)) for r in S.bm25(index, query).collect()}
+    plan = S.bm25_postings(spark, [f"{tmp_path}/a"], "red fox")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(term" in plan
+
+
+def test_incremental_index_adds_only_new_chunks(spark):
+    from quadrille.operators.store import QuadStore
+    from quadrille.session import ChunkIndex, GraphSession
+    from quadrille.sparql.engine import SparqlEngine
+
+    store = QuadStore(spark)
+    s = GraphSession(store, SparqlEngine(spark, store=store), ChunkIndex(store, on_import="incremental"))
+    add = lambda text, mode="merge": s.import_({"kind": "serialized", "data": text}, mode)
+    add('<urn:a> <urn:p> "red fox" .')
+    assert len(s.index.parts) == 1
+    add('<urn:a> <urn:p> "red fox" . <urn:b> <urn:p> "blue fox" .')
+    assert len(s.index.parts) == 2 and s.index.table.count() == 2
+    assert [r.subject for r in s.search("blue").collect()] == ["urn:b"]
+    assert sorted(r.subject for r in s.search("fox").collect()) == ["urn:a", "urn:b"]
+    assert [r.subject for r in s.search("fox", include={"subjects": ["urn:b"]}).collect()] == ["urn:b"]
+    add('<urn:c> <urn:p> "green" .', "replace")
+    assert len(s.index.parts) == 1 and s.search("fox").count() == 0 and s.search("green").count() == 1

@@ -110,3 +110,22 @@ def test_numbers(spark):
     rows = [("12", "integer", 12.0), ("1.5", "integer", None), ("1.50", "decimal", 1.5), ("1e3", "double", 1000.0), ("INF", "double", float("inf")), ("x", "double", None), ("5", "string", None), (" 7 ", "int", 7.0)]
     df = spark.createDataFrame([(v, Q.XSD + d) for v, d, _ in rows], "v string, d string")
     assert [r.n for r in df.select(Q.number(F.col("v"), F.col("d")).alias("n")).collect()] == [n for *_, n in rows]
+
+
+def test_lines_read_in_sql_and_by_the_parser_alike(spark, tmp_path):
+    from quadrille.functions import terms as Q
+    from quadrille.sources import rdf
+
+    lines = [
+        '<urn:a> <urn:p> <urn:b> .', '_:x <urn:p> _:y <urn:g> .', '<urn:a> <urn:p> "plain" .', '<urn:a> <urn:p> "" .', '<urn:a> <urn:p> "x"@en-GB <urn:g> .', '<urn:a> <urn:p> "x"@ar--rtl .',
+        '<urn:a> <urn:p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> .', '<urn:a> <urn:p> "s"^^<http://www.w3.org/2001/XMLSchema#string> _:g.', '  <urn:a>  <urn:p>\t"é 漢 # no comment" . ', '<urn:a> <urn:p> "q\\"uote\\n" .', '<urn:a> <urn:p> "u\\u00e9" <urn:g> .',
+        '# a comment', '', '_:a.b <urn:p> "1.5"^^<http://www.w3.org/2001/XMLSchema#decimal> .', '<urn:a> <urn:p> "$1 \\\\ $2" .', '<urn:a> <urn:p> "costs $1 and $2" .', '<urn:a> <urn:p> "x" . # behind',
+    ]
+    (tmp_path / "x.nq").write_text("\n".join(lines), encoding="utf-8")
+    got = rdf.read_lines(spark, str(tmp_path / "x.nq"))
+    assert got.columns == Q.COLUMNS
+    want = [Q.row(x) for t in lines if t.strip() and not t.startswith("#") for x in rdf.Parser(t).parse()]
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted((tuple(r)[:10] for r in got.collect()), key=key) == sorted(want, key=key)
+    assert sum(r.o_num is not None for r in got.collect()) == 2
+    assert "PythonMapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
