@@ -36,6 +36,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Pieces that a worker remembers; the memory is started anew beyond it, which changes no result.
 REMEMBERED = 200_000
 LETTER, NUMBER, SPACE, OTHER = range(4)
+_LENGTH = (1 << 40) - 1
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _ASCII_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 _kinds: np.ndarray | None = None
@@ -169,7 +170,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen: dict[bytes, tuple[int, int]] = {}
+        self.seen: dict[bytes, int] = {}  # where a piece's tokens begin and how many they are, in one number without a limit
         self.kept = np.zeros(1 << 16, np.int32)
         self.used = 0
 
@@ -183,11 +184,11 @@ class Codec:
             v = seen.get(p)
             if v is None:
                 t = merged(p)
-                v = seen[p] = (used, len(t))
+                v = seen[p] = used << 40 | len(t)
                 used += len(t)
                 fresh += t
-            at.append(v[0])
-            many.append(v[1])
+            at.append(v >> 40)
+            many.append(v & _LENGTH)
         if used > len(self.kept):
             self.kept = np.concatenate([self.kept, np.zeros(max(used, len(self.kept)), np.int32)])
         self.kept[self.used : used] = fresh
@@ -225,6 +226,25 @@ class Codec:
         return np.concatenate([self.pool[T.ragged(self.begins[t], self.lens[t])] for t in np.array_split(tokens, 1 + len(tokens) // CHUNK)]), total[offs]
 
 
+    def gives_back(self, tokens: np.ndarray, to: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """For each document, whether its tokens decode to its bytes."""
+        if len(tokens) <= 2 * CHUNK:
+            back, bo = self.decode(tokens, to)
+            if np.array_equal(back, data) and np.array_equal(bo, offs):
+                return np.ones(len(offs) - 1, bool)
+            return np.array([back[bo[x] : bo[x + 1]].tobytes() == data[offs[x] : offs[x + 1]].tobytes() for x in range(len(offs) - 1)], bool)
+        same = np.ones(len(offs) - 1, bool)
+        for x in range(len(same)):
+            at = int(offs[x])
+            for i in range(int(to[x]), int(to[x + 1]), CHUNK):
+                own = tokens[i : min(i + CHUNK, int(to[x + 1]))]
+                back, _ = self.decode(own, np.array([0, len(own)]))
+                same[x] &= np.array_equal(back, data[at : at + len(back)])
+                at += len(back)
+            same[x] &= at == offs[x + 1]
+        return same
+
+
 _codecs: dict[tuple[str, bool], Codec] = {}
 
 
@@ -245,9 +265,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             for i, j in T.chunks(offs, CHUNK):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 tokens, to = c.encode(d, o)
-                back, bo = c.decode(tokens, to)
-                same = np.full(j - i, True) if np.array_equal(back, d) and np.array_equal(bo, o) else np.array([back[bo[x] : bo[x + 1]].tobytes() == d[o[x] : o[x + 1]].tobytes() for x in range(j - i)], bool)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(tokens)), pa.array(np.diff(to)), pa.array(same)], ["doc_id", "tokens", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(tokens)), pa.array(np.diff(to)), pa.array(c.gives_back(tokens, to, d, o))], ["doc_id", "tokens", "n_tokens", "round_trip"])
 
     return T.keyed(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, tokens array<int>, n_tokens bigint, round_trip boolean")
 

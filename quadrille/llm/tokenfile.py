@@ -31,12 +31,6 @@ from quadrille.shared import fresh_path, local_path
 ROWS = "doc_id bigint, part bigint, file string, doc_in_part bigint, start_in_part bigint, n_tokens bigint"
 
 
-def gives_back(codec: bpe.Codec, tokens: np.ndarray, to: np.ndarray, data: np.ndarray, offs: np.ndarray) -> bool:
-    """Whether the tokens of each document decode to its bytes."""
-    back, bo = codec.decode(tokens, to)
-    return np.array_equal(back, data) and np.array_equal(bo, offs)
-
-
 def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY) -> DataFrame:
     """Write the tokens of docs below folder; one row for each document.
 
@@ -63,7 +57,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str = bpe.VOCABULARY
                 for i, j in T.chunks(offs, bpe.CHUNK):
                     d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                     tokens, to = c.encode(d, o)
-                    if not gives_back(c, tokens, to, d, o):
+                    if not c.gives_back(tokens, to, d, o).all():
                         raise ValueError("tokens don't give the text back")
                     out.write(tokens.astype(kind).tobytes())
                     m = j - i

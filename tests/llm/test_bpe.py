@@ -87,6 +87,11 @@ def test_long_texts_in_parts(monkeypatch, reference, native):
     for i, t in enumerate(tx):
         assert tokens[to[i] : to[i + 1]].tolist() == reference.encode_ordinary(t or "")
     assert bytes(bpe.codec().decode(tokens, to)[0]) == data.tobytes()
+    c = bpe.codec()
+    assert c.gives_back(tokens, to, data, offs).all() and len(tokens) > 2 * bpe.CHUNK
+    broken = tokens.copy()
+    broken[to[1] + 5] = 0
+    assert c.gives_back(broken, to, data, offs).tolist() == [True, False, True, True, True, True]
 
 
 def test_giant_piece(reference):

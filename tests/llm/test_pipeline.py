@@ -8,7 +8,7 @@ import corpus_pipeline
 from quadrille.llm import bpe, langid
 
 from .conftest import prose
-from .test_jaccard import brute as similar_pairs
+from .test_jaccard import brute as similar
 from .test_jaccard import edited
 from .test_langid import TONGUES, naive
 
@@ -33,17 +33,8 @@ def in_python(rows, docs):
         return n > 0 and share >= langid.MIN_POSTERIOR and (joint[best] - prior[best]) / n > -(len(logp) and __import__("math").log(len(logp)))
 
     rows = [r for r in rows if known(r[1])]
-    parent = {}
-
-    def find(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in similar_pairs([(i, t) for i, t, *_ in rows]):
-        x, y = sorted((find(a), find(b)))
-        parent[y] = x
-    rows = [r for r in rows if r[0] is None or find(r[0]) == r[0]]
+    found = similar([(i, t) for i, t, *_ in rows])
+    rows = [r for r in rows if r[0] not in found or found[r[0]][0] == r[0]]
     rows = [r for r in rows if ITEM not in r[1]]
     rows = [(i, re.sub(r"\b\d{16}\b", "[CARD]", re.sub(r"\S+@mail\.example\.com", "[EMAIL]", t))) for i, t, *_ in rows]
     own = tiktoken.Encoding("own", pat_str=bpe.PIECE, mergeable_ranks=bpe.codec().ranks, special_tokens={})
