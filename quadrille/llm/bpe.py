@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from quadrille.llm import text as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: The pieces' regular expression, as the tiktoken library takes it.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; the memory is started anew beyond it, which changes no result.

@@ -132,6 +132,7 @@ def _answers(t: pa.Table) -> pa.Table:
     grams = [np.frombuffer(x, np.uint32) for x in t.column("grams").to_pylist()]
     both = np.sort(np.concatenate(grams))
     known = np.unique(both[1:][both[1:] == both[:-1]])
+    del both
     chunk, own, counts = [], [], []
     for c, g, o in zip(t.column("chunk").to_pylist(), grams, t.column("owners").to_pylist(), strict=True):
         o = np.frombuffer(o, np.uint16)
@@ -173,6 +174,7 @@ def signatures(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
         for o, c in zip(t.column("owners").to_pylist(), t.column("counts").to_pylist(), strict=True):
             if o is not None:
                 have[np.frombuffer(o, np.uint16)] += np.frombuffer(c, np.uint32)
+        T.release()
         near = have >= np.ceil(threshold * size - 1e-9)
         return pa.table({"doc_id": pa.array(doc), "size": pa.array(size[of]), "whole": pa.array(whole[of]), "near": pa.array(near[of])})
 
@@ -432,6 +434,8 @@ def links(sets: DataFrame, threshold: float) -> DataFrame:
                 shard.ask(node, size, docs, np.frombuffer(g, np.uint64))
         if now is not None:
             yield (shard or build()).batch()
+        shard = None
+        T.release()
 
     return tasks.mapInArrow(run, "node bigint, links bigint, root bigint")
 

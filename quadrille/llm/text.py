@@ -7,6 +7,7 @@ and its result does not grow with it; a part begins between words, and what span
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,10 +69,32 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        release()
 
 
 def slices(column: pa.Array, rows: int = 1000) -> Iterator[pa.Array]:
-    return (column.slice(i, rows) for i in range(0, len(column), rows))
+    for i in range(0, len(column), rows):
+        yield column.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free, but still held by the allocators, back to the system: a worker serves many tasks, and what
+    one of them needed most would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def _find_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return None
+
+
+_trim = _find_trim()
 
 
 def chunks(offs: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
