@@ -23,6 +23,7 @@ from quadrille.functions.terms import COLUMNS, KEY, QUAD_SCHEMA, Quad, conform,
 from quadrille.operators.filters import match
 from quadrille.shared import cut, fresh_path
 from quadrille.sources import rdf
+from quadrille.sources.tables import read_quads
 
 #: Orderings of the four parts that a base may be kept in.
 ORDERINGS = ("spog", "sopg", "pso", "pos", "ospg", "opsg", "gpso")
@@ -330,8 +331,8 @@ class QuadStore:
         """Add a source's quads, or put them in place of all others (mode replace).
 
         source: {"kind": "quads", "quads": [...]}, {"kind": "dataset", "dataset": DataFrame or quads} or
-        {"kind": "serialized", "data": text, "content_type": type} or with "path" in place of data. Data that cannot
-        be read raises before anything changes; replacing with nothing changes nothing.
+        {"kind": "serialized", "data": text, "content_type": type} or with "path" in place of data, or {"kind": "table",
+        "format": format, "path": path, "options": {...}} of any source that Spark reads. Data that cannot be read raises before anything changes; replacing with nothing changes nothing.
         """
         if mode not in ("merge", "replace"):
             raise ValueError(f"unknown import mode {mode}")
@@ -364,6 +365,8 @@ def materialize(spark: SparkSession, source: dict) -> DataFrame:
             by_line = rdf.get_format(source.get("content_type")) != "turtle"
             return rdf.read_lines(spark, source["path"]) if by_line else rdf.read_files(spark, source["path"])
         return rdf.read_text(spark, source["data"], source.get("content_type"), source.get("base", ""))
+    if kind == "table":
+        return read_quads(spark, source["format"], source.get("path"), **source.get("options", {}))
     raise ValueError("Unsupported import source kind")
 
 

@@ -12,6 +12,7 @@ from quadrille.operators.filters import Criteria, QuadFilter, filter_quads, matc
 from quadrille.operators.store import Context, Patch, QuadStore, apply_patch, cancel
 from quadrille.shared import cut, fresh_path
 from quadrille.sources import rdf
+from quadrille.sources.tables import write_quads
 from quadrille.sources.virtual import StoredGraph, TableMap, VirtualGraph
 from quadrille.sparql.engine import SparqlEngine
 from quadrille.streaming.ingest import ingest, read_stream
@@ -469,6 +470,18 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.quads().select("s", "o")
 
 
+@query("tables_roundtrip", "SELECT 'urn:part:' || p_partkey AS s, p_name AS o FROM part UNION ALL SELECT 'urn:part:' || p_partkey, p_size::VARCHAR FROM part")
+def tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads written as JSON and as CSV, imported as tables and merged."""
+    g = graph(spark, sf_dir, "part")
+    store = QuadStore(spark)
+    for format, p in (("json", "urn:col:p_name"), ("csv", "urn:col:p_size"), ("csv", "urn:col:p_name")):
+        at = fresh_path(spark, format)
+        write_quads(g.scan(p), format, at)
+        store.import_({"kind": "table", "format": format, "path": at})
+    return store.quads().select("s", "o")
+
+
 @query("export_roundtrip_count", "SELECT 2 * count(*) AS n, count(*) AS subjects FROM (SELECT n_nationkey FROM nation UNION ALL SELECT r_regionkey FROM region)")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions, two quads each, to text and back."""

@@ -176,3 +176,17 @@ def test_guard_stops_a_commit(spark):
     with pytest.raises(TimeoutError):
         s.transaction().add(q(1)).commit()
     assert s.size() == 0
+
+
+@pytest.mark.parametrize("format", ["json", "csv", "orc", "parquet"])
+def test_tables_of_quads(spark, tmp_path, format):
+    from quadrille.sources.tables import read_quads, write_quads
+
+    quads = quads_from(spark, [q(1), q(2, "urn:g"), Quad(bnode("b"), iri("urn:p"), literal('a "b"\n, c\\', lang="en")), Quad(iri("urn:x"), iri("urn:p"), literal("")), Quad(iri("urn:x"), iri("urn:p"), literal("5", "http://www.w3.org/2001/XMLSchema#integer"))])
+    write_quads(quads, format, f"{tmp_path}/t")
+    got = read_quads(spark, format, f"{tmp_path}/t")
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(got) == rows(quads)
+    s = QuadStore(spark)
+    s.import_({"kind": "table", "format": format, "path": f"{tmp_path}/t"})
+    assert s.size() == 5
