@@ -168,12 +168,12 @@ def decimal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.values(exact=("n",)).withColumn("n", F.col("n").cast("bigint"))
 
 
-@query("zoned_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate + to_minutes((o_orderkey % 7) * 30), o_orderkey) AS place FROM orders WHERE o_orderkey % 50 < 3 QUALIFY place <= 40")
+@query("zoned_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate + to_minutes((o_orderkey % 7) * 30), o_orderkey) AS place FROM orders QUALIFY place <= 40")
 def zoned_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 40 earliest of times written in different zones, in order."""
     west = F.pmod("o_orderkey", F.lit(7)) * 30
     zone = F.format_string("-%02d:%02d", F.floor(west / 60), F.pmod(west, F.lit(60)))
-    t = table(spark, sf_dir, "orders").where("o_orderkey % 50 < 3")
+    t = table(spark, sf_dir, "orders")
     quads = Q.conform(t.select(F.concat(F.lit("urn:o:"), F.format_string("%012d", "o_orderkey")).alias("s"), F.lit("urn:at").alias("p"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), zone).alias("o"), F.lit(Q.XSD + "dateTime").alias("o_datatype")))
     r = SparqlEngine(spark, StoredGraph(quads)).query("SELECT ?s { ?s <urn:at> ?t } ORDER BY ?t ?s LIMIT 40").values()
     rows = [(int(x.s[6:]), i + 1) for i, x in enumerate(r.collect())]
@@ -221,9 +221,10 @@ def path_optional_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("path_from_one_end", f"{_STEPS} SELECT conv_id || '/' || b AS y FROM p WHERE conv_id = (SELECT min(conv_id) FROM e) AND a = (SELECT min(a) FROM e WHERE conv_id = (SELECT min(conv_id) FROM e))")
 def path_from_one_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later turns of the first conversation; the rounds go out from its first turn alone."""
-    g = _turns(spark, sf_dir)
-    first = g.quads().select(F.min_by("s", F.struct(F.split_part("s", F.lit("/"), F.lit(1)).cast("bigint"), F.split_part("s", F.lit("/"), F.lit(2)).cast("bigint"))).alias("s")).first().s
-    return SparqlEngine(spark, g).query(f"SELECT ?y {{ <{first}> <urn:next>+ ?y }}", "").values() if ":" in first else SparqlEngine(spark, StoredGraph(g.quads().withColumns({c: F.concat(F.lit("urn:t:"), c) for c in ("s", "o")}))).query(f"SELECT ?y {{ <urn:t:{first}> <urn:next>+ ?y }}").values().select(F.replace("y", F.lit("urn:t:")).alias("y"))
+    quads = _turns(spark, sf_dir).quads().withColumns({c: F.concat(F.lit("urn:t:"), c) for c in ("s", "o")})
+    place = F.struct(*[F.split_part(F.substring("s", 7, 99), F.lit("/"), F.lit(i)).cast("bigint") for i in (1, 2)])
+    first = quads.select(F.min_by("s", place).alias("s")).first().s
+    return SparqlEngine(spark, StoredGraph(quads)).query(f"SELECT ?y {{ <{first}> <urn:next>+ ?y }}").values().select(F.replace("y", F.lit("urn:t:")).alias("y"))
 
 
 sparql("from_default", "documents", "SELECT ?d ?n FROM <urn:graph:src1> FROM <urn:graph:src2> { ?d c:n_chars ?n }", "SELECT 'urn:documents:' || doc_id AS d, n_chars AS n FROM documents WHERE source IN ('src1', 'src2')", integers=("n",), by={"documents": "source"})
@@ -448,15 +449,15 @@ def delete_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.quads().select("s")
 
 
-@query("commit_small", "SELECT 'urn:customer:' || c_custkey AS s, c_mktsegment AS o FROM customer WHERE c_custkey % 100 <> 3 UNION ALL SELECT 'urn:customer:' || c_custkey, 'NEW' FROM customer WHERE c_custkey % 100 = 3 UNION ALL SELECT 'urn:customer:' || c_custkey, 'ALSO' FROM customer WHERE c_custkey % 200 = 4")
+@query("commit_small", "SELECT 'urn:customer:' || c_custkey AS s, CASE c_mktsegment WHEN 'BUILDING' THEN 'NEW' ELSE c_mktsegment END AS o FROM customer UNION ALL SELECT 'urn:customer:' || c_custkey, 'ALSO' FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def commit_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two commits of a few quads over a larger base, which they don't rewrite."""
+    """Two commits of some quads over a larger base, which they don't rewrite."""
     q = graph(spark, sf_dir, "customer").scan("urn:col:c_mktsegment")
     store = QuadStore(spark)
     store.write(q)
-    some = lambda d, k: q.where(F.pmod(F.substring_index("s", ":", -1).cast("bigint"), F.lit(d)) == k)
-    store.apply(Patch(some(100, 3).withColumn("o", F.lit("NEW")).unionByName(q.limit(0)), some(100, 3)))
-    store.apply(Patch(some(200, 4).withColumn("o", F.lit("ALSO")).unionByName(some(200, 6)), None))
+    of = lambda segment: q.where(F.col("o") == segment)
+    store.apply(Patch(of("BUILDING").withColumn("o", F.lit("NEW")), of("BUILDING")))
+    store.apply(Patch(of("MACHINERY").withColumn("o", F.lit("ALSO")).unionByName(of("FURNITURE")), None))
     return store.quads().select("s", "o")
 
 
