@@ -400,7 +400,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             at += len(part)
         return pa.array(out)
 
-    return docs.where(kept(F.col("text")))
+    return T.modest(docs).where(kept(F.col("text")))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def identify(docs: DataFrame, buckets: int = BUCKETS, max_rows: int = MAX_TRAIN_
         def accepted(texts: pa.Array) -> pa.Array:
             return pa.array(np.concatenate([np.zeros(0, bool), *(judge(t)[4] for t in T.slices(texts))]))
 
-        return docs.where(accepted(F.col("text")))
+        return T.modest(docs).where(accepted(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.small(batches):

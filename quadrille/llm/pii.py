@@ -399,7 +399,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, names: DataFrame | lis
             done.append(t)
         return pa.concat_arrays(done)
 
-    done = docs.withColumn("text", clean(F.col("text")))
+    done = T.modest(docs).withColumn("text", clean(F.col("text")))
     return done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))if "n_chars" in docs.columns else done
 
 

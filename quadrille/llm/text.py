@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 2000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -255,8 +256,18 @@ def id_array(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
+def modest(df):
+    """df, with fewer rows in a batch between Spark and Python where the session leaves that at its default: texts are long,
+    and a batch is held on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def keyed(df, need: dict[str, str]):
     """Only the columns that an operator works on, under their given types; others never clash."""
     from pyspark.sql import functions as F
 
+    df = modest(df)
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in need.items()])
