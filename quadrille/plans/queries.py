@@ -403,7 +403,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hybrid_search")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector search over an index of the documents, fused."""
-    index = cut(S.build_index(graph(spark, sf_dir, "documents").scan("urn:col:text")))
+    index = S.kept(S.build_index(graph(spark, sf_dir, "documents").scan("urn:col:text")).drop("terms"))
     return S.search_index(index, "released under the license", "hybrid", S.HashedEmbedding(64), top_k=10)
 
 

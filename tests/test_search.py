@@ -162,3 +162,55 @@ def test_incremental_index_adds_only_new_chunks(spark):
     assert [r.subject for r in s.search("fox", include={"subjects": ["urn:b"]}).collect()] == ["urn:b"]
     add('<urn:c> <urn:p> "green" .', "replace")
     assert len(s.index.parts) == 1 and s.search("fox").count() == 0 and s.search("green").count() == 1
+
+
+def test_ids_of_texts_are_computed_before_they_are_cut(spark):
+    plan = S.chunk_quads(quads_from(spark, [lit("a", "p", "abcdefg")]), S.fixed(3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan.split("Generate")[0] and "sha2" in plan.split("Generate")[1]
+
+
+def test_fixed_pieces_of_wide_letters(spark):
+    text = "a\n𝄞b𝄞𝄞\r\néß" * 41 + "z"
+    got = [r.value for r in S.chunk_quads(quads_from(spark, [lit("a", "p", text)]), S.fixed(7)).orderBy("position").collect()]
+    assert got == [text[i : i + 7] for i in range(0, len(text), 7)]
+
+
+def test_hashes_of_many_texts_at_a_time():
+    from zlib import crc32
+
+    def counts(text):
+        v = [0] * 32
+        for w in text.lower().split():
+            for g in [w, *(f"^{w}$"[i : i + 3] for i in range(len(w)))]:
+                h = crc32(g.encode())
+                v[h % 32] += 1 if h >> 31 else -1
+        return v
+
+    texts = ["", " \n", "a", "Ab cd\tab", "Straße ÉÎ 日本語 x𝄞\U0010ffff", "\0 ^$ $^"] + [f"n{i} " * (i % 5) for i in range(200)]
+    for t, v in zip(texts, S.HashedEmbedding(32).embed(texts), strict=True):
+        n = math.sqrt(sum(x * x for x in counts(t))) or 1.0
+        assert v == [x / n for x in counts(t)]
+
+
+def test_best_of_fused_lists_without_ranking_them(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(f"r{(i * 7919) % 2003:04}", i % 3, (i * 31) % 400 / 8, (i * 17) % 250 / 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "q string, p int, a double, b double").repartition(5)
+    pick = lambda c, which: df.where(which).select("q", "p", F.col(c).alias("score"))
+    top = lambda d: [(r.q, r.p, round(r.score, 12)) for r in d.orderBy(F.desc(F.round("score", 12)), "q", "p").limit(3).collect()]
+    pairs = [[pick("a", "true"), pick("b", "true")], [pick("a", "p = 0"), pick("b", "p <> 0")], [pick("a", "a > 49.8"), pick("b", "b < 9")], [pick("a", "false"), pick("b", "true")]]
+    want = [top(S.rrf(x, ["q", "p"])) for x in pairs]
+    twice = [pick("a", "true").unionByName(pick("b", "p = 1")), pick("b", "true")]
+    assert top(S.rrf_best(twice, ["q", "p"], 3)) == top(S.rrf(twice, ["q", "p"]))
+    monkeypatch.setattr(S, "ranked", None)
+    assert [top(S.rrf_best(x, ["q", "p"], 3)) for x in pairs] == want
+
+
+def test_similarity_in_python_as_in_sql(spark):
+    rows = spark.createDataFrame([(t,) for t in ("red fox", "a fox", "", None, "wine of the fox " * 9)], "fts_value string")
+    service = S.HashedEmbedding(16)
+    q = service.embed(["red fox"])[0]
+    made = S.embedded(rows, service)
+    got = rows.select(S.similarity(rows, service, q).alias("c")).collect()
+    assert got == made.select(S.similarity(made, service, q).alias("c")).collect() and [r.c is None for r in got] == [False, False, True, True, False]
