@@ -28,6 +28,7 @@ RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 #: Folders that postings are dealt to by a hash of the term.
 POSTING_BUCKETS = 64
+POSTINGS = "quad_id string, position int, n int, term string, tf bigint, bucket int"
 #: Hits that may be broadcast.
 BROADCAST_HITS = 100_000
 #: Texts that are hashed together.
@@ -172,14 +173,35 @@ def bm25(index: DataFrame, query: str, k1: float = BM25_K1, b: float = BM25_B) -
     return bm25_of_counts(rows, terms, k1, b).select(*keep, "bm25")
 
 
+def _postings_of_rows(index: DataFrame) -> DataFrame:
+    """quad_id, position, n, term and tf of each word of each row, and of each row one with the term '' and tf n.
+
+    A row's words are sorted and counted within the row, so that no row is shuffled for it.
+    """
+    rows = index.select("quad_id", "position", F.size("terms").alias("n"), F.sort_array("terms").alias("terms"))
+    first = lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))
+    rows = rows.withColumn("firsts", F.when(F.col("n") > 0, F.filter(F.sequence(F.lit(0), F.col("n") - 1), first)).otherwise(F.array().cast("array<int>")))
+    ends = lambda i: F.coalesce(F.get("firsts", i + 1), F.col("n"))
+    counted = F.transform("firsts", lambda at, i: F.struct(F.get("terms", at).alias("term"), (ends(i) - at).cast("bigint").alias("tf")))
+    length = F.array(F.struct(F.lit("").alias("term"), F.col("n").cast("bigint").alias("tf")))
+    return rows.select("quad_id", "position", "n", F.inline(F.concat(length, counted)))
+
+
 def write_postings(index: DataFrame, folder: str, buckets: int = POSTING_BUCKETS) -> None:
     """An inverted index of the chunks' terms below a folder: postings (bucket, term, quad_id, position, n, tf), laid out
-    by bucket and ranges of terms, so that a query reads its own terms and a frequent term spreads over files; and stats.
+    by bucket and sorted by term, so that a query reads its own terms and a frequent term spreads over files; and stats.
+
+    The index is read once: the bucket after the last holds the chunks' lengths, which give the stats. A row that occurs
+    again counts again, as in bm25().
     """
-    rows = index.select("quad_id", "position", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    rows = rows.groupBy("quad_id", "position", "n", "term").agg(F.count("*").alias("tf")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartitionByRange("bucket", "term", "quad_id").sortWithinPartitions("bucket", "term", "quad_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    index.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{folder}/stats")
+    spark = index.sparkSession
+    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    bucket = F.when(F.col("term") == "", F.lit(buckets)).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
+    rows = _postings_of_rows(index).withColumn("bucket", bucket)
+    rows = rows.repartitionById((buckets + 1) * spread, (F.col("bucket") * spread + F.pmod(F.xxhash64("quad_id", "position"), F.lit(spread))).cast("int"))
+    rows.sortWithinPartitions("bucket", "term", "quad_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths = spark.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("bucket") == buckets)
+    lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{folder}/stats")
 
 
 def bm25_postings(spark: SparkSession, folders: list[str], query: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -187,15 +209,14 @@ def bm25_postings(spark: SparkSession, folders: list[str], query: str, k1: float
 
     folders: those that write_postings() filled, each with other chunks.
     """
-    schema = "quad_id string, position int, n int, term string, tf bigint, bucket int"
     stats = spark.read.parquet(*[f"{f}/stats" for f in folders]).where("docs > 0").agg(F.sum("docs").alias("docs"), (F.sum(F.col("docs") * F.col("mean")) / F.sum("docs")).alias("mean"), F.max("buckets").alias("buckets")).first()
-    terms = [r.t for r in spark.range(1).select(F.explode(F.array_distinct(words(F.lit(query)))).alias("t")).collect()]
+    terms = query_words(spark, query)
     if not terms or not stats.docs:
         return spark.createDataFrame([], "quad_id string, position int, bm25 double")
     of = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(stats.buckets)).cast("int").alias("b")).distinct().collect()]
     hits = None
     for f in folders:
-        part = spark.read.schema(schema).parquet(f"{f}/postings").where(F.col("bucket").isin(of) & F.col("term").isin(terms))
+        part = spark.read.schema(POSTINGS).parquet(f"{f}/postings").where(F.col("bucket").isin(of) & F.col("term").isin(terms))
         hits = part if hits is None else hits.unionByName(part)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each word of the query
     idf = F.log(1 + (stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5))

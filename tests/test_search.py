@@ -214,3 +214,23 @@ def test_similarity_in_python_as_in_sql(spark):
     made = S.embedded(rows, service)
     got = rows.select(S.similarity(rows, service, q).alias("c")).collect()
     assert got == made.select(S.similarity(made, service, q).alias("c")).collect() and [r.c is None for r in got] == [False, False, True, True, False]
+
+
+def test_postings_are_written_from_one_reading_with_repeated_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    texts = ["the red fox", "the red fox", "red red wine", "wine " * 700 + "red", "", None, None, "nothing here"]
+    rows = spark.createDataFrame([(f"q{min(i, 6)}" if i > 1 else "q1", 0, t) for i, t in enumerate(texts)], "quad_id string, position int, value string")
+    index = rows.select("quad_id", "position", F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.lit("").alias("graph"), "value", S.words(counted("value")).alias("terms"))
+    S.write_postings(index, f"{tmp_path}/a", buckets=3)
+    assert read.value == len(texts)
+    for query in ("red fox", "wine", "here the"):
+        got = {r.quad_id: round(r.bm25, 9) for r in S.bm25_postings(spark, [f"{tmp_path}/a"], query).collect()}
+        assert got == {r.quad_id: round(r.x, 9) for r in S.bm25(index, query).groupBy("quad_id").agg(F.sum("bm25").alias("x")).collect()}
